@@ -4,7 +4,9 @@ from __future__ import annotations
 
 
 def _modules():
-    return []
+    from . import cohort_queries, measure_queries, raster_queries
+
+    return [raster_queries, measure_queries, cohort_queries]
 
 
 def queries() -> dict:
