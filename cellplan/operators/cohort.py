@@ -110,7 +110,7 @@ def run_tests(df: DataFrame, metrics: list[str], group: str, dataset: str, group
 def bonferroni(results: DataFrame, p: str = "P_Value", by: tuple[str, ...] = (), alpha: float = 0.05) -> DataFrame:
     """Adds P_Value_Corrected and Significant_After_Correction; the family is the group's non-null p-values."""
     m = F.count(p).over(Window.partitionBy(*by))
-    corrected = F.least(F.lit(1.0), F.col(p) * m)
+    corrected = F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.col(p) * m))
     return results.withColumn("P_Value_Corrected", corrected).withColumn("Significant_After_Correction", F.coalesce(F.col("P_Value_Corrected") < alpha, F.lit(False)))
 
 

@@ -57,22 +57,23 @@ def _extreme(a: np.ndarray, r: int, f) -> np.ndarray:
     return a
 
 
-def over_tiles(df: DataFrame, value: str, kernel: Callable[[np.ndarray], np.ndarray], to: str, halo: tuple[int, int, int], tile: int = 256, depth: int = 1) -> DataFrame:
+def over_tiles(df: DataFrame, value: str, kernel: Callable[[np.ndarray], np.ndarray], to: str, halo: tuple[int, int, int], tile: int = 256, depth: int = 1, by: tuple[str, ...] = ()) -> DataFrame:
     """df's coordinates with ``to``: kernel(dense haloed tile) at the tile's own voxels. ``depth``: slices in a tile."""
-    rows = in_tiles(df.select(*(F.col(a).cast("long").alias(a) for a in AXES), F.col(value).cast("double").alias("_v")), (depth, tile, tile), halo)
+    rows = in_tiles(df.select(*by, *(F.col(a).cast("long").alias(a) for a in AXES), F.col(value).cast("double").alias("_v")), (depth, tile, tile), halo)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         _, index, (grid,) = dense(pdf, ["_v"])
         own = pdf["own"].to_numpy()
-        return pdf.loc[own, list(AXES)].assign(**{to: kernel(grid)[index][own]})
+        return pdf.loc[own, [*by, *AXES]].assign(**{to: kernel(grid)[index][own]})
 
-    return rows.groupBy("tz", "ty", "tx").applyInPandas(run, f"z long, y long, x long, `{to}` double")
+    names = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in by)
+    return rows.groupBy(*by, "tz", "ty", "tx").applyInPandas(run, f"{names}z long, y long, x long, `{to}` double")
 
 
-def gaussian_smooth(df: DataFrame, value: str, sigma: float, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0), dims: int = 2, tile: int = 256, depth: int = 32, to: str = "smooth") -> DataFrame:
+def gaussian_smooth(df: DataFrame, value: str, sigma: float, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0), dims: int = 2, tile: int = 256, depth: int = 32, to: str = "smooth", by: tuple[str, ...] = ()) -> DataFrame:
     """Gaussian with sigma in physical units, separable, cut at four sigma."""
     taps = [gaussian_taps(sigma / s) for s in spacing]
-    axes = range(3) if dims == 3 else (2, 1)
+    axes = tuple(range(3)) if dims == 3 else (2, 1)
 
     def kernel(a: np.ndarray) -> np.ndarray:
         for k in axes:
@@ -80,12 +81,12 @@ def gaussian_smooth(df: DataFrame, value: str, sigma: float, spacing: tuple[floa
         return a
 
     halo = tuple(len(t) // 2 if k in axes else 0 for k, t in enumerate(taps))
-    return over_tiles(df, value, kernel, to, halo, tile, depth if dims == 3 else 1)
+    return over_tiles(df, value, kernel, to, halo, tile, depth if dims == 3 else 1, by)
 
 
-def white_tophat(df: DataFrame, value: str, radius: int, tile: int = 256, to: str = "top") -> DataFrame:
+def white_tophat(df: DataFrame, value: str, radius: int, tile: int = 256, to: str = "top", by: tuple[str, ...] = ()) -> DataFrame:
     """What a square opening of 2 * radius + 1 on each slice takes away."""
-    return over_tiles(df, value, lambda a: a - _extreme(_extreme(a, radius, np.minimum), radius, np.maximum), to, (0, 2 * radius, 2 * radius), tile)
+    return over_tiles(df, value, lambda a: a - _extreme(_extreme(a, radius, np.minimum), radius, np.maximum), to, (0, 2 * radius, 2 * radius), tile, 1, by)
 
 
 def hessian_eigenvalues(a: np.ndarray, sigma: float) -> tuple[np.ndarray, np.ndarray]:
@@ -117,7 +118,7 @@ def sato(a: np.ndarray, sigma: float, black: bool = False) -> np.ndarray:
     return np.maximum(0.0, -np.minimum(small, large))
 
 
-def vesselness(df: DataFrame, value: str, method: str, sigmas: list[float], black: bool = False, tile: int = 256, to: str = "response") -> DataFrame:
+def vesselness(df: DataFrame, value: str, method: str, sigmas: list[float], black: bool = False, tile: int = 256, to: str = "response", by: tuple[str, ...] = ()) -> DataFrame:
     """The greatest response over scales; ``both`` takes the greater of the two methods, times the intensity from sigma 2 on."""
     f = {"frangi": frangi, "sato": sato}
 
@@ -133,7 +134,7 @@ def vesselness(df: DataFrame, value: str, method: str, sigmas: list[float], blac
         return out
 
     reach = max(16, math.ceil(4 * max(sigmas)) + 3)
-    return over_tiles(df, value, kernel, to, (0, reach, reach), tile)
+    return over_tiles(df, value, kernel, to, (0, reach, reach), tile, 1, by)
 
 
 # ------------------------------------------------------------------------------------------------------ single objects
@@ -327,6 +328,22 @@ def prune_spurs(skel: np.ndarray, spacing: tuple[float, float, float], longest:
     return out
 
 
+def prune_elbows(skel: np.ndarray, passes: int = 3) -> np.ndarray:
+    """Takes away voxels with two or more neighbours that hold together without them, in raster order."""
+    out = np.pad(skel, 1)
+    for _ in range(passes):
+        gone = 0
+        for z, y, x in zip(*np.nonzero(out), strict=True):
+            block = out[z - 1 : z + 2, y - 1 : y + 2, x - 1 : x + 2].copy()
+            block[1, 1, 1] = False
+            if block.sum() >= 2 and label_components(block, True)[1] == 1:
+                out[z, y, x] = False
+                gone += 1
+        if not gone:
+            break
+    return out[1:-1, 1:-1, 1:-1]
+
+
 def break_cycles(skel: np.ndarray, thickness: np.ndarray, passes: int = 15) -> np.ndarray:
     """Opens loops: peels ends to find them, then takes the thinnest voxel whose loss keeps the number of components."""
     out = skel.copy()
@@ -409,6 +426,8 @@ def skeletonize(labels: DataFrame, spacing: tuple[float, float, float] = (1.0, 1
         mask = grid > 0
         thick = edt(mask, spacing)
         skel = break_cycles(skeleton(mask), thick)
+        if mask.shape[0] == 1:
+            skel = prune_elbows(skel)
         if prune_um > 0:
             border = np.zeros_like(skel)
             if id_extent:

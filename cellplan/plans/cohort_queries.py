@@ -166,7 +166,7 @@ _REGISTERED = {
     "pair_tests": (_pair_tests, None),
     "bonferroni": (
         _bonferroni,
-        "WITH p AS (SELECT DISTINCT p_brand, p_size, CASE WHEN p_size % 7 <> 0 THEN p_size / 2000.0::DOUBLE END AS p FROM part), q AS (SELECT *, least(1.0::DOUBLE, p * count(p) OVER (PARTITION BY p_brand)) AS c FROM p) SELECT p_brand, p_size, round(p, 6) AS p, round(c, 6) AS P_Value_Corrected, coalesce(c < 0.05, false) AS Significant_After_Correction FROM q",
+        "WITH p AS (SELECT DISTINCT p_brand, p_size, CASE WHEN p_size % 7 <> 0 THEN p_size / 2000.0::DOUBLE END AS p FROM part), q AS (SELECT *, CASE WHEN p IS NOT NULL THEN least(1.0::DOUBLE, p * count(p) OVER (PARTITION BY p_brand)) END AS c FROM p) SELECT p_brand, p_size, round(p, 6) AS p, round(c, 6) AS P_Value_Corrected, coalesce(c < 0.05, false) AS Significant_After_Correction FROM q",
     ),
     "box_stats": (
         lambda s, d: cohort.box_stats(_t(s, d, "lineitem"), "l_extendedprice", "l_returnflag").select("l_returnflag", "n", *r6("q25", "median", "q75", "upper_whisker", "highest")),
