@@ -16,7 +16,21 @@ def _folder(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="cellplan-")
         spark.sparkContext.setCheckpointDir(found)
-    return f"{found.rstrip('/')}/components-{uuid.uuid4().hex}"
+    return f"{found.rstrip('/')}/stage-{uuid.uuid4().hex}"
+
+
+def fewer_files(df: DataFrame, each: int = 1) -> DataFrame:
+    """df in about ``each`` partitions a core of the cluster: small stages would write more files than are worth opening."""
+    spark = df.sparkSession
+    wide = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.coalesce(each * max(spark.sparkContext.defaultParallelism, wide // 32))
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read again: worked out once, and kept if executors are lost."""
+    spark, path = df.sparkSession, _folder(df.sparkSession)
+    fewer_files(df).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -32,7 +46,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).distinct()
 
     def keep(df: DataFrame, k: int) -> DataFrame:
-        df.write.parquet(f"{folder}/{k}")
+        fewer_files(df).write.parquet(f"{folder}/{k}")
         return spark.read.schema(df.schema).parquet(f"{folder}/{k}")
 
     def mark(df: DataFrame) -> tuple:

@@ -7,8 +7,9 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .measure import _points, distance
-from .raster import AXES, box, components, dilate, ball, shifted  # noqa: F401
+from .graph import staged
+from .measure import _near_pairs, _points, distance
+from .raster import AXES, ball, box, components, shifted
 
 Spacing = tuple[float, float, float]
 
@@ -61,10 +62,9 @@ def distance_to_reference(primary: DataFrame, reference: DataFrame, name: str, s
     looked through as far as is needed, so there are no all-pairs.
     """
     key = [*by, "label"]
+    reference, primary = staged(reference), staged(primary)
     ref = reference.select(*by, F.col("label").alias("blabel"), *(F.col(a).alias(f"b{a}") for a in AXES))
     own = primary.select(*by, F.col("label").alias("alabel"), *(F.col(a).alias(f"a{a}") for a in AXES))
-    from .measure import _near_pairs
-
     names = primary.select(*key).distinct()
     if ref.isEmpty():
         return names.select(*key, F.lit(None).cast("float").alias(f"dist_to_nearest_{name}_um"), F.lit(0).cast(primary.schema["label"].dataType).alias(f"nearest_{name}_id"))
@@ -75,7 +75,7 @@ def distance_to_reference(primary: DataFrame, reference: DataFrame, name: str, s
     touching = overlay(primary, reference, by).groupBy(*key).agg(F.min(F.struct(*AXES, "ref_label")).alias("t")).select(*by, F.col("label").alias("alabel"), F.lit(0.0).cast("float").alias("d"), F.col("t.ref_label").alias("id"))
     found, todo = touching, own.join(touching.select(*by, "alabel"), [*by, "alabel"], "left_anti")
     while not todo.isEmpty():
-        met = _near_pairs(todo, ref, by, spacing, reach).groupBy(*by, "alabel").agg(best.alias("m")).where(F.col("m.d") <= reach).select(*by, "alabel", F.col("m.d").alias("d"), F.col("m.blabel").alias("id"))
+        met = staged(_near_pairs(todo, ref, by, spacing, reach).groupBy(*by, "alabel").agg(best.alias("m")).where(F.col("m.d") <= reach).select(*by, "alabel", F.col("m.d").alias("d"), F.col("m.blabel").alias("id")))
         found = found.unionByName(met)
         if reach > limit:
             break

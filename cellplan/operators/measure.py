@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import staged
 from .raster import AXES, exposed_faces, surface
 
 Spacing = tuple[float, float, float]
@@ -149,16 +150,16 @@ def nearest_objects(labels: DataFrame, spacing: Spacing = (1.0, 1.0, 1.0), by: t
     Exact without all pairs: objects look within ``reach`` first; those that found nothing look twice as far, and so on.
     An object that is alone in its image is absent. Points are the smallest (z, y, x) at the shortest distance.
     """
-    spark = labels.sparkSession
-    pa, pb = _points(labels, by, dims, label, "a"), _points(labels, by, dims, label, "b")
+    pa = staged(_points(labels, by, dims, label, "a"))
+    pb = pa.select(*by, F.col("alabel").alias("blabel"), *(F.col(f"a{a}").alias(f"b{a}") for a in AXES))
     alone = pa.select(*by, "alabel").distinct().groupBy(*by).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n") if by else None
     todo = pa.join(alone, list(by), "left_semi") if by else pa
-    span = labels.agg(*(((F.max(a) - F.min(a)) * F.lit(s)).alias(a) for a, s in zip(AXES, spacing, strict=True))).first()
+    span = pa.agg(*(((F.max(f"a{a}") - F.min(f"a{a}")) * F.lit(s)).alias(a) for a, s in zip(AXES, spacing, strict=True))).first()
     limit = math.sqrt(sum((v or 0) ** 2 for v in span)) + 1
     best = F.min(F.struct(distance("a", "b", spacing).alias("d"), F.col("blabel").alias("label"), *(F.col(f"a{a}").alias(f"a{a}") for a in AXES), *(F.col(f"b{a}").alias(f"b{a}") for a in AXES)))
     found = None
     while True:
-        met = _near_pairs(todo, pb, by, spacing, reach).where("alabel != blabel").groupBy(*by, "alabel").agg(best.alias("m")).where(F.col("m.d") <= reach)
+        met = staged(_near_pairs(todo, pb, by, spacing, reach).where("alabel != blabel").groupBy(*by, "alabel").agg(best.alias("m")).where(F.col("m.d") <= reach))
         found = met if found is None else found.unionByName(met)
         if reach > limit:
             break

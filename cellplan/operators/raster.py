@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import connected_components
+from .graph import connected_components, staged
 
 AXES = ("z", "y", "x")
 Offsets = list[tuple[int, int, int]]
@@ -124,7 +124,6 @@ def components(mask: DataFrame, id_col: str = "id", full: bool = False, dims: in
         grid = np.full(shape, -1, np.int64)
         rel = at - low
         grid[rel[:, 0], rel[:, 1], rel[:, 2]] = np.arange(len(at))
-        root = np.arange(len(at))
         pairs = []
         for d in half:
             to = rel + d
@@ -144,11 +143,10 @@ def components(mask: DataFrame, id_col: str = "id", full: bool = False, dims: in
             value = value[order[np.searchsorted(ids, value, sorter=order)]]
             if (value == before).all():
                 break
-        del root
         return pdf[[*by, *AXES, "_id"]].assign(_local=value)
 
     rows = mask.select(*by, *AXES, F.col(id_col).cast("long").alias("_id"), *keys)
-    labelled = rows.groupBy(*by, *(f"_t{a}" for a in AXES)).applyInPandas(local, out)
+    labelled = staged(rows.groupBy(*by, *(f"_t{a}" for a in AXES)).applyInPandas(local, out))
     edge = F.lit(False)
     for a in AXES if dims == 3 else AXES[1:]:
         edge = edge | (F.pmod(F.col(a), F.lit(tile)) == 0) | (F.pmod(F.col(a), F.lit(tile)) == tile - 1)
