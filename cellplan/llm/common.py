@@ -9,6 +9,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.graph import fewer_files
+
 #: Rows in an Arrow batch that goes to a Python worker. Texts can be long, so batches stay small.
 BATCH_ROWS = 256
 
@@ -34,11 +36,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """Writes df as Parquet into the shared folder and reads it back: cuts the lineage and survives lost executors."""
+def written(df: DataFrame, label: str, each: int = 1) -> tuple[DataFrame, str]:
+    """Writes df as Parquet into the shared folder and reads it back: cuts the lineage and survives lost executors.
+
+    About ``each`` files a core are written, whatever the number of partitions.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cellplan/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    fewer_files(df, each).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

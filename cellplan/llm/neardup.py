@@ -17,10 +17,12 @@ from pyspark.sql import functions as F
 from ..operators.graph import connected_components
 from .common import map_batches, small_batches, written
 
-#: Coordinates of a sketch, in bands of ROWS: two sets of similarity 0.8 meet in some band but for 3 in a million.
-BINS, ROWS = 160, 5
-#: Pairs whose sketches agree in less than this share aren't verified: 0.8 lies 4.7 standard deviations above it.
-LEAST_AGREEMENT = 0.65
+#: Coordinates of a sketch; the first BANDS * ROWS are banded: two sets of similarity 0.8 meet in some band but for 3 in a million.
+BINS, BANDS, ROWS = 512, 32, 5
+#: Pairs whose sketches agree in less than this share aren't verified: 0.8 lies 4 standard deviations above it.
+LEAST_AGREEMENT = 0.73
+#: Up to so many ids of documents to verify (8 bytes each) are broadcast, so that only their texts are shuffled; with more, all are.
+BROADCAST_IDS = 500_000
 #: Members of a hub that one group verifies, and rows of a mixed bucket that one block holds.
 HUB_GROUP, BLOCK = 256, 2048
 
@@ -52,7 +54,7 @@ class Words(dict):
     """64-bit hashes of words, kept up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 600_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
         return h
@@ -86,8 +88,10 @@ def sketch(elements: np.ndarray, bins: int = BINS) -> np.ndarray:
     return out
 
 
-def features(docs: DataFrame, size: int = 2, bins: int = BINS, rows: int = ROWS, with_sketch: bool = True) -> DataFrame:
-    """Rows (doc_id, n_shingles, set_key, bands, sketch): equal sets have equal keys; empty sets have null instead."""
+def features(docs: DataFrame, size: int = 2) -> DataFrame:
+    """Rows (doc_id, n_shingles, set_key, bands, sketch): equal sets have equal keys; empty sets have null instead.
+
+    bands are the buckets' keys; sketch has a byte of each coordinate, enough to tell how many agree."""
     small_batches(docs.sparkSession)
 
     def make():
@@ -97,12 +101,12 @@ def features(docs: DataFrame, size: int = 2, bins: int = BINS, rows: int = ROWS,
             s = hashed_shingles(text, known, size)
             if not len(s):
                 return 0, None, None, None
-            whole = sketch(s, bins)
-            bands = whole[: bins // rows * rows].reshape(-1, rows)
-            key = np.full(len(bands), 1, np.uint64) + np.arange(len(bands), dtype=np.uint64)
-            for k in range(rows):
+            whole = sketch(s)
+            bands = whole[: BANDS * ROWS].reshape(BANDS, ROWS)
+            key = np.arange(1, BANDS + 1, dtype=np.uint64)
+            for k in range(ROWS):
                 key = mix(key * _STEP + bands[:, k])
-            return len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), key.astype(np.int64), (mix(whole) >> np.uint64(48)).astype(np.uint16).tobytes()
+            return len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), key.astype(np.int64), (mix(whole) >> np.uint64(56)).astype(np.uint8).tobytes()
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             n, keys, bands, sketches = zip(*map(one, batch.column(1).to_pylist()), strict=True)
@@ -120,7 +124,7 @@ def _agreeing(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 
     def make():
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for k in (2, 3))
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (2, 3))
             return batch.select([0, 1]).filter(pa.array((x == y).mean(axis=1) >= LEAST_AGREEMENT))
 
         return run
@@ -128,17 +132,26 @@ def _agreeing(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return map_batches(both, make, "a bigint, b bigint")
 
 
+def _with_texts(need: DataFrame, docs: DataFrame) -> DataFrame:
+    """need, whose ``id`` names documents, with their texts. Up to BROADCAST_IDS ids are broadcast to sift the texts first."""
+    need, _ = written(need, "need")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("text is not null")
+    ids = need.select("id").distinct()
+    if ids.count() <= BROADCAST_IDS:
+        texts = texts.join(F.broadcast(ids), "id", "left_semi")
+    return need.join(texts, "id")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, percent: int = 80, size: int = 2) -> DataFrame:
     """Of the pairs (a, b) those whose full shingle sets have 100 * intersection >= percent * union.
 
     Each a's set is built once for up to HUB_GROUP of its partners, which pass by one at a time; an a with more partners
-    is dealt over several groups.
+    is dealt over several groups. Which of a and b is smaller doesn't matter.
     """
     groups = pairs.groupBy("a").agg(F.count("*").alias("degree")).select("a", F.ceil(F.col("degree") / HUB_GROUP).alias("parts"))
     dealt = pairs.join(groups, "a").select("a", F.pmod(F.xxhash64("b"), "parts").alias("part"), "b")
     need = dealt.select("a", "part", F.lit(1).alias("side"), F.col("b").alias("id")).unionByName(dealt.select("a", "part", F.lit(0).alias("side"), F.col("a").alias("id")).distinct())
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("text is not null")
-    rows = need.join(texts, "id").repartition("a", "part").sortWithinPartitions("a", "part", "side").select("a", "part", "side", "id", "text")
+    rows = _with_texts(need, docs).repartition("a", "part").sortWithinPartitions("a", "part", "side").select("a", "part", "side", "id", "text")
 
     def make():
         hub: list = [None, set()]
@@ -160,30 +173,37 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int = 80, size: int = 2
     return map_batches(rows, make, "a bigint, b bigint")
 
 
-def _apart(mixed: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of rows (key, rep, comp, n, sketch) that share a key but no component and whose sketches agree."""
+def _clusters(mixed: DataFrame, percent: int) -> DataFrame:
+    """Rows (a, b) that span the documents of a bucket whose sketches agree with one of another component.
+
+    mixed: (key, rep, comp, n, sketch). A bucket of m rows gives m - 1 of them at most, not its pairs. Large buckets are
+    dealt over pairs of blocks.
+    """
     parts = mixed.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
     dealt = mixed.join(parts, "key").withColumn("i", F.pmod(F.xxhash64("rep"), "parts")).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     rows = dealt.select("key", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "rep", "comp", "n", "sketch").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
-    def pairs_of(group: list) -> tuple[list, list]:
+    def spanning(group: list) -> tuple[list, list]:
         rep, comp, n = (np.array([x[k] for x in group], np.int64) for k in range(3))
-        s = np.frombuffer(b"".join(x[3] for x in group), np.uint16).reshape(len(group), -1)
         names, counts = np.unique(comp, return_counts=True)
         if len(names) < 2:
             return [], []
-        a, b = [], []
+        s = np.frombuffer(b"".join(x[3] for x in group), np.uint8).reshape(len(group), -1)
+        tree = rep.copy()
         for k in np.flatnonzero(comp != names[counts.argmax()]):  # each pair of two components has one outside the largest
             near = ((s == s[k]).mean(axis=1) >= LEAST_AGREEMENT) & (comp != comp[k]) & (100 * np.minimum(n, n[k]) >= percent * np.maximum(n, n[k]))
-            a += np.minimum(rep[near], rep[k]).tolist()
-            b += np.maximum(rep[near], rep[k]).tolist()
-        return a, b
+            if near.any():
+                near[k] = True
+                joined = np.unique(tree[near])
+                tree[np.isin(tree, joined)] = joined[0]
+        apart = tree != rep
+        return rep[apart].tolist(), tree[apart].tolist()
 
     def run(batches):
         now, group = None, []
 
         def out():
-            a, b = pairs_of(group)
+            a, b = spanning(group)
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         for batch in batches:
@@ -199,26 +219,77 @@ def _apart(mixed: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 2, bins: int = BINS, rows: int = ROWS) -> DataFrame:
+def _joining(members: DataFrame, docs: DataFrame, percent: int, size: int) -> DataFrame:
+    """Links (a, b) between components of a cluster, enough to join all that links join. members: (cluster, rep, comp).
+
+    Documents outside a cluster's largest component (the few) are held in groups of up to HUB_GROUP with an index of
+    their shingles' hashes; all of the cluster's documents pass by one at a time and are counted against it. A link
+    whose components were joined before is not given, so there are fewer links than components.
+    """
+    sizes = members.groupBy("cluster", "comp").agg(F.count("*").alias("c"))
+    main = sizes.groupBy("cluster").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("all"))
+    groups = main.select("cluster", F.col("top.comp").alias("main"), F.ceil((F.col("all") - F.col("top.c")) / HUB_GROUP).alias("parts"))
+    known = members.join(groups.where("parts > 0"), "cluster")
+    few = known.where("comp != main").select("cluster", F.pmod(F.xxhash64("rep"), "parts").alias("part"), F.lit(0).alias("side"), F.col("rep").alias("id"), "comp")
+    all_ = known.select("cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(1).alias("side"), F.col("rep").alias("id"), "comp")
+    rows = _with_texts(few.unionByName(all_), docs).repartition("cluster", "part").sortWithinPartitions("cluster", "part", "side", "id").select("cluster", "part", "side", "id", "comp", "text")
+
+    def run(batches):
+        words = Words()
+        now, held, index, root = None, [], None, {}
+
+        def find(x):
+            while root.setdefault(x, x) != x:
+                x = root[x]
+            return x
+
+        for batch in batches:
+            found = []
+            for cluster, part, side, i, comp, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (cluster, part) != now:
+                    now, held, index, root = (cluster, part), [], None, {}
+                s = hashed_shingles(text, words, size)
+                if not side:
+                    held.append((i, comp, s))
+                    continue
+                if index is None:
+                    owner = np.repeat(np.arange(len(held)), [len(x[2]) for x in held])
+                    values = np.concatenate([x[2] for x in held])
+                    order = np.argsort(values, kind="stable")
+                    index = values[order], owner[order], np.array([len(x[2]) for x in held])
+                low, high = np.searchsorted(index[0], s, "left"), np.searchsorted(index[0], s, "right")
+                hit = high > low
+                both = np.bincount(np.concatenate([index[1][a:b] for a, b in zip(low[hit].tolist(), high[hit].tolist(), strict=True)]) if hit.any() else np.empty(0, np.int64), minlength=len(held))
+                for k in np.flatnonzero((both > 0) & (100 * both >= percent * (index[2] + len(s) - both))).tolist():
+                    if (x := find(held[k][1])) != (y := find(comp)):
+                        root[x] = y
+                        found.append((held[k][0], i))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return rows.mapInArrow(run, "a bigint, b bigint")
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 2) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id, kept): the components under links of similarity percent / 100 or more.
 
     1. Documents with equal sets form a class; its smallest doc_id stands for it from here on.
     2. In each band's bucket the smallest id is the hub; hub and member are verified on full sets. This gives nearly all
        components and its rows grow with the buckets' sizes, not with their squares.
-    3. Where a bucket still holds several components, its pairs across components whose sketches agree are verified too:
-       no link between components is lost, and links inside one would change nothing.
+    3. Where a bucket still holds several components, documents whose sketches agree across them form clusters, and in
+       each the few outside its largest component are compared with all others on full sets: no link between components
+       is lost, and links inside one would change nothing. Pairs are counted in the tasks, not emitted.
 
     Null or blank texts: an empty set, linked with nothing. A null doc_id: its row is returned with a null component and
     kept. Rows that share a doc_id are one document. Other columns aren't read. Hot sets and buckets are pre-aggregated;
     joins on them are split by AQE.
     """
-    feats, _ = written(features(docs, size, bins, rows), "features")
+    feats, _ = written(features(docs, size), "features", 4)
     known = feats.where("set_key is not null and doc_id is not null")
     classes = known.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    reps, _ = written(classes, "classes")
+    reps, _ = written(classes, "classes", 4)
     banded = reps.select(F.explode("bands").alias("key"), "rep")
     hubs = banded.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("size")).where("size > 1").drop("size")
-    shared, _ = written(banded.join(hubs, "key"), "buckets")
+    shared, _ = written(banded.join(hubs, "key"), "buckets", 4)
     stars = shared.where("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     same = known.select("doc_id", "set_key").join(reps.select("set_key", "rep"), "set_key").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a != b").select("a", "b")
     links, _ = written(verified(_agreeing(stars, reps, percent), docs, percent, size).unionByName(same), "links")
@@ -226,10 +297,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 2, bins: int
     comp = shared.select("key", "rep").join(first.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
     several = comp.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("key")
     mixed = comp.join(several, "key").join(reps.select("rep", "n", "sketch"), "rep")
-    more, _ = written(_apart(mixed, percent).join(stars, ["a", "b"], "left_anti"), "apart")
-    if not more.isEmpty():
-        links = links.unionByName(written(verified(more, docs, percent, size), "links")[0])
-        first, _ = written(connected_components(links), "components")
+    near, _ = written(_clusters(mixed, percent), "near")
+    if not near.isEmpty():
+        clusters = connected_components(near).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
+        members = clusters.join(first.withColumnRenamed("node", "rep"), "rep", "left").select("cluster", "rep", F.coalesce("component", "rep").alias("comp"))
+        more, _ = written(_joining(members, docs, percent, size), "more")
+        if not more.isEmpty():
+            links = links.unionByName(verified(more, docs, percent, size))
+            first, _ = written(connected_components(links), "components")
     out = feats.select("doc_id", "n_shingles", "set_key").join(reps.select("set_key", "rep"), "set_key", "left").join(first.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -65,5 +65,16 @@ def test_against_brute_force(spark):
     assert sorted(x.doc_id for x in kept.collect() if x.doc_id is not None) == sorted(set(want.values()))
 
 
+def test_hot_group_of_near_copies(spark):
+    """Copies with edits of very different extent: many are near the group but linked with no member, or with a few."""
+    r = random.Random(9)
+    base = [f"w{k}" for k in range(150)]
+    rows = [(k, " ".join(edited(r, base, r.random() ** 2 * 0.14))) for k in range(260)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    want = brute(rows)
+    assert len(set(want.values())) > 20
+    assert {x.doc_id: x.component_id for x in nd.op8_minhash_near_dedup(df).collect()} == want
+
+
 def test_empty(spark):
     assert nd.op8_minhash_near_dedup(spark.createDataFrame([], "doc_id bigint, text string")).collect() == []
