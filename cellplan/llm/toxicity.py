@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -22,15 +23,26 @@ from .common import map_batches, small_batches, table
 
 #: Labelled documents of each class that are fitted to at most, and the longest of them in characters: bounds the driver's memory.
 SAMPLE, SAMPLE_CHARS = 3000, 20_000
-#: A word is evidence if this many sampled documents hold it and its likelihood ratio against the label is this high.
-LEAST_DOCS, LEAST_RATIO = 4, 15.0
+#: A word or a word's beginning is evidence if this many sampled documents hold it and its likelihood ratio is this high.
+LEAST_DOCS, LEAST_RATIO = 4, 20.0
+#: Lengths of beginnings that are looked at besides whole words: slurs are inflected.
+STEMS = (4, 5, 6)
+#: How strongly weights are drawn to 1.
+RIDGE = 0.3
 
 SENTENCE = re.compile(r"[^.!?\n。]+[.!?。]*")
 WORD = re.compile(r"\w+")
 
 
+def traits(words: set[str]) -> set[str]:
+    """Words and their beginnings, these with a star."""
+    return words | {w[:k] + "*" for w in words for k in STEMS if len(w) > k}
+
+
 @dataclass
 class Model:
+    """weights: by trait, a word or (with a star) a word's beginning."""
+
     leak: float = 0.0
     bias: float = -3.0
     weights: dict[str, float] = field(default_factory=dict)
@@ -39,13 +51,13 @@ class Model:
         """Start, end and probability of the sentences that hold evidence."""
         out = []
         for m in SENTENCE.finditer(text):
-            found = self.weights.keys() & set(WORD.findall(m[0].lower()))
+            found = self.weights.keys() & traits(set(WORD.findall(m[0].lower())))
             if found:
                 out.append((m.start(), m.end(), 1 / (1 + math.exp(-max(-30.0, min(30.0, self.bias + sum(self.weights[w] for w in sorted(found))))))))
         return out
 
     def score(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
-        if self.weights.keys().isdisjoint(WORD.findall(text.lower())):
+        if self.weights.keys().isdisjoint(traits(set(WORD.findall(text.lower())))):
             return self.leak, []
         found = self.sentences(text)
         return 1 - (1 - self.leak) * math.exp(sum(math.log1p(-p) for *_, p in found)), found
@@ -61,34 +73,66 @@ def _ratio(k: float, n: float, all_k: float, all_n: float) -> float:
     return 2 * (side(k, n, p) + side(all_k - k, all_n - n, p)) if 0 < p < 1 else 0.0
 
 
+def apart(texts: list[str], labels: list[int]) -> list[int]:
+    """Numbers of the texts to learn from: of near copies with one label only the first, or their chance words would count.
+
+    Copies are told by the three smallest hashes of their words.
+    """
+    seen, out = set(), []
+    for k, (t, one) in enumerate(zip(texts, labels, strict=True)):
+        mark = (one, *sorted({zlib.crc32(w.encode()) for w in WORD.findall(t.lower())})[:3])
+        if mark not in seen:
+            seen.add(mark)
+            out.append(k)
+    return out
+
+
+def evidence(texts: list[str], y: np.ndarray, bits: int = 22) -> list[str]:
+    """Traits that the labels speak for, sorted. Counted by hash first, so that only likely ones are counted by name."""
+    docs, toxic = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
+    at = lambda t: zlib.crc32(t.encode()) >> (32 - bits)
+    for text, one in zip(texts, y, strict=True):
+        places = list({at(t) for t in traits(set(WORD.findall(text.lower())))})
+        docs[places] += 1
+        if one:
+            toxic[places] += 1
+    total, share = len(y), float(y.sum())
+    some = np.flatnonzero((toxic >= LEAST_DOCS) & (toxic * total > docs * share))
+    likely = np.zeros(1 << bits, bool)
+    likely[some] = True
+    n, k = Counter(), Counter()
+    for text, one in zip(texts, y, strict=True):
+        found = [t for t in traits(set(WORD.findall(text.lower()))) if likely[at(t)]]
+        n.update(found)
+        if one:
+            k.update(found)
+    return sorted(t for t in n if n[t] >= LEAST_DOCS and _ratio(k[t], n[t], share, total) >= LEAST_RATIO)
+
+
 def fit(texts: list[str], labels: list[int], prior: float | None = None, steps: int = 400) -> Model:
     """Fits a model to documents and their labels. ``prior``: the share of label 1 that the classes are weighted to."""
-    y = np.array(labels, float)
+    kept = apart(texts, labels)
+    texts = [texts[k] for k in kept]
+    y = np.array([labels[k] for k in kept], float)
     if not len(y) or y.min() == y.max():
         return Model(leak=float(y.mean()) if len(y) else 0.0)
     prior = prior if prior is not None else float(y.mean())
     weight = np.where(y == 1, prior / y.mean(), (1 - prior) / (1 - y.mean()))
-    docs, toxic = Counter(), Counter()
-    bags = [[set(WORD.findall(s.lower())) for s in SENTENCE.findall(t)] for t in texts]
-    for bag, one in zip(bags, labels, strict=True):
-        words = set().union(*bag)
-        docs.update(words)
-        if one:
-            toxic.update(words)
-    share = y.sum()
-    known = sorted(w for w, n in docs.items() if n >= LEAST_DOCS and _ratio(toxic[w], n, share, len(y)) >= LEAST_RATIO)
+    known = evidence(texts, y)
     if not known:
         return Model(leak=prior)
+    wanted = set(known)
+    bags = [[found for s in SENTENCE.findall(t) if (found := wanted & traits(set(WORD.findall(s.lower()))))] for t in texts]
     at = {w: k for k, w in enumerate(known)}
     rows, columns, owner = [], [], []
     for d, bag in enumerate(bags):
         for s in bag:
-            if found := [at[w] for w in s if w in at]:
-                columns += found
-                rows += [len(owner)] * len(found)
-                owner.append(d)
+            columns += [at[w] for w in sorted(s)]
+            rows += [len(owner)] * len(s)
+            owner.append(d)
     rows, columns, owner = np.array(rows), np.array(columns), np.array(owner)
-    # Parameters: weights, bias, logit of the leak; Adam on the weighted likelihood with a light ridge on the weights.
+    # Parameters: weights, bias, logit of the leak; Adam on the weighted likelihood. Evidence only adds, so weights stay
+    # at 0 or above; and it was screened, so they are drawn to 1: a wrong label must not undo what many say.
     theta = np.concatenate([np.ones(len(known)), [-1.0, math.log(prior / (1 - prior)) - 1]])
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, steps + 1):
@@ -98,9 +142,10 @@ def fit(texts: list[str], labels: list[int], prior: float | None = None, steps:
         none = np.bincount(owner, np.logaddexp(0, z), len(y)) - math.log1p(-leak)  # minus log of "no sentence offends"
         slope = weight * np.where(y == 1, -1 / np.maximum(np.expm1(np.minimum(none, 50)), 1e-9), 1.0)
         g = slope[owner] * p
-        grad = np.concatenate([np.bincount(columns, g[rows], len(known)) + 0.01 * theta[:-2], [g.sum(), (slope * leak).sum()]]) / len(y)
+        grad = np.concatenate([np.bincount(columns, g[rows], len(known)) + RIDGE * (theta[:-2] - 1), [g.sum(), (slope * leak).sum()]]) / len(y)
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         theta -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+        np.maximum(theta[:-2], 0, out=theta[:-2])
     return Model(float(1 / (1 + math.exp(-theta[-1]))), float(theta[-2]), dict(zip(known, theta[:-2].tolist(), strict=True)))
 
 
