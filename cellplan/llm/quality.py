@@ -21,8 +21,8 @@ from .toxicity import SAMPLE_CHARS, held_out, labelled_sample
 
 #: Labelled documents of each class and unlabelled documents that are fitted to at most; rounds, and guesses a view gives in one.
 SAMPLE, POOL, ROUNDS, GIVEN = 3000, 4000, 4, 200
-SURE = 0.9  # how sure a view must be of a guess that it gives
-BINS, SOURCES, LANGUAGES = 8, 32, 8
+SURE, LIFT = 0.9, 1.5  # how sure a view must be of a guess that it gives, and how far its log odds must lie from the labels' own
+BINS, SOURCES, LANGUAGES = 24, 32, 8
 
 _KINDS = np.zeros(256, np.int64)
 for _k, _chars in enumerate((range(97, 123), range(65, 91), b"0123456789", b" \t\r\x0b\x0c", b"\n", b".,;:?'\"()-", b"!", b"|", b"%&#$*@^~<>={}[]\\/+_`", range(128, 256))):
@@ -137,10 +137,11 @@ def cotrain(labelled: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[
         if k == rounds or not free.any():
             break
         for me, other in ((0, 1), (1, 0)):
-            p = probability(views[me].logit(pool[me]))
-            order = np.argsort(-np.abs(p - 0.5), kind="stable")
-            good = [i for i in order if free[i] and p[i] >= SURE][: max(1, round(given * share))]
-            bad = [i for i in order if free[i] and p[i] <= 1 - SURE][: max(1, round(given * (1 - share)))]
+            logit = views[me].logit(pool[me])
+            p, lift = probability(logit), logit - np.log(share / (1 - share))  # a view that knows nothing repeats the labels' share
+            order = np.argsort(-np.abs(lift), kind="stable")
+            good = [i for i in order if free[i] and p[i] >= SURE and lift[i] >= LIFT][: max(1, round(given * share))]
+            bad = [i for i in order if free[i] and p[i] <= 1 - SURE and lift[i] <= -LIFT][: max(1, round(given * (1 - share)))]
             if picked := good + bad:
                 free[picked] = False
                 learn[other] = [np.vstack([learn[other][0], pool[other][picked]]), np.concatenate([learn[other][1], np.r_[np.ones(len(good)), np.zeros(len(bad))]])]

@@ -18,7 +18,8 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def poor_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.keep_good(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+    """Drops documents that are poor with three chances in four: what is unclear, as very short texts are, stays."""
+    return quality.keep_good(docs, quality.train(docs, table(spark, sf_dir, "labels")), 0.25)
 
 
 def copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
