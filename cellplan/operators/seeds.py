@@ -117,3 +117,24 @@ def extract_seeds(cells: DataFrame, value: str = "intensity", spacing=(1.0, 1.0,
     found = cells.select(*by, "label", *(F.col(a).cast("long").alias(a) for a in AXES), value).groupBy(*by, "label").applyInPandas(find, schema + f"label {lab}, score double, size long, at array<long>")
     placed = found.groupBy(*by) if by else found.groupBy(F.lit(0).alias("_image"))
     return placed.applyInPandas(place, schema + f"label {lab}, seed long, z long, y long, x long")
+
+
+def distance_core(cells: DataFrame, ratio: float, distance: str = "distance", by: tuple[str, ...] = ("label",)) -> DataFrame:
+    """Voxels whose distance is at least ``ratio`` of their object's greatest: maxima come from partial aggregates."""
+    top = cells.groupBy(*by).agg(F.max(distance).alias("_top"))
+    return cells.join(top, list(by)).where(F.col(distance) >= ratio * F.col("_top")).drop("_top")
+
+
+def intensity_core(cells: DataFrame, p: float, value: str = "intensity", by: tuple[str, ...] = ("label",)) -> DataFrame:
+    """Voxels at or above the percentile p of their object's intensities."""
+    level = cells.groupBy(*by).agg(F.percentile(value, p / 100).alias("_level"))
+    return cells.join(level, list(by)).where(F.col(value) >= F.col("_level")).drop("_level")
+
+
+def aspect_ratio(cells: DataFrame, spacing=(1.0, 1.0, 1.0), by: tuple[str, ...] = ("label",)) -> DataFrame:
+    """Per 2D object the square root of its coordinates' covariance eigenvalues' ratio; null for straight or tiny ones."""
+    y, x = F.col("y") * F.lit(spacing[1]), F.col("x") * F.lit(spacing[2])
+    m = cells.groupBy(*by).agg(F.var_samp(y).alias("a"), F.var_samp(x).alias("b"), F.covar_samp(y, x).alias("c"), F.count("*").alias("n"))
+    half, root = (F.col("a") + F.col("b")) / 2, F.sqrt(F.pow((F.col("a") - F.col("b")) / 2, F.lit(2)) + F.col("c") * F.col("c"))
+    low = half - root
+    return m.select(*by, "n", F.when((F.col("n") > 2) & (low > 1e-9), F.sqrt((half + root) / low)).alias("aspect"))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from . import cohort_queries, measure_queries, raster_queries
+    from . import cohort_queries, measure_queries, raster_queries, seed_queries
 
-    return [raster_queries, measure_queries, cohort_queries]
+    return [raster_queries, measure_queries, cohort_queries, seed_queries]
 
 
 def queries() -> dict:
