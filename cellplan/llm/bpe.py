@@ -25,7 +25,7 @@ WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: A run of white space with what follows it: no piece reaches out of such a unit.
 UNITS = regex.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
-EDGE = regex.compile(f"[{WHITE}]")
+BLANKS = frozenset(c for c in map(chr, range(0x3001)) if regex.match(f"[{WHITE}]", c))
 #: Entries that a worker's caches of units and of pieces may hold before they start anew. Only speed depends on it.
 CACHE = 700_000
 
@@ -193,7 +193,7 @@ class Units:
     def _plan(self, text: str):
         """The text's parts between single spaces, or its units where white space comes in runs."""
         parts = text.split(" ")
-        if "" in parts or EDGE.match(parts[0]) or EDGE.match(parts[-1][-1]):
+        if "" in parts or parts[0][0] in BLANKS or parts[0][-1] in BLANKS:
             return UNITS.findall(text), None
         return parts[:1], parts[1:]
 
@@ -214,7 +214,7 @@ class Units:
                 elif part:
                     head, tail = self._plan(part)
                     if tail and (new := set(tail).difference(self.spaced)):
-                        if any(EDGE.match(x[0]) or EDGE.match(x[-1]) for x in new):
+                        if any(x[0] in BLANKS or x[-1] in BLANKS for x in new):
                             head, tail = UNITS.findall(part), None
                         else:
                             spaced |= new

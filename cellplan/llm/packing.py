@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import math
 import zlib
+from struct import pack as pack_ids
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .bpe import Units, Vocabulary, default_path, made
+from .bpe import BLANKS, CACHE, UNITS, Vocabulary, default_path, made
 from .common import map_batches, small_batches, written
 
 CAPACITY, END = 1024, 2
@@ -27,28 +28,62 @@ CAPACITY, END = 1024, 2
 ROUNDS, RATE, SWING = 160, 0.4, 0.7
 
 
-def library_units(path: str) -> Units:
-    """Looks up texts as bpe.encoder() does; unknown units go to a library with the same vocabulary, given as ranks beside it."""
-    import tiktoken
+class Irregular(ValueError):
+    """A part between single spaces that starts or ends with white space."""
 
-    ranks = {}
-    with open(path.removesuffix(".json") + ".tiktoken", "rb") as f:
-        for line in f:
-            token, rank = line.split()
-            ranks[base64.b64decode(token)] = int(rank)
-    from public_tokenizers import PATTERN
 
-    encode = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    packed = lambda x: np.array(encode(x), "<u4").tobytes()
-    vocab = Vocabulary(path)
-    units = Units(vocab, None, b"".join, {t: i.to_bytes(4, "little") for t, i in vocab.added.items()})
+class LibraryUnits:
+    """Packed token numbers of whole texts, unit by unit as bpe.Units does, from a library that knows the same vocabulary as ranks."""
 
-    def fill(new, spaced):
-        units.units |= {u: packed(u) for u in new}
-        units.spaced |= {u: packed(" " + u) for u in spaced}
+    def __init__(self, path: str):
+        import tiktoken
+        from public_tokenizers import PATTERN
 
-    units._fill = fill
-    return units
+        ranks = {}
+        with open(path.removesuffix(".json") + ".tiktoken", "rb") as f:
+            for line in f:
+                token, rank = line.split()
+                ranks[base64.b64decode(token)] = int(rank)
+        encode = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        vocab = Vocabulary(path)
+        self.special = {t: i.to_bytes(4, "little") for t, i in vocab.added.items()}
+        self.split = vocab.special.split if vocab.special else lambda x: [x]
+
+        class Whole(dict):
+            def __missing__(self, unit: str) -> bytes:
+                ids = encode(unit)
+                self[unit] = out = pack_ids(f"<{len(ids)}I", *ids)
+                return out
+
+        class Spaced(dict):
+            def __missing__(self, unit: str) -> bytes:
+                if not unit or unit[0] in BLANKS or unit[-1] in BLANKS:
+                    raise Irregular
+                ids = encode(" " + unit)
+                self[unit] = out = pack_ids(f"<{len(ids)}I", *ids)
+                return out
+
+        self.whole, self.spaced = Whole(), Spaced()
+
+    def one(self, text: str) -> bytes:
+        head, *tail = text.split(" ")
+        try:
+            if not head or head[0] in BLANKS or head[-1] in BLANKS:
+                raise Irregular
+            return b"".join([self.whole[head], *map(self.spaced.__getitem__, tail)])
+        except Irregular:
+            return b"".join(map(self.whole.__getitem__, UNITS.findall(text)))
+
+    def values(self, texts: list[str]) -> list[bytes]:
+        for cache in (self.whole, self.spaced):
+            if len(cache) > CACHE:
+                cache.clear()
+        special = self.special
+        return [b"".join(special[p] if p in special else self.one(p) for p in self.split(t) if p) for t in texts]
+
+
+def library_units(path: str) -> LibraryUnits:
+    return LibraryUnits(path)
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, end: int = END, path: str | None = None) -> DataFrame:
@@ -222,7 +257,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> Data
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, end: int = END, path: str | None = None) -> DataFrame:
-    return pack(written(pieces(docs, capacity, end, path), "pieces")[0], capacity)
+    return pack(written(pieces(docs, capacity, end, path), "pieces", 4)[0], capacity)
 
 
 def op7_best_fit_packing(docs: DataFrame) -> DataFrame:
