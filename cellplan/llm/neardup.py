@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from .common import map_batches, small_batches, written
+from .common import fresh, map_batches, small_batches, written
 
 #: Coordinates of a sketch; the first BANDS * ROWS are banded: two sets of similarity 0.8 meet in some band but for 3 in a million.
 BINS, BANDS, ROWS = 512, 32, 5
@@ -154,18 +154,18 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int = 80, size: int = 2
     rows = _with_texts(need, docs).repartition("a", "part").sortWithinPartitions("a", "part", "side").select("a", "part", "side", "id", "text")
 
     def make():
-        hub: list = [None, set()]
+        hub: list = [None, []]  # a's texts: one, but for rows that share its id
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             found = []
             for a, part, side, i, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 s = shingles(text, size)
+                if hub[0] != (a, part):
+                    hub[:] = (a, part), []
                 if not side:
-                    hub[:] = (a, part), s
-                elif hub[0] == (a, part):
-                    both = len(hub[1] & s)
-                    if both and 100 * both >= percent * (len(s) + len(hub[1]) - both):
-                        found.append((a, i))
+                    hub[1].append(s)
+                elif any((both := len(h & s)) and 100 * both >= percent * (len(s) + len(h) - both) for h in hub[1]):
+                    found.append((a, i))
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         return run
@@ -291,7 +291,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 2) -> DataFr
     hubs = banded.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("size")).where("size > 1").drop("size")
     shared, _ = written(banded.join(hubs, "key"), "buckets", 4)
     stars = shared.where("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    same = known.select("doc_id", "set_key").join(reps.select("set_key", "rep"), "set_key").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a != b").select("a", "b")
+    ids = known.select("doc_id", "set_key").join(reps.select("set_key", "rep"), "set_key")
+    several = ids.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a != b").select("doc_id", "a")
+    same = ids.join(several, "doc_id").where("rep != a").select("a", F.col("rep").alias("b")).distinct()
     links, _ = written(verified(_agreeing(stars, reps, percent), docs, percent, size).unionByName(same), "links")
     first, _ = written(connected_components(links), "components")
     comp = shared.select("key", "rep").join(first.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
@@ -312,8 +314,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 2) -> DataFr
 
 def keep_one(docs: DataFrame, percent: int = 80, size: int = 2) -> DataFrame:
     """The documents of which each component keeps one, with all their columns; rows that repeat a doc_id count once."""
-    kept = near_duplicates(docs, percent, size).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept_id")).distinct()
-    named = docs.where("doc_id is not null").join(kept, docs["doc_id"].cast("long") == F.col("_kept_id"), "left_semi").dropDuplicates(["doc_id"])
+    (name,) = fresh(docs, "_kept_id")
+    kept = near_duplicates(docs, percent, size).where("kept and doc_id is not null").select(F.col("doc_id").alias(name)).distinct()
+    named = docs.where("doc_id is not null").join(kept, F.col("doc_id").cast("long") == F.col(name), "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.where("doc_id is null"))
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from .bpe import BLANKS, CACHE, UNITS, Vocabulary, default_path, made
-from .common import map_batches, small_batches, written
+from .common import fresh, map_batches, small_batches, written
 
 CAPACITY, END = 1024, 2
 #: Rounds of price changes, how sharply prices follow coverage (a round ahead or behind), and their largest logarithm.
@@ -221,23 +221,25 @@ def slots(planned: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]:
 
 
 def pack(cut: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> DataFrame:
-    """cut with sequence_id and offset added: pieces(), or any table with their columns and lengths from 1 to capacity.
+    """cut with sequence_id and offset added (or replaced): pieces(), or any table with their columns and lengths from 1 to capacity.
 
     The table is read several times, so it should be written one. Ranks within a length are counted by (bucket, length)
     and summed over buckets: no length, however frequent, is numbered in one task. Repeated rows are pieces of their own.
     """
     spark = cut.sparkSession
+    cut = cut.drop("sequence_id", "offset")
+    bucket, count, base, nth, rank = fresh(cut, "_bucket", "_n", "_base", "_nth", "_rank")
     histogram = {int(r["length"]): r["count"] for r in cut.groupBy("length").count().collect()}  # at most ``capacity`` rows
     if bad := [x for x in histogram if not 1 <= x <= capacity]:
         raise ValueError(f"lengths outside 1 to {capacity}: {bad[:5]}")
     at = slots(plan(histogram, capacity, rounds))
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), sum(histogram.values()) // 50_000)
-    spread = cut.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
-    counts = spread.groupBy("length", "_bucket").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.select("length", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    ranked = spread.withColumn("_nth", F.row_number().over(Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece")) - 1).join(bases, ["length", "_bucket"])
-    rows = ranked.select(*cut.columns, (F.col("_base") + F.col("_nth")).alias("_rank"))
+    spread = cut.withColumn(bucket, F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
+    counts = spread.groupBy("length", bucket).agg(F.count("*").alias(count))
+    before = Window.partitionBy("length").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select("length", bucket, F.coalesce(F.sum(count).over(before), F.lit(0)).alias(base))
+    ranked = spread.withColumn(nth, F.row_number().over(Window.partitionBy("length", bucket).orderBy("doc_id", "piece")) - 1).join(bases, ["length", bucket])
+    rows = ranked.select(*cut.columns, (F.col(base) + F.col(nth)).alias(rank))
     schema = StructType([*cut.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
     n = len(cut.columns)
     length_at = cut.columns.index("length")

@@ -159,7 +159,7 @@ _COLUMNS = ("text", "source", "lang", "n_chars")
 
 
 def _typed(docs: DataFrame) -> list:
-    return [F.col("text").cast("string"), F.col("source").cast("string"), F.col("lang").cast("string"), F.col("n_chars").cast("long")]
+    return [F.col(c).cast("long" if c == "n_chars" else "string").alias(c) for c in _COLUMNS]
 
 
 def numbers(batch: pa.RecordBatch, at: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -189,7 +189,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     a, b, y = _gathered(rows.withColumn("_label", F.col("_label").cast("int")))
     ids = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("_id")).where(~held_out("_id"))
     some = F.broadcast(ids.join(labels.select(F.col("doc_id").cast("long").alias("_id")), "_id", "left_anti").orderBy(F.xxhash64("_id"), "_id").limit(pool))
-    free = docs.where(F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS).join(some, F.col("doc_id").cast("long") == F.col("_id")).select(*_typed(docs), "_id", F.lit(0).alias("_label"))
+    short = docs.where(F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS).select(*_typed(docs), F.col("doc_id").cast("long").alias("_id"))
+    free = short.join(some, "_id").select(*_COLUMNS, "_id", F.lit(0).alias("_label"))
     pa_, pb, _ = _gathered(free)
     model = cotrain((a, b), y, (pa_, pb))
     total, k = sum(sizes.values()), y.mean() if len(y) else 1

@@ -163,7 +163,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, each: int, e
     sizes = {r["_label"]: r["count"] for r in once.groupBy("_label").count().collect()}
     chosen = [once.where(F.col("_label") == k).orderBy(F.xxhash64("_id"), "_id").limit(each) for k in (0, 1)]
     ids = F.broadcast(chosen[0].unionByName(chosen[1]))  # at most 2 * each rows of 12 bytes
-    return docs.where(F.coalesce(F.length("text"), F.lit(0)) <= chars).join(ids, F.col("doc_id").cast("long") == F.col("_id")).select(*(extra or ["text"]), "_id", "_label"), sizes
+    used = extra or ["text"]
+    rows = docs.where(F.coalesce(F.length("text"), F.lit(0)) <= chars).select(*used, F.col("doc_id").cast("long").alias("_id"))  # no other column, so no name can clash
+    return rows.join(ids, "_id").select(*[c for c in rows.columns if c != "_id"], "_id", "_label"), sizes
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> Model:

@@ -76,3 +76,6 @@ def test_odd_rows(spark):
     rows = packing.op7_best_fit_packing(df).collect()
     assert packed_well(rows, 1024) == 12 and sum(r.length for r in rows) == 1 + 1 + 2 * (6001 + 1) + 2
     assert packing.op7_best_fit_packing(df.limit(0)).count() == 0
+    cut = packing.pieces(df).withColumns({"_rank": packing.F.lit("r"), "_n": packing.F.lit(1), "offset": packing.F.lit("o")}).cache()
+    again = packing.pack(cut)
+    assert again.columns == [*(c for c in cut.columns if c != "offset"), "sequence_id", "offset"] and packed_well(again.collect(), 1024) == 12

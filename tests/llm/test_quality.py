@@ -54,7 +54,7 @@ def test_query(spark):
 
 def test_odd_rows(spark):
     rows = [(1, "x " * 500, None, None, None, 0.5), (None, None, "s", "en", 4, 0.1), (2, "", "s", "en", -3, 0.2), (2, "", "s", "en", -3, 0.2)]
-    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string, n_chars bigint, score double")
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string, n_chars bigint, score double").withColumn("_id", q.F.lit(0)).withColumn("_label", q.F.lit("l"))
     labels = spark.createDataFrame([(1, 1), (2, 0), (3, None), (None, 1)], "doc_id bigint, quality int")
     model = q.train(df, labels)
     assert q.score(df, model).count() == 4

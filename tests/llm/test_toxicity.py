@@ -71,5 +71,7 @@ def test_odd_rows(spark):
     assert sorted((x.doc_id or 0, round(x.score, 2)) for x in got) == [(0, 0.05), (1, 0.95), (1, 0.95), (2, 0.05)]
     kept = tx.keep_clean(df, model)
     assert kept.columns == df.columns and sorted(x.doc_id or 0 for x in kept.collect()) == [0, 2]
+    clash = df.withColumnsRenamed({"score": "_label"}).withColumn("_id", tx.F.lit("x"))
+    assert tx.train(clash, spark.createDataFrame([(1, 1), (2, 0)], "doc_id bigint, toxic int")) is not None
     empty = spark.createDataFrame([], "doc_id bigint, toxic int")
     assert tx.train(df, empty).leak == 0.0 and tx.score(df.limit(0), model).count() == 0
