@@ -144,6 +144,9 @@ def _pair(f):
     return lambda s, d: f(*PAIR[1](s, d)).select(*OUT)
 
 
+# This mask percolates, so labels spread by minimum instead of by reachable pairs.
+KEYED = f"""WITH RECURSIVE {PX}, {FG}, {N8}, e AS (SELECT p.id AS a, q.id AS b FROM fg p CROSS JOIN n8 o JOIN fg q ON q.y = p.y + o.dy AND q.x = p.x + o.dx WHERE p.id <> q.id),
+lab(id, label) USING KEY (id) AS (SELECT id, id FROM fg UNION SELECT e.b, min(t.label) FROM lab t JOIN e ON t.id = e.a JOIN recurring.lab r ON r.id = e.b WHERE t.label < r.label GROUP BY e.b) SELECT id, label FROM lab"""
 ERODE = "SELECT y + dy AS y, x + dx AS x FROM fg, {n} GROUP BY 1, 2 HAVING count(*) = {k}"
 
 _REGISTERED = {
@@ -200,7 +203,7 @@ SELECT z, y, x FROM i UNION ALL SELECT m.z, m.y, m.x FROM m JOIN fg USING (z, y,
         f"WITH {PX}, {FG}, {N4} SELECT y, x FROM fg EXCEPT (" + ERODE.format(n="n4", k=5) + ")",
     ),
     "connected_components_4": (_components(False), f"WITH RECURSIVE {PX}, {FG}, {N4}, {labels_sql()} SELECT id, label FROM lab"),
-    "connected_components_8": (_components(True), f"WITH RECURSIVE {PX}, {FG}, {N8}, {labels_sql(offsets='n8')} SELECT id, label FROM lab"),
+    "connected_components_8": (_components(True), KEYED),
     "component_size_filter": (
         lambda s, d: raster.size_filter(lab(s, d), 5).select("id", "label"),
         f"WITH RECURSIVE {PX}, {FG}, {N4}, {labels_sql()} SELECT id, label FROM lab QUALIFY count(*) OVER (PARTITION BY label) >= 5",
