@@ -13,6 +13,7 @@ import re
 import zlib
 from collections import Counter
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -47,17 +48,25 @@ class Model:
     bias: float = -3.0
     weights: dict[str, float] = field(default_factory=dict)
 
+    @cached_property
+    def heads(self) -> frozenset[str]:
+        """The first letters of all traits: a word that starts otherwise has none of them."""
+        return frozenset(t[:4] for t in self.weights)
+
+    def traits_of(self, text: str) -> set[str]:
+        heads = self.heads
+        return self.weights.keys() & traits({w for w in WORD.findall(text.lower()) if w[:4] in heads})
+
     def sentences(self, text: str) -> list[tuple[int, int, float]]:
         """Start, end and probability of the sentences that hold evidence."""
         out = []
         for m in SENTENCE.finditer(text):
-            found = self.weights.keys() & traits(set(WORD.findall(m[0].lower())))
-            if found:
+            if found := self.traits_of(m[0]):
                 out.append((m.start(), m.end(), 1 / (1 + math.exp(-max(-30.0, min(30.0, self.bias + sum(self.weights[w] for w in sorted(found))))))))
         return out
 
     def score(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
-        if self.weights.keys().isdisjoint(traits(set(WORD.findall(text.lower())))):
+        if not self.traits_of(text):
             return self.leak, []
         found = self.sentences(text)
         return 1 - (1 - self.leak) * math.exp(sum(math.log1p(-p) for *_, p in found)), found
