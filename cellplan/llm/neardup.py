@@ -283,13 +283,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 2) -> DataFr
     kept. Rows that share a doc_id are one document. Other columns aren't read. Hot sets and buckets are pre-aggregated;
     joins on them are split by AQE.
     """
-    feats, _ = written(features(docs, size), "features", 4)
+    feats, _ = written(features(docs, size), "features", 8)
     known = feats.where("set_key is not null and doc_id is not null")
     classes = known.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    reps, _ = written(classes, "classes", 4)
+    reps, _ = written(classes, "classes", 8)
     banded = reps.select(F.explode("bands").alias("key"), "rep")
     hubs = banded.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("size")).where("size > 1").drop("size")
-    shared, _ = written(banded.join(hubs, "key"), "buckets", 4)
+    shared, _ = written(banded.join(hubs, "key"), "buckets", 8)
     stars = shared.where("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     ids = known.select("doc_id", "set_key").join(reps.select("set_key", "rep"), "set_key")
     several = ids.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a != b").select("doc_id", "a")
