@@ -259,7 +259,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> Data
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, end: int = END, path: str | None = None) -> DataFrame:
-    return pack(written(pieces(docs, capacity, end, path), "pieces", 4)[0], capacity)
+    return pack(written(pieces(docs, capacity, end, path), "pieces", 8)[0], capacity)
 
 
 def op7_best_fit_packing(docs: DataFrame) -> DataFrame:
