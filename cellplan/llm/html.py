@@ -2,14 +2,14 @@
 
 Markup is stripped into lines (one per block element), each with the length of its own text. Sums over sliding windows
 of lines rise where the main text surges and fall where it dives; what lies between is kept. Lines of elements that
-never hold main text (menus, forms, adverts ...) weigh nothing and are not kept, and where a page marks its article,
-only lines in it weigh.
+never hold main text (menus, forms, adverts ...) weigh nothing and are not kept; lines of a marked article weigh more.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, small_batches
 
-#: Lines of a block, and the text below which a block of an unmarked page is no main text unless the page has little.
-WINDOW, FLOOR = 3, 80
+#: Lines of a block, the text below which a block is no main text unless the page has little, an article's text's weight.
+WINDOW, FLOOR, BONUS = 3, 80, 4
 #: HTML's block elements, elements that end by themselves, ones whose content is no text, and boilerplate.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -138,15 +138,20 @@ def surges(weights: list[int], window: int = WINDOW, floor: int = 0) -> list[tup
 def main_text(page: str | None) -> str:
     """The page's main text, its blocks joined by newlines; empty if it has none."""
     found = lines(page or "")
-    if any(inside and text for text, _, inside in found):
-        weights = [len(text) if inside else 0 for text, _, inside in found]
-        runs = surges(weights)
-    else:
-        weights = [n for _, n, _ in found]
-        runs = surges(weights, WINDOW, min(FLOOR, max(weights, default=0) // 2))
-        mass = [sum(weights[a:b]) for a, b in runs]
-        runs = [r for r, m in zip(runs, mass, strict=True) if m * 4 >= max(mass)]
-    return "\n".join(found[k][0] for a, b in runs for k in range(a, b) if found[k][0])
+    weights = [BONUS * len(text) if inside else n for text, n, inside in found]
+    runs = surges(weights, WINDOW, min(FLOOR, max(weights, default=0) // 2))
+    mass = [sum(weights[a:b]) for a, b in runs]
+    kept = bytearray(len(found))
+    for (a, b), m in zip(runs, mass, strict=True):
+        if m * 4 >= max(mass):
+            kept[a:b] = b"\1" * (b - a)
+    at = 0
+    for inside, group in groupby(found, key=lambda x: x[2]):  # a chosen article's weak runs belong to it
+        end = at + sum(1 for _ in group)
+        if inside and any(kept[at:end]):
+            kept[at:end] = b"\1" * (end - at)
+        at = end
+    return "\n".join(found[k][0] for a, b in surges(weights) for k in range(a, b) if kept[k] and found[k][0])
 
 
 def extract(df: DataFrame, html_col: str = "html", to: str = "text") -> DataFrame:

@@ -23,6 +23,19 @@ def test_without_article():
     assert h.main_text(page) == "\n".join(f"{long}{k}" for k in range(5))
 
 
+def test_body_outside_the_article():
+    long = "Much text that goes on for long enough to be an article's paragraph, as articles have. "
+    body = "".join(f"<p>{long}{k}</p>" for k in range(5))
+    want = "\n".join(f"{long}{k}" for k in range(5))
+    links = "<p><a href=x>link</a></p>" * 5
+    for tag in ("article", "main"):
+        assert h.main_text(f"<{tag}><p>A teaser.</p></{tag}>{links}<div>{body}</div>") == want
+        assert h.main_text(f"<div>{body}</div>{links}<{tag}><p>A teaser.</p></{tag}>") == want
+        # An article outweighs shorter text elsewhere, and none of it is lost.
+        page = f"<div><p>{long}</p></div>{links}<{tag}>{body}" + "<div class=ad>ad</div>" * 3 + f"<p>Last.</p></{tag}>"
+        assert h.main_text(page) == f"{want}\nLast."
+
+
 def test_odd_pages():
     assert h.main_text(None) == h.main_text("") == h.main_text("<p>") == h.main_text("<!-- x") == h.main_text("<script>x") == ""
     assert h.main_text("just text") == "just text"
