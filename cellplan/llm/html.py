@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import html
 import re
-from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,10 +18,11 @@ from .common import map_batches, small_batches
 
 #: Lines of a block, the text below which a block is no main text unless the page has little, an article's text's weight.
 WINDOW, FLOOR, BONUS = 3, 80, 4
-#: HTML's block elements, elements that end by themselves, ones whose content is no text, and boilerplate.
+#: HTML's block elements, elements that end by themselves, ones whose content is no text (the embedded ones only up to an end tag), and boilerplate.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script style title textarea noscript template iframe object svg math select button audio video canvas"
+RAW = "script style title textarea"
+EMBEDDED = frozenset("noscript template iframe object svg math select button audio video canvas".split())
 DROPPED = frozenset("nav footer aside form head dialog menu".split())
 LOOSE = frozenset("p li dt dd option td th tr".split())  # these may stay open
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
@@ -30,7 +30,7 @@ MARKS = frozenset("ad ads advert adverts advertisement advertising sponsor spons
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    rf"|<({RAW.replace(' ', '|')})\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    rf"|<({RAW.replace(' ', '|')})(?:\s*/>|\s[^>]*[\s\"']/>|(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z))"
     r"|<[!?][^>]*>"
     r"|<(/?)([a-z][^\s/>]*)((?:[^>\"']|\"[^\"<]*\"|'[^'<]*')*+)>",
     re.I | re.S,
@@ -48,8 +48,10 @@ def _boilerplate(name: str, attributes: str, in_article: bool) -> bool:
     if HIDDEN.search(attributes):
         return True
     for key, *values in ATTRIBUTE.findall(attributes):
-        words = WORD.findall("".join(values).lower())
-        if key.lower() == "role" and not ROLES.isdisjoint(words) or key.lower() in ("class", "id") and not MARKS.isdisjoint(words):
+        names = [WORD.findall(x) for x in "".join(values).lower().split()]
+        if key.lower() == "role" and any(not ROLES.isdisjoint(words) for words in names):
+            return True
+        if key.lower() in ("class", "id") and any(words and MARKS.issuperset(words) for words in names):  # not has-sidebar
             return True
     return False
 
@@ -60,8 +62,8 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
     # Where each open tag ends: at its own end tag, or for those that may stay open at the next block.
     ends: dict[int, int] = {}
     open_: dict[str, list[int]] = {}
-    for k, (_, _, slash, name, _) in enumerate(tokens):
-        if not name or name in VOID:
+    for k, (_, _, slash, name, attributes) in enumerate(tokens):
+        if not name or name in VOID or name in EMBEDDED and not slash and attributes.endswith("/"):
             continue
         if slash:
             if stack := open_.get(name):
@@ -100,7 +102,10 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
                 articles.pop()
             if not slash and name:
                 last = ends.get(k)
-                if _boilerplate(name, attributes or "", bool(articles)):
+                if name in EMBEDDED:
+                    if last is not None:
+                        skip_until = last
+                elif _boilerplate(name, attributes or "", bool(articles)):
                     close(bool(articles))
                     if last is not None:
                         skip_until = last
@@ -141,17 +146,16 @@ def main_text(page: str | None) -> str:
     weights = [BONUS * len(text) if inside else n for text, n, inside in found]
     runs = surges(weights, WINDOW, min(FLOOR, max(weights, default=0) // 2))
     mass = [sum(weights[a:b]) for a, b in runs]
-    kept = bytearray(len(found))
-    for (a, b), m in zip(runs, mass, strict=True):
-        if m * 4 >= max(mass):
-            kept[a:b] = b"\1" * (b - a)
-    at = 0
-    for inside, group in groupby(found, key=lambda x: x[2]):  # a chosen article's weak runs belong to it
-        end = at + sum(1 for _ in group)
-        if inside and any(kept[at:end]):
-            kept[at:end] = b"\1" * (end - at)
-        at = end
-    return "\n".join(found[k][0] for a, b in surges(weights) for k in range(a, b) if kept[k] and found[k][0])
+    strong = [r for r, m in zip(runs, mass, strict=True) if m * 4 >= max(mass)]
+    if not strong:
+        return ""
+    # All that lies between the first and the last, and the rest of an article at either end.
+    first, last = strong[0][0], strong[-1][1]
+    while first and found[first][2] and found[first - 1][2]:
+        first -= 1
+    while last < len(found) and found[last][2] and found[last - 1][2]:
+        last += 1
+    return "\n".join(found[k][0] for a, b in surges(weights) for k in range(max(a, first), min(b, last)) if found[k][0])
 
 
 def extract(df: DataFrame, html_col: str = "html", to: str = "text") -> DataFrame:

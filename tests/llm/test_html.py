@@ -36,6 +36,25 @@ def test_body_outside_the_article():
         assert h.main_text(page) == f"{want}\nLast."
 
 
+def test_skips_boilerplate_only():
+    for opening, end in (("div class='content has-sidebar'", "div"), ("div id='post' class='no-sidebar'", "div"), ("section class='related-work'", "section"), ("article class='post comments-open'", "article")):
+        assert h.main_text(f"<{opening}><p>Text.</p></{end}>") == "Text.", opening
+    for name in ("sidebar", "x sidebar", "cookie-notice", "ad_1"):
+        assert h.main_text(f"<p>Text.</p><div class='{name}'>No.</div>") == "Text.", name
+    for tag in ("svg viewBox='0 0 1 1' />", "svg/>", "button>", "video src=x>", "object data='x'>", "video-player>", "select-box a=b></select-box>", "script src='x' />", "button></button>", "button>", "title-bar>"):
+        assert h.main_text(f"<p>Before <{tag}</p><p>After.</p>") == "Before\nAfter.", tag
+    assert h.main_text("<p>Buy <button>A</button> now <object><object>x</object>y</object>here</p>") == "Buy now here"
+    assert h.main_text("<button><p>Text.</p><button>B</button>") == "Text."
+    assert h.main_text("<script src=/a/>x</script>y") == "y" == h.main_text("y<script>x")
+
+
+def test_weak_run_between_strong_ones():
+    long = "Much text that goes on for long enough to be an article's paragraph, as articles have. " * 9
+    links = "<p><a href=x>link</a></p>" * 5
+    text = "A short passage between two figures, with an end of its own, that is long enough to be read."
+    assert h.main_text(f"<p>{long}</p>{links}<p>{text}</p>{links}<p>Hm.</p>{links}<p>{long}</p>{links}<p>© me</p>") == f"{long.strip()}\n{text}\nHm.\n{long.strip()}"
+
+
 def test_odd_pages():
     assert h.main_text(None) == h.main_text("") == h.main_text("<p>") == h.main_text("<!-- x") == h.main_text("<script>x") == ""
     assert h.main_text("just text") == "just text"
