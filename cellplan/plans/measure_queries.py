@@ -51,17 +51,21 @@ BIG = f"{LAB}, big AS (SELECT * FROM lab QUALIFY count(*) OVER (PARTITION BY lab
 PAIRS = "pr AS (SELECT a.label AS a, b.label AS b, a.y AS ay, a.x AS ax, b.y AS yb, b.x AS xb, CAST(sqrt(((a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x))::DOUBLE) AS FLOAT) AS d FROM srf a JOIN srf b ON a.label <> b.label)"
 
 
-def _nearest(s, d):
-    return measure.nearest_objects(_big(s, d), dims=2).select("label", "closest_neighbor_label", F.round(F.col("shortest_distance_um").cast("double"), 4).alias("shortest_distance_um"))
+#: All labelled objects, the smallest too.
+ALL = f"{LAB}, {SURFACE.format(t='lab')}"
 
 
-def _contacts(s, d):
-    t = measure.contact_points(measure.nearest_objects(_big(s, d), dims=2))
+def _nearest(s, d, objects=_big):
+    return measure.nearest_objects(objects(s, d), dims=2).select("label", "closest_neighbor_label", F.round(F.col("shortest_distance_um").cast("double"), 4).alias("shortest_distance_um"))
+
+
+def _contacts(s, d, objects=_big):
+    t = measure.contact_points(measure.nearest_objects(objects(s, d), dims=2))
     return t.select("mask1", "mask2", "mask1_y", "mask1_x", "mask2_y", "mask2_x")
 
 
-def _matrix(s, d):
-    t = measure.distance_matrix(_big(s, d), dims=2, reach=12.0)
+def _matrix(s, d, objects=_big, reach=12.0):
+    t = measure.distance_matrix(objects(s, d), dims=2, reach=reach)
     return t.select("label_a", "label_b", F.round(F.col("distance_um").cast("double"), 4).alias("distance_um"))
 
 
@@ -268,6 +272,15 @@ _REGISTERED = {
         f"WITH RECURSIVE {BIG}, {PAIRS} SELECT a AS mask1, b AS mask2, ay::DOUBLE AS mask1_y, ax::DOUBLE AS mask1_x, yb::DOUBLE AS mask2_y, xb::DOUBLE AS mask2_x FROM pr QUALIFY row_number() OVER (PARTITION BY a ORDER BY d, b, ay, ax, yb, xb) = 1",
     ),
     "pairwise_distance_matrix": (_matrix, f"WITH RECURSIVE {BIG}, {PAIRS} SELECT a AS label_a, b AS label_b, round(min(d)::DOUBLE, 4) AS distance_um FROM pr WHERE a < b GROUP BY 1, 2 HAVING min(d) <= 12"),
+    "nearest_neighbor_all": (
+        lambda s, d: _nearest(s, d, lab),
+        f"WITH RECURSIVE {ALL}, {PAIRS} SELECT a AS label, b AS closest_neighbor_label, round(d::DOUBLE, 4) AS shortest_distance_um FROM pr QUALIFY row_number() OVER (PARTITION BY a ORDER BY d, b) = 1",
+    ),
+    "contact_points_all": (
+        lambda s, d: _contacts(s, d, lab),
+        f"WITH RECURSIVE {ALL}, {PAIRS} SELECT a AS mask1, b AS mask2, ay::DOUBLE AS mask1_y, ax::DOUBLE AS mask1_x, yb::DOUBLE AS mask2_y, xb::DOUBLE AS mask2_x FROM pr QUALIFY row_number() OVER (PARTITION BY a ORDER BY d, b, ay, ax, yb, xb) = 1",
+    ),
+    "pairwise_distance_matrix_all": (lambda s, d: _matrix(s, d, lab, None), f"WITH RECURSIVE {ALL}, {PAIRS} SELECT a AS label_a, b AS label_b, round(min(d)::DOUBLE, 4) AS distance_um FROM pr WHERE a < b GROUP BY 1, 2"),
     "centroid_nearest_label": (
         _embedding_nn,
         "WITH e AS (SELECT label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS k FROM embeddings), m AS (SELECT label, k, avg(v) AS v FROM e GROUP BY 1, 2), p AS (SELECT a.label, b.label AS other, round(sqrt(sum((a.v - b.v) * (a.v - b.v))), 6) AS distance FROM m a JOIN m b USING (k) WHERE a.label <> b.label GROUP BY 1, 2) SELECT label, distance, other AS nearest FROM p QUALIFY row_number() OVER (PARTITION BY label ORDER BY distance, other) = 1",
