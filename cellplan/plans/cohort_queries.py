@@ -28,10 +28,10 @@ def _rep(s, d):
     return cohort.two_level_mean(cells(s, d), METRICS, "image", "batch", "grp")
 
 
-def _cohort_load(s, d):
+def _cohort_load(s, d, some="c_nationkey < 15"):
     """Orders as cells, customers as the external assignment: groups for the first fifteen nations' images only."""
     images = _t(s, d, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("Image_ID"), F.col("o_orderpriority").alias("Experimental_Group"))
-    groups = _t(s, d, "customer").where("c_nationkey < 15").select(F.col("c_custkey").cast("string").alias("Image_ID"), F.col("c_mktsegment").alias("Experimental_Group"), F.col("c_nationkey").alias("Batch"))
+    groups = _t(s, d, "customer").where(some).select(F.col("c_custkey").cast("string").alias("Image_ID"), F.col("c_mktsegment").alias("Experimental_Group"), F.col("c_nationkey").alias("Batch"))
     return cohort.attach_groups(images, groups).select("o_orderkey", "Experimental_Group", "Batch")
 
 
@@ -82,15 +82,18 @@ def _stars(s, d):
     return _t(s, d, "part").select("p_size", p).distinct().select("p_size", fx.significance(F.col("p")).alias("stars"), fx.p_text(F.col("p")).alias("text"))
 
 
-def _fuzzy(s, d):
+def _fuzzy(s, d, some="p_partkey % 3 = 0"):
     wanted = _t(s, d, "supplier").select(F.concat(F.lit("Image_"), F.col("s_suppkey").cast("string"), F.when(F.col("s_suppkey") % 2 == 0, ".TIF").otherwise("")).alias("w"))
-    files = _t(s, d, "part").where("p_partkey % 3 = 0").select(F.concat(F.lit("image_"), F.col("p_partkey").cast("string"), F.when(F.col("p_partkey") % 2 == 0, ".tif").otherwise("_ch1.tiff")).alias("f"))
+    files = _t(s, d, "part").where(some).select(F.concat(F.lit("image_"), F.col("p_partkey").cast("string"), F.when(F.col("p_partkey") % 2 == 0, ".tif").otherwise("_ch1.tiff")).alias("f"))
     return cohort.fuzzy_match(wanted, files, fx.clean_name(F.col("w")), fx.clean_name(F.col("f")))
 
 
 FUZZY = """WITH w AS (SELECT DISTINCT 'image_' || s_suppkey AS wanted FROM supplier), f AS (SELECT DISTINCT 'image_' || p_partkey || CASE WHEN p_partkey % 2 = 0 THEN '' ELSE '_ch1' END AS file FROM part WHERE p_partkey % 3 = 0),
 x AS (SELECT wanted, file FROM w JOIN f ON wanted = file) SELECT * FROM x UNION ALL SELECT wanted, min(file) AS file FROM w JOIN f ON contains(wanted, file) OR contains(file, wanted) WHERE wanted NOT IN (SELECT wanted FROM x) GROUP BY wanted"""
 
+FUZZY_ALL = """WITH w AS (SELECT DISTINCT 'image_' || s_suppkey AS wanted FROM supplier), f AS (SELECT DISTINCT 'image_' || p_partkey || CASE WHEN p_partkey % 2 = 0 THEN '' ELSE '_ch1' END AS file FROM part),
+x AS (SELECT wanted, file FROM w JOIN f ON wanted = file) SELECT * FROM x UNION ALL SELECT wanted, min(file) AS file FROM w JOIN f ON contains(wanted, file) OR contains(file, wanted) WHERE wanted NOT IN (SELECT wanted FROM x) GROUP BY wanted"""
+
 
 def _fcs(s, d):
     v = F.when(F.col("l_linenumber") == 1, F.lit(float("inf"))).when(F.col("l_linenumber") == 2, F.lit(float("nan"))).when(F.col("l_linenumber") == 3, F.lit(None)).otherwise(F.col("l_quantity"))
@@ -146,6 +149,10 @@ _REGISTERED = {
         _cohort_load,
         "SELECT o_orderkey, coalesce(c_mktsegment, o_orderpriority) AS Experimental_Group, coalesce(CAST(c_nationkey AS VARCHAR), CAST(o_custkey AS VARCHAR)) AS Batch FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_nationkey < 15) ON o_custkey = c_custkey",
     ),
+    "cohort_load_group_join_all": (
+        lambda s, d: _cohort_load(s, d, "true"),
+        "SELECT o_orderkey, coalesce(c_mktsegment, o_orderpriority) AS Experimental_Group, coalesce(CAST(c_nationkey AS VARCHAR), CAST(o_custkey AS VARCHAR)) AS Batch FROM orders LEFT JOIN customer ON o_custkey = c_custkey",
+    ),
     "group_unpivot": (
         _unpivot,
         "SELECT CAST(n_nationkey AS VARCHAR) AS Batch, 'Control' AS Experimental_Group, n_name AS Image_ID FROM nation WHERE n_regionkey <> 2 UNION ALL SELECT CAST(n_nationkey AS VARCHAR), 'Group2', 'im' || n_regionkey FROM nation",
@@ -199,6 +206,7 @@ _REGISTERED = {
         "WITH q AS (SELECT DISTINCT p_size, p_size / 600.0::DOUBLE AS p FROM part) SELECT p_size, CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE 'n.s.' END AS stars, CASE WHEN p < 0.001 THEN 'p<0.001' ELSE printf('p=%.3f', p) END AS text FROM q",
     ),
     "fuzzy_file_match": (_fuzzy, FUZZY),
+    "fuzzy_file_match_all": (lambda s, d: _fuzzy(s, d, "true"), FUZZY_ALL),
     "fcs_clean": (_fcs, "SELECT l_returnflag, round(sum(CASE WHEN l_linenumber IN (1, 2, 3) THEN 0 ELSE l_quantity END), 6) AS total, count(*) AS n FROM lineitem GROUP BY 1"),
     "resume_point": (_resume, RESUME),
     "tiff_physical_scale": (
