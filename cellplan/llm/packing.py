@@ -1,10 +1,10 @@
 """Best-fit packing of token pieces into sequences by the configuration linear program over the length histogram.
 
 A configuration is a multiset of lengths that fits a sequence. The program asks for the fewest configurations that cover
-the histogram. It is solved by multiplicative weights: prices of lengths fall where they are covered and rise where they
-are not, and a knapsack dynamic program finds configurations of highest price. The solution is rounded down and what is
-left is packed best-fit decreasing. All of that depends on the histogram only, which has at most as many entries as a
-sequence has tokens; pieces then look their places up by length and rank.
+the histogram. It is solved by multiplicative weights: prices of lengths fall where the dearest configurations cover them
+and rise where they don't, and a knapsack dynamic program finds the configurations of highest price. The solution is
+rounded and what is left is packed best-fit decreasing. All of that depends on the histogram only, which has at most as
+many entries as a sequence has tokens; pieces then look their places up by length and rank.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import math
 import zlib
+from dataclasses import dataclass
 from struct import pack as pack_ids
 
 import numpy as np
@@ -24,8 +25,10 @@ from .bpe import BLANKS, CACHE, UNITS, Vocabulary, default_path, made
 from .common import fresh, map_batches, small_batches, written
 
 CAPACITY, END = 1024, 2
-#: Rounds of price changes, how sharply prices follow coverage (a round ahead or behind), and their largest logarithm.
-ROUNDS, RATE, SWING = 160, 0.4, 0.7
+#: Rounds of price changes, how sharply prices follow coverage, and by how much rounds may be worse than the best to count.
+ROUNDS, RATE, SPREAD = 12, 0.05, 0.001
+#: Shares of the dearest configuration's price: a configuration within the first is dear, lengths within the second are equal.
+NEAR, EQUAL = 0.006, 0.001
 
 
 class Irregular(ValueError):
@@ -113,94 +116,158 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end: int = END, path: str
     return map_batches(docs.select("doc_id", "text"), make, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
-def knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """By capacity: the highest price of a multiset of lengths that fits, and the index of a length in it (-1: none)."""
-    best, pick = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+def knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> np.ndarray:
+    """By capacity: the highest price of a multiset of lengths (ascending) that fits. A price of minus infinity bars a length."""
+    best = np.zeros(capacity + 1)
+    fits = np.searchsorted(lengths, np.arange(capacity + 1), "right").tolist()
     for c in range(1, capacity + 1):
-        n = np.searchsorted(lengths, c, "right")
-        best[c], pick[c] = best[c - 1], -1
-        if n:
-            total = best[c - lengths[:n]] + prices[:n]
-            k = int(total.argmax())
-            if total[k] > best[c]:
-                best[c], pick[c] = total[k], k
-    return best, pick
-
-
-def _trace(pick: np.ndarray, lengths: np.ndarray, c: int) -> list[int]:
-    out = []
-    while c > 0:
-        if (k := pick[c]) < 0:
-            c -= 1
-        else:
-            out.append(int(k))
-            c -= int(lengths[k])
-    return out
-
-
-def solve(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = ROUNDS) -> dict[tuple[int, ...], float]:
-    """A fractional solution of the configuration program: how often to use each configuration (indices into lengths).
-
-    Every round covers its share of each length's demand. A length's price starts in proportion to its size, at which
-    only room that is left costs, and is multiplied by more or less than 1 as its coverage is behind the round or ahead.
+        n = fits[c]
+        best[c] = max(best[c - 1], (best[c - lengths[:n]] + prices[:n]).max()) if n else best[c - 1]
+    return best
+
+
+@dataclass
+class Solution:
+    """use: how often each configuration, as (index into lengths, times) pairs, longest first; dear: those worth nearly the
+    dearest at the prices that give the bound; bound: no packing, fractional or whole, has fewer sequences; value: of this one."""
+
+    use: dict[tuple, float]
+    dear: set[tuple]
+    bound: float
+    value: float
+
+
+def _round(lengths: np.ndarray, want: np.ndarray, prices: np.ndarray, capacity: int, best: np.ndarray) -> tuple[dict[tuple, float], np.ndarray]:
+    """Covers all of ``want`` once: configurations and how often, and the share of want that the dear ones cover.
+
+    The longest length that is not covered opens a configuration, whose room takes what the prices make best of the
+    lengths that are not covered either; it is used until the tightest of its lengths is covered. The dynamic program
+    runs again when many lengths have been covered since. Of equals the longest piece is taken: short ones fit elsewhere.
+    """
+    use: dict[tuple, float] = {}
+    free, tiny, gain = want.copy(), want * 1e-9, np.zeros(len(want))
+    fits = np.searchsorted(lengths, np.arange(capacity + 1), "right").tolist()
+    top, open_, closed = best[capacity], prices.copy(), 0
+    limit = max(8, len(want) // 4)
+    for k in range(len(lengths) - 1, -1, -1):
+        while free[k] > tiny[k]:
+            if closed > limit:
+                best, closed = knapsack(lengths, open_, capacity), 0
+                limit = max(8, int((open_ > -math.inf).sum()) // 4)
+            config, c = {k: 1}, capacity - int(lengths[k])
+            while c > 0 and (n := fits[c]):
+                total = best[c - lengths[:n]] + open_[:n]
+                if (most := total.max()) == -math.inf:
+                    break
+                i = n - 1 - int((total[::-1] >= most - EQUAL * top).argmax())
+                config[i] = config.get(i, 0) + 1
+                c -= int(lengths[i])
+            index, times = np.fromiter(config.keys(), np.int64), np.fromiter(config.values(), np.int64)
+            often = float((free[index] / times).min())
+            key = tuple(config.items())
+            use[key] = use.get(key, 0.0) + often
+            free[index] -= often * times
+            if (prices[index] * times).sum() >= (1 - NEAR) * top:
+                gain[index] += often * times
+            done = index[(free[index] <= tiny[index]) & (open_[index] > -math.inf)]
+            open_[done] = -math.inf
+            closed += len(done)
+    return use, gain / want
+
+
+def solve(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = ROUNDS) -> Solution:
+    """A fractional solution of the configuration program for ascending lengths, each below the capacity.
+
+    Prices start in proportion to size, which is the optimum wherever sequences can be filled. Each round covers the whole
+    demand at its prices. Then weights are multiplied: a length that dear configurations (within NEAR of the dearest)
+    cover falls in price, one that only others cover rises; and one whose dearest configuration is worth less than the
+    dearest of all rises, too. Any prices bound the program from below: demand at these prices, over the dearest
+    configuration's. Every round's solution is feasible, so is the mean of the best ones, which is the result.
     """
-    use: dict[tuple[int, ...], float] = {}
     want = demand.astype(float)
-    covered = np.zeros(len(lengths))
-    for t in range(1, rounds + 1):
-        due = want * (t / rounds)
-        ahead = (covered - due) / want * rounds  # in rounds
-        _, pick = knapsack(lengths, lengths / capacity * np.exp(np.clip(-RATE * ahead, -SWING, SWING)), capacity)
-        roof = np.minimum(due + 2 * want / rounds, want)
-        for k in np.argsort(-lengths, kind="stable"):
-            if (lack := due[k] - covered[k]) <= 1e-9:
-                continue
-            index, times = np.unique([int(k), *_trace(pick, lengths, capacity - int(lengths[k]))], return_counts=True)
-            often = min(lack / times[index == k][0], ((roof[index] - covered[index]) / times).min())
-            if often > 1e-9:
-                config = tuple(np.repeat(index, times)[::-1].tolist())
-                use[config] = use.get(config, 0.0) + often
-                covered[index] += often * times
-    return use
+    prices, bound, at, found = lengths / capacity, 0.0, None, []
+    for _ in range(rounds):
+        best = knapsack(lengths, prices, capacity)
+        top = best[capacity]
+        if (proven := float((want * prices).sum() / top)) > bound:
+            bound, at = proven, prices / top
+        through = prices + best[capacity - lengths]
+        use, gain = _round(lengths, want, prices, capacity, best)
+        found.append((sum(use.values()), use))
+        prices = prices * np.exp(-RATE * (gain - np.average(gain, weights=want * lengths))) * np.sqrt(top / through)
+    least = min(v for v, _ in found)
+    some = [one for v, one in found if v <= least * (1 + SPREAD)]
+    use = {}
+    for one in some:
+        for config, often in one.items():
+            use[config] = use.get(config, 0.0) + often / len(some)
+    dear = {c for c in use if sum(at[k] * m for k, m in c) >= 1 - NEAR}
+    return Solution(use, dear, bound, sum(use.values()))
+
+
+def best_fit(lengths: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Best-fit decreasing, all pieces of a length and all sequences of one kind at a time: configurations and how often."""
+    rooms: list[list[list]] = [[] for _ in range(capacity + 1)]  # by room: [configuration, count]
+    for k in np.flatnonzero(left)[::-1].tolist():
+        length, n = int(lengths[k]), int(left[k])
+        for room in range(length, capacity + 1):
+            while n and rooms[room]:
+                config, count = rooms[room].pop()
+                each = min(room // length, -(-n // count))  # the sequence that took a piece is the best fit for the next, if it fits
+                full = min(count, n // each)
+                if full < count:
+                    rooms[room].append([config, count - full])
+                if full:
+                    rooms[room - each * length].append([config + (length,) * each, full])
+                    n -= full * each
+                elif n:  # fewer pieces than a sequence takes
+                    rooms[room][-1][1] -= 1
+                    if not rooms[room][-1][1]:
+                        rooms[room].pop()
+                    rooms[room - n * length].append([config + (length,) * n, 1])
+                    n = 0
+        each = capacity // length
+        if n // each:
+            rooms[capacity - each * length].append([(length,) * each, n // each])
+        if n % each:
+            rooms[capacity - n % each * length].append([(length,) * (n % each), 1])
+    return [(config, n) for room in rooms for config, n in room]
+
+
+def rounded(solution: Solution, lengths: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[list[tuple[tuple[int, ...], int]], np.ndarray]:
+    """The program's sequences in whole numbers, and the pieces that are left.
+
+    Dear configurations are used as often as the solution has them, rounded down; then, those with the longest piece and
+    the greatest fraction first, once more each while the pieces last.
+    """
+    left, out = demand.copy(), {}
+
+    def take(config: tuple, most: int) -> None:
+        index, times = (np.array(x, np.int64) for x in zip(*config, strict=True))
+        if (n := min(most, int((left[index] // times).min()))) > 0:
+            left[index] -= n * times
+            out[config] = out.get(config, 0) + n
+
+    for config in solution.dear:
+        take(config, int(solution.use[config] + 1e-6))
+    for config in sorted(solution.dear, key=lambda c: (-c[0][0], -(solution.use[c] % 1), c)):
+        if solution.use[config] % 1 > 1e-6:
+            take(config, 1)
+    return [(tuple(int(lengths[k]) for k, m in config for _ in range(m)), n) for config, n in out.items()], left
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[tuple[int, ...], int]]:
-    """Sequences for a histogram of lengths: configurations as lengths, and how many sequences have each."""
+    """Sequences for a histogram of lengths: configurations as lengths, and how many sequences have each.
+
+    The configuration program's, rounded; the pieces that are left go best-fit decreasing.
+    """
     out = [((capacity,), histogram[capacity])] if histogram.get(capacity) else []
-    lengths = np.array(sorted(x for x, n in histogram.items() if n and x < capacity))
+    lengths = np.array(sorted(x for x, n in histogram.items() if n and x < capacity), np.int64)
     if not len(lengths):
         return out
-    left = np.array([histogram[int(x)] for x in lengths])
-
-    def take(config, most: float = math.inf) -> None:
-        index, times = np.unique(config, return_counts=True)
-        if (n := min(most, int((left[index] // times).min()))) > 0:
-            left[index] -= int(n) * times
-            out.append((tuple(int(lengths[k]) for k in config), int(n)))
-
-    # Rounded: fullest configurations first, each as often as the solution has it, up, while the pieces last.
-    filled = [(capacity - int(lengths[list(c)].sum()), -often, c) for c, often in solve(lengths, left, capacity, rounds).items()]
-    for room, often, config in sorted(filled):
-        if room <= capacity // 100:
-            take(config, math.ceil(-often - 1e-9))
-    # The rest, best-fit decreasing: the longest piece, then always what leaves the least room, one piece or a pair.
-    while left.any():
-        top = int(np.flatnonzero(left)[-1])
-        config, room, now = [top], capacity - int(lengths[top]), left.copy()
-        now[top] -= 1
-        while room:
-            there = np.flatnonzero(now[: np.searchsorted(lengths, room, "right")])
-            if not len(there):
-                break
-            mate = np.searchsorted(lengths[there], room - lengths[there], "right") - 1
-            fits = (mate >= 0) & ((mate != np.arange(len(there))) | (now[there] > 1))
-            total = lengths[there] + np.where(fits, lengths[there[np.maximum(mate, 0)]], 0)
-            k = int(there[len(total) - 1 - int(total[::-1].argmax())])
-            config.append(k)
-            now[k] -= 1
-            room -= int(lengths[k])
-        take(tuple(config))
-    return out
+    demand = np.array([histogram[int(x)] for x in lengths], np.int64)
+    planned, left = rounded(solve(lengths, demand, capacity, rounds), lengths, demand, capacity)
+    return out + planned + best_fit(lengths, left, capacity)
 
 
 def slots(planned: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]:
@@ -263,4 +330,8 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, end: int = END, pa
 
 
 def op7_best_fit_packing(docs: DataFrame) -> DataFrame:
+    """Packs all documents into sequences of 1024 tokens: pieces()' rows with sequence_id and offset.
+
+    A null or empty text is one piece, the end token; repeated rows are pieces of their own, whatever their doc_id.
+    """
     return pack_documents(docs)

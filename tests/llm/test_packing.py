@@ -1,9 +1,12 @@
 import math
 import random
+import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 from tokenizers import Tokenizer
 
 from cellplan.llm import bpe, packing
@@ -49,6 +52,64 @@ def test_plan():
         assert count <= least * 1.01 + 3, (n, top, count, least)
 
 
+def histograms():
+    r = random.Random(4)
+    draw = {"gamma": lambda: min(1023, max(1, int(r.gammavariate(2, 200)))), "uniform": lambda: r.randrange(1, 1024), "short": lambda: r.randrange(1, 61)}
+    for name, one in draw.items():
+        yield name, Counter(one() for _ in range(20_000))
+    units = packing.library_units(public_tokenizers.path("byte_bpe_50k.json"))
+    sizes = [len(x) // 4 + 1 for t in pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"]).column(0) for x in units.values([t.as_py() or ""])]
+    yield "documents", Counter((n - 1) % 1024 + 1 for n in sizes if (n - 1) % 1024 < 1023)
+
+
+def test_program():
+    """The program's solution covers every length, is close to its own bound, and makes up nine sequences in ten."""
+    for name, histogram in histograms():
+        lengths = np.array(sorted(histogram))
+        demand = np.array([histogram[int(x)] for x in lengths])
+        began = time.process_time()
+        solution = packing.solve(lengths, demand, 1024)
+        covered = np.zeros(len(lengths))
+        for config, often in solution.use.items():
+            assert sum(lengths[k] * m for k, m in config) <= 1024 and often > 0
+            for k, m in config:
+                covered[k] += often * m
+        assert (covered >= 0.99 * demand).all() and math.isclose(solution.value, sum(solution.use.values()))
+        assert lengths @ demand / 1024 - 1e-6 <= solution.bound <= solution.value <= 1.01 * solution.bound, name
+        whole, left = packing.rounded(solution, lengths, demand, 1024)
+        own, rest = sum(n for _, n in whole), sum(n for _, n in packing.best_fit(lengths, left, 1024))
+        assert own >= 0.9 * (own + rest), (name, own, rest)
+        assert own + rest <= sum(n for _, n in packing.best_fit(lengths, demand, 1024)), name
+        assert time.process_time() - began < 10
+
+
+def test_prices_adapt():
+    """Where sequences can't be filled, prices in proportion to size prove little: the bound must rise above the volume."""
+    for histogram, least in (({600: 40, 700: 60}, 100), ({600: 1000, 500: 500, 300: 800}, 1250), ({513: 7}, 7), ({342: 30}, 15)):
+        lengths, demand = np.array(sorted(histogram)), np.array([histogram[x] for x in sorted(histogram)])
+        solution = packing.solve(lengths, demand, 1024)
+        assert solution.bound <= least + 1e-6 and lengths @ demand / 1024 < 0.95 * solution.bound
+        assert sum(n for _, n in packing.plan(histogram)) == least
+
+
+def test_best_fit():
+    """As one piece at a time would go."""
+    r = random.Random(6)
+    for _ in range(200):
+        capacity = r.randrange(5, 40)
+        lengths = sorted(r.sample(range(1, capacity + 1), r.randrange(1, 5)))
+        demand = [r.randrange(0, 9) for _ in lengths]
+        rooms: list[int] = []
+        for x, n in sorted(zip(lengths, demand, strict=True), reverse=True):
+            for _ in range(n):
+                if fit := min((q for q in rooms if q >= x), default=0):
+                    rooms.remove(fit)
+                rooms.append((fit or capacity) - x)
+        got = packing.best_fit(np.array(lengths), np.array(demand), capacity)
+        assert sorted(capacity - sum(c) for c, n in got for _ in range(n)) == sorted(rooms)
+        assert Counter(x for c, n in got for _ in range(n) for x in c) == Counter({x: n for x, n in zip(lengths, demand, strict=True) if n})
+
+
 def test_documents(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     rows = packing.op7_best_fit_packing(docs).collect()
