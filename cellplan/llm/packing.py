@@ -213,19 +213,16 @@ def best_fit(lengths: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple
         for room in range(length, capacity + 1):
             while n and rooms[room]:
                 config, count = rooms[room].pop()
-                each = min(room // length, -(-n // count))  # the sequence that took a piece is the best fit for the next, if it fits
+                each = room // length  # the sequence that took a piece is the best fit for the next, if that fits
                 full = min(count, n // each)
-                if full < count:
-                    rooms[room].append([config, count - full])
                 if full:
                     rooms[room - each * length].append([config + (length,) * each, full])
-                    n -= full * each
-                elif n:  # fewer pieces than a sequence takes
-                    rooms[room][-1][1] -= 1
-                    if not rooms[room][-1][1]:
-                        rooms[room].pop()
+                    count, n = count - full, n - full * each
+                if count and n:  # fewer pieces than a sequence takes
                     rooms[room - n * length].append([config + (length,) * n, 1])
-                    n = 0
+                    count, n = count - 1, 0
+                if count:
+                    rooms[room].append([config, count])
         each = capacity // length
         if n // each:
             rooms[capacity - each * length].append([(length,) * each, n // each])
