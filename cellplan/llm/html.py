@@ -2,7 +2,8 @@
 
 Markup is stripped into lines (one per block element), each with the length of its own text. Sums over sliding windows
 of lines rise where the main text surges and fall where it dives; what lies between is kept. Lines of elements that
-never hold main text (menus, forms, adverts ...) weigh nothing and are not kept; lines of a marked article weigh more.
+never hold main text (menus, forms, adverts ...) weigh nothing and are not kept; lines of a marked article weigh more, and
+on each page the marked or the unmarked lines make up the main text, whichever have the heaviest run.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, small_batches
 
-#: Lines of a block, the text below which a block is no main text unless the page has little, an article's text's weight.
-WINDOW, FLOOR, BONUS = 3, 80, 4
+#: Lines of a block; a block of more text is a surge of its own; the weight of a marked article's text, and what it weighs at least.
+WINDOW, FLOOR, BONUS, MARKED = 3, 80, 4, 200
 #: HTML's block elements, elements that end by themselves, ones whose content is no text (the embedded ones only up to an end tag), and boilerplate.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -37,6 +38,8 @@ TOKEN = re.compile(
 )
 ATTRIBUTE = re.compile(r"\b(class|id|role|style)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 WORD = re.compile(r"[a-z]+")
+#: How running text ends, and how a page's own notice starts.
+SENTENCE, NOTICE = re.compile(r"[.!?:;…。！？][\"'”’»)\]]*$"), re.compile(r"(?:©|\(c\)|copyright\b)", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 
 
@@ -56,8 +59,9 @@ def _boilerplate(name: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
-def lines(page: str) -> list[tuple[str, int, bool]]:
-    """The page's lines: text, length without links (0 for boilerplate, whose text is empty) and whether an article holds it."""
+def lines(page: str) -> list[tuple[str, int, bool, bool]]:
+    """The page's lines: text, length without links (0 for boilerplate, whose text is empty), whether an article holds it,
+    and whether it is running text or a title: it ends as a sentence does, or is a main heading."""
     tokens = [(m.start(), m.end(), m[2], (m[3] or "").lower(), m[4]) for m in TOKEN.finditer(page)]
     # Where each open tag ends: at its own end tag, or for those that may stay open at the next block.
     ends: dict[int, int] = {}
@@ -74,28 +78,31 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
                     if (loose == name or name not in LOOSE) and loose in ("p", name) and open_.get(loose):
                         ends[open_[loose].pop()] = k
             open_.setdefault(name, []).append(k)
-    out: list[tuple[str, int, bool]] = []
+    out: list[tuple[str, int, bool, bool]] = []
     parts: list[str] = []
-    linked = [0]
+    linked, title = [0], [False]
     articles: list[int] = []  # token numbers at which open articles end
     link_until = skip_until = -1
     at = 0
 
     def close(in_article: bool) -> None:
-        text = " ".join(html.unescape("".join(parts)).split())
+        text = " ".join("".join(parts).split())
         if text:
-            out.append((text, max(0, len(text) - linked[0]), in_article))
+            own = max(0, len(text) - linked[0])
+            out.append((text, own, in_article, title[0] or own * 2 >= len(text) and bool(SENTENCE.search(text)) and not NOTICE.match(text)))
         parts.clear()
         linked[0] = 0
 
     for k, (start, end, slash, name, attributes) in enumerate([*tokens, (len(page), len(page), "", "", "")]):
         if k >= skip_until:
-            text = "" if k == skip_until else page[at:start]  # what precedes its end tag belongs to a dropped element
+            # What precedes its end tag belongs to a dropped element. Each piece is decoded by itself: no reference spans a tag.
+            text = "" if k == skip_until else html.unescape(page[at:start])
             parts.append(text)
             if k <= link_until:
                 linked[0] += len(text)
             if name in BLOCKS:
                 close(bool(articles))
+                title[0] = name == "h1" and not slash
             elif name == "br":
                 parts.append(" ")
             while articles and k >= articles[-1]:
@@ -109,7 +116,7 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
                     close(bool(articles))
                     if last is not None:
                         skip_until = last
-                        out.append(("", 0, bool(articles)))
+                        out.append(("", 0, bool(articles), False))
                 elif name in ("article", "main"):
                     articles.append(len(tokens) + 1 if last is None else last)
                 elif name == "a" and last is not None:
@@ -141,21 +148,27 @@ def surges(weights: list[int], window: int = WINDOW, floor: int = 0) -> list[tup
 
 
 def main_text(page: str | None) -> str:
-    """The page's main text, its blocks joined by newlines; empty if it has none."""
+    """The page's main text, its blocks joined by newlines; empty if it has none.
+
+    Marked and unmarked lines are weighed apart, and the side with the heaviest run is the page's; of its runs those of
+    an article are all kept. Of unmarked ones the kept are those with a surge above the floor, what lies between them,
+    and those with running text or the title; what remains are scraps such as labels and copyright lines.
+    """
     found = lines(page or "")
-    weights = [BONUS * len(text) if inside else n for text, n, inside in found]
-    runs = surges(weights, WINDOW, min(FLOOR, max(weights, default=0) // 2))
-    mass = [sum(weights[a:b]) for a, b in runs]
-    strong = [r for r, m in zip(runs, mass, strict=True) if m * 4 >= max(mass)]
-    if not strong:
+    sides = []
+    for side in (True, False):
+        weights = [(len(text) if side else n) if inside == side else 0 for text, n, inside, _ in found]
+        runs = surges(weights)
+        heaviest = max((sum(weights[a:b]) for a, b in runs), default=0)
+        sides.append((MARKED + BONUS * heaviest if side and heaviest else heaviest, side, weights, runs))
+    heaviest, side, weights, runs = max(sides, key=lambda x: x[0])
+    if not heaviest:
         return ""
-    # All that lies between the first and the last, and the rest of an article at either end.
-    first, last = strong[0][0], strong[-1][1]
-    while first and found[first][2] and found[first - 1][2]:
-        first -= 1
-    while last < len(found) and found[last][2] and found[last - 1][2]:
-        last += 1
-    return "\n".join(found[k][0] for a, b in surges(weights) for k in range(max(a, first), min(b, last)) if found[k][0])
+    if not side:
+        strong = surges(weights, WINDOW, min(FLOOR, max(weights) // 2))
+        first, last = strong[0][0], strong[-1][1]
+        runs = [(a, b) for a, b in runs if first <= a and b <= last or any(found[k][3] and weights[k] for k in range(a, b))]
+    return "\n".join(found[k][0] for a, b in runs for k in range(a, b) if found[k][0] and found[k][2] == side)
 
 
 def extract(df: DataFrame, html_col: str = "html", to: str = "text") -> DataFrame:
@@ -174,4 +187,5 @@ def extract(df: DataFrame, html_col: str = "html", to: str = "text") -> DataFram
 
 
 def op10_html_extraction(pages: DataFrame) -> DataFrame:
+    """The main text of every page and its length in code points; null and empty pages, and those without text, have the empty one."""
     return extract(pages.select("page_id", "url", "html")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -55,6 +55,37 @@ def test_weak_run_between_strong_ones():
     assert h.main_text(f"<p>{long}</p>{links}<p>{text}</p>{links}<p>Hm.</p>{links}<p>{long}</p>{links}<p>© me</p>") == f"{long.strip()}\n{text}\nHm.\n{long.strip()}"
 
 
+def test_sections_at_the_ends():
+    """On an unmarked page no section is dropped for its size, however far from the rest; scraps are."""
+    long = "Much text that goes on for long enough to be an article's paragraph, as articles have. " * 40
+    links = "<p><a href=x>link</a></p>" * 5
+    close = "A closing section that is far shorter than a quarter of what stands before it, but is part of the article all the same."
+    for text in (close, "So it ends.", "Really?", "He said: \u201cno.\u201d"):
+        assert h.main_text(f"<p>{long}</p>{links}<p>{text}</p>{links}<p>© 2020 We. All rights reserved.</p><p>Menu</p>") == f"{long.strip()}\n{text}"
+        assert h.main_text(f"<p>Menu</p>{links}<p>{text}</p>{links}<p>{long}</p>") == f"{text}\n{long.strip()}"
+    assert h.main_text(f"<h1>The title</h1>{links}<p>{long}</p>{links}<h2>Tags</h2>") == f"The title\n{long.strip()}"
+
+
+def test_between_articles():
+    assert h.main_text("<article>A</article><div>Related: buy this now</div><article>B</article>") == "A\nB"
+    assert h.main_text("<article><p>One.</p><button>Share<p>Two three.</p></article>") == "One.\nShare\nTwo three."
+    assert h.main_text("<article><p>One.</p><p><a href=x>All of it a link</a></p></article>") == "One.\nAll of it a link"
+
+
+def test_references():
+    """Each piece is decoded by itself, once, and no reference spans markup."""
+    assert h.main_text("<article>&am<b>p;</b> &amp<!-- x -->lt; a&#38;lt;b &lt;p&gt; &nbsp;x") == "&amp; &lt; a&lt;b <p> x"
+
+
+def test_unmarked_pages():
+    """Without the article's marks the line blocks find the same text."""
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet", columns=["html"]).column(0).to_pylist()
+    same = [h.main_text(p) == h.main_text(re.sub("</?article>", "", p)) for p in pages]
+    assert sum(same) >= 0.95 * len(same), sum(same)
+    same = [h.main_text(p) == h.main_text(p.replace("<article>", "<div>").replace("</article>", "</div>")) for p in pages]
+    assert sum(same) >= 0.95 * len(same), sum(same)
+
+
 def test_odd_pages():
     assert h.main_text(None) == h.main_text("") == h.main_text("<p>") == h.main_text("<!-- x") == h.main_text("<script>x") == ""
     assert h.main_text("just text") == "just text"
