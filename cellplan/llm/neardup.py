@@ -11,11 +11,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from .common import fresh, map_batches, small_batches, written
+from .common import fresh, map_batches, remove, small_batches, written
 
 #: Coordinates of a sketch; the first BANDS * ROWS are banded: two sets of similarity 0.8 meet in some band but for 3 in a million.
 BINS, BANDS, ROWS = 512, 32, 5
@@ -23,8 +23,12 @@ BINS, BANDS, ROWS = 512, 32, 5
 LEAST_AGREEMENT = 0.73
 #: Up to so many ids of documents to verify (8 bytes each) are broadcast, so that only their texts are shuffled; with more, all are.
 BROADCAST_IDS = 500_000
-#: Members of a hub that one group verifies, and rows of a mixed bucket that one block holds.
-HUB_GROUP, BLOCK = 256, 2048
+#: Members of a hub that one group verifies; rows that a group holds, and rows that pass by it, in a mixed bucket.
+HUB_GROUP, BLOCK, SLICE = 256, 4096, 16_384
+#: Shingles that a group of a cluster holds at most (8 bytes each), but for a document that has more by itself.
+HELD = 2_000_000
+#: Keys that hold more than this share of all rows are joined by broadcast; there are at most as many as its inverse.
+HOT = 0.001
 
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _S30, _S27, _S31, _S32, _LOW = (np.uint64(x) for x in (30, 27, 31, 32, 0xFFFFFFFF))
@@ -117,10 +121,38 @@ def features(docs: DataFrame, size: int = 2) -> DataFrame:
     return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), make, "doc_id bigint, n_shingles bigint, set_key binary, bands array<bigint>, sketch binary")
 
 
+def _kept(df: DataFrame, label: str, made: list[str], each: int = 1) -> DataFrame:
+    """df written and read again; its folder is noted in ``made``."""
+    out, path = written(df, label, each)
+    made.append(path)
+    return out
+
+
+def hot_keys(sizes: DataFrame, key: str, size: str) -> list:
+    """The keys with more than HOT of all rows; sizes has a row a key and in ``size`` how many rows have it."""
+    total = sizes.agg(F.sum(size)).first()[0] or 0
+    return [r[0] for r in sizes.where(F.col(size) > HOT * total).select(key).collect()]  # at most 1 / HOT of them
+
+
+def hot_join(rows: DataFrame, table: DataFrame, key: str, hot: list) -> DataFrame:
+    """rows joined with table, which has one row a key; keys aren't null.
+
+    Rows of the ``hot`` keys are joined by broadcast and stay where they are; only the others are shuffled.
+    """
+    if not hot:
+        return rows.join(table, key)
+    is_hot = F.col(key).isin(hot)
+    return rows.where(~is_hot).join(table.where(~is_hot), key).unionByName(rows.where(is_hot).join(F.broadcast(table.where(is_hot)), key))
+
+
 def _agreeing(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Of the pairs (a, b) those whose sizes and sketches allow the similarity."""
-    side = lambda x: reps.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b", "sa", "sb")
+
+    def beside(df: DataFrame, x: str) -> DataFrame:
+        named = reps.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+        return hot_join(df, named, x, hot_keys(pairs.groupBy(x).agg(F.count("*").alias("size")), x, "size"))
+
+    both = beside(beside(pairs, "a"), "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b", "sa", "sb")
 
     def make():
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -132,9 +164,9 @@ def _agreeing(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return map_batches(both, make, "a bigint, b bigint")
 
 
-def _with_texts(need: DataFrame, docs: DataFrame) -> DataFrame:
+def _with_texts(need: DataFrame, docs: DataFrame, made: list[str]) -> DataFrame:
     """need, whose ``id`` names documents, with their texts. Up to BROADCAST_IDS ids are broadcast to sift the texts first."""
-    need, _ = written(need, "need")
+    need = _kept(need, "need", made)
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("text is not null")
     ids = need.select("id").distinct()
     if ids.count() <= BROADCAST_IDS:
@@ -142,16 +174,17 @@ def _with_texts(need: DataFrame, docs: DataFrame) -> DataFrame:
     return need.join(texts, "id")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, percent: int = 80, size: int = 2) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, made: list[str], percent: int = 80, size: int = 2) -> DataFrame:
     """Of the pairs (a, b) those whose full shingle sets have 100 * intersection >= percent * union.
 
     Each a's set is built once for up to HUB_GROUP of its partners, which pass by one at a time; an a with more partners
     is dealt over several groups. Which of a and b is smaller doesn't matter.
     """
-    groups = pairs.groupBy("a").agg(F.count("*").alias("degree")).select("a", F.ceil(F.col("degree") / HUB_GROUP).alias("parts"))
-    dealt = pairs.join(groups, "a").select("a", F.pmod(F.xxhash64("b"), "parts").alias("part"), "b")
+    pairs = _kept(pairs, "pairs", made)
+    groups = pairs.groupBy("a").agg(F.count("*").alias("degree")).select("a", "degree", F.ceil(F.col("degree") / HUB_GROUP).alias("parts"))
+    dealt = hot_join(pairs, groups, "a", hot_keys(groups, "a", "degree")).select("a", F.pmod(F.xxhash64("b"), "parts").alias("part"), "b")
     need = dealt.select("a", "part", F.lit(1).alias("side"), F.col("b").alias("id")).unionByName(dealt.select("a", "part", F.lit(0).alias("side"), F.col("a").alias("id")).distinct())
-    rows = _with_texts(need, docs).repartition("a", "part").sortWithinPartitions("a", "part", "side").select("a", "part", "side", "id", "text")
+    rows = _with_texts(need, docs, made).repartition("a", "part").sortWithinPartitions("a", "part", "side").select("a", "part", "side", "id", "text")
 
     def make():
         hub: list = [None, []]  # a's texts: one, but for rows that share its id
@@ -173,70 +206,124 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int = 80, size: int = 2
     return map_batches(rows, make, "a bigint, b bigint")
 
 
+def _dealt(rows: DataFrame, group: str, hold: Column, each: int) -> DataFrame:
+    """rows (group, comp, ...) dealt so that those outside a group's largest component (the few) meet all of the group.
+
+    Rows (group, part, slice, side, ...): a part holds the few (side 0) up to ``each`` of the sum of ``hold``, a slice of
+    about SLICE of the group's rows (side 1) passes by. Rows that move grow with the group's size times its parts, plus
+    the few times its slices: in proportion to the group while the few fit one part. Groups of one component are left out.
+    """
+    sizes = rows.groupBy(group, "comp").agg(F.count("*").alias("c"), F.sum(hold).alias("w"))
+    whole = sizes.groupBy(group).agg(F.max(F.struct("c", "comp", "w")).alias("top"), F.sum("c").alias("rows"), F.sum("w").alias("w"))
+    plan = whole.where("top.c < rows").select(group, F.col("top.comp").alias("main"), "rows", F.ceil((F.col("w") - F.col("top.w")) / each).alias("parts"), F.ceil(F.col("rows") / SLICE).alias("slices"))
+    met = hot_join(rows, plan, group, hot_keys(plan, group, "rows"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("rep", F.lit(n)), n)
+    few = met.where("comp != main").withColumn("part", own("parts")).withColumn("slice", every("slices")).withColumn("side", F.lit(0))
+    all_ = met.withColumn("slice", own("slices")).withColumn("part", every("parts")).withColumn("side", F.lit(1))
+    return few.unionByName(all_).drop("main", "rows", "parts", "slices")
+
+
 def _clusters(mixed: DataFrame, percent: int) -> DataFrame:
     """Rows (a, b) that span the documents of a bucket whose sketches agree with one of another component.
 
-    mixed: (key, rep, comp, n, sketch). A bucket of m rows gives m - 1 of them at most, not its pairs. Large buckets are
-    dealt over pairs of blocks.
+    mixed: (key, rep, comp, n, sketch). A group of m rows gives m - 1 of them at most, not its pairs.
     """
-    parts = mixed.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
-    dealt = mixed.join(parts, "key").withColumn("i", F.pmod(F.xxhash64("rep"), "parts")).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    rows = dealt.select("key", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "rep", "comp", "n", "sketch").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-
-    def spanning(group: list) -> tuple[list, list]:
-        rep, comp, n = (np.array([x[k] for x in group], np.int64) for k in range(3))
-        names, counts = np.unique(comp, return_counts=True)
-        if len(names) < 2:
-            return [], []
-        s = np.frombuffer(b"".join(x[3] for x in group), np.uint8).reshape(len(group), -1)
-        tree = rep.copy()
-        for k in np.flatnonzero(comp != names[counts.argmax()]):  # each pair of two components has one outside the largest
-            near = ((s == s[k]).mean(axis=1) >= LEAST_AGREEMENT) & (comp != comp[k]) & (100 * np.minimum(n, n[k]) >= percent * np.maximum(n, n[k]))
-            if near.any():
-                near[k] = True
-                joined = np.unique(tree[near])
-                tree[np.isin(tree, joined)] = joined[0]
-        apart = tree != rep
-        return rep[apart].tolist(), tree[apart].tolist()
+    rows = _dealt(mixed, "key", F.lit(1), BLOCK).select("key", "part", "slice", "side", "rep", "comp", "n", "sketch").repartition("key", "part", "slice").sortWithinPartitions("key", "part", "slice", "side")
 
     def run(batches):
-        now, group = None, []
+        now, few, root = None, [], {}
+        held = None
 
-        def out():
-            a, b = spanning(group)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        def find(x):
+            while root.setdefault(x, x) != x:
+                x = root[x]
+            return x
 
         for batch in batches:
-            for key, i, j, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (key, i, j) != now:
-                    if group:
-                        yield out()
-                    now, group = (key, i, j), []
-                group.append(row)
-        if group:
-            yield out()
+            found = []
+            columns = [batch.column(k).to_pylist() for k in range(8)]
+            keys = list(zip(*columns[:3], strict=True))
+            start = 0
+            while start < len(keys):
+                end = start
+                while end < len(keys) and keys[end] == keys[start] and columns[3][end] == columns[3][start]:
+                    end += 1
+                rep, comp, n = (np.array(columns[k][start:end], np.int64) for k in (4, 5, 6))
+                sketches = np.frombuffer(b"".join(columns[7][start:end]), np.uint8).reshape(end - start, -1)
+                if keys[start] != now:
+                    now, few, root, held = keys[start], [], {}, None
+                if columns[3][start] == 0:
+                    few.append((rep, comp, n, sketches))
+                else:
+                    held = held or ([np.concatenate([x[k] for x in few]) for k in range(4)] if few else [[]] * 4)
+                    for a, c, m, s in zip(*held, strict=True):
+                        fits = np.flatnonzero((comp != c) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)))
+                        for b in rep[fits[(sketches[fits] == s).mean(axis=1) >= LEAST_AGREEMENT]].tolist() if len(fits) else ():
+                            if (x := find(int(a))) != (y := find(b)):
+                                root[max(x, y)] = min(x, y)
+                                found.append((int(a), b))
+                start = end
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return rows.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def _joining(members: DataFrame, docs: DataFrame, percent: int, size: int) -> DataFrame:
-    """Links (a, b) between components of a cluster, enough to join all that links join. members: (cluster, rep, comp).
+class Held:
+    """Sorted shingle sets in which a set's likely partners are found by their prefixes.
 
-    Documents outside a cluster's largest component (the few) are held in groups of up to HUB_GROUP with an index of
-    their shingles' hashes; all of the cluster's documents pass by one at a time and are counted against it. A link
-    whose components were joined before is not given, so there are fewer links than components.
+    Shingles are ordered by how many held sets have them, rarest first. Two sets with 100 * intersection >= percent * union
+    share at least percent of each one's shingles, so also one of the rarest n - ceil(percent * n / 100) + 1 of each.
     """
-    sizes = members.groupBy("cluster", "comp").agg(F.count("*").alias("c"))
-    main = sizes.groupBy("cluster").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("all"))
-    groups = main.select("cluster", F.col("top.comp").alias("main"), F.ceil((F.col("all") - F.col("top.c")) / HUB_GROUP).alias("parts"))
-    known = members.join(groups.where("parts > 0"), "cluster")
-    few = known.where("comp != main").select("cluster", F.pmod(F.xxhash64("rep"), "parts").alias("part"), F.lit(0).alias("side"), F.col("rep").alias("id"), "comp")
-    all_ = known.select("cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(1).alias("side"), F.col("rep").alias("id"), "comp")
-    rows = _with_texts(few.unionByName(all_), docs).repartition("cluster", "part").sortWithinPartitions("cluster", "part", "side", "id").select("cluster", "part", "side", "id", "comp", "text")
+
+    def __init__(self, sets: list[np.ndarray], percent: int):
+        self.sets, self.percent = sets, percent
+        self.values, self.often = np.unique(np.concatenate(sets), return_counts=True)
+        owner, value = [], []
+        for k, s in enumerate(sets):
+            first = self.rarest(s)
+            owner.append(np.full(len(first), k))
+            value.append(first)
+        value, owner = np.concatenate(value), np.concatenate(owner)
+        order = np.argsort(value, kind="stable")
+        self.value, self.owner = value[order], owner[order]
+        self.n = np.array([len(x) for x in sets])
+
+    def rarest(self, s: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.values, s), len(self.values) - 1)
+        often = np.where(self.values[at] == s, self.often[at], 0)
+        return s[np.lexsort((s, often))[: len(s) + (-self.percent * len(s)) // 100 + 1]]
+
+    def partners(self, s: np.ndarray) -> list[int]:
+        """Numbers of the sets that may be similar enough, most shared prefix shingles first."""
+        first = self.rarest(s)
+        low, high = np.searchsorted(self.value, first, "left"), np.searchsorted(self.value, first, "right")
+        hit = np.flatnonzero(high > low)
+        if not len(hit):
+            return []
+        count = np.bincount(np.concatenate([self.owner[a:b] for a, b in zip(low[hit].tolist(), high[hit].tolist(), strict=True)]), minlength=len(self.n))
+        some = np.flatnonzero((count > 0) & (100 * np.minimum(self.n, len(s)) >= self.percent * np.maximum(self.n, len(s))))
+        return some[np.argsort(-count[some], kind="stable")].tolist()
+
+    def linked(self, k: int, s: np.ndarray) -> bool:
+        mine = self.sets[k]
+        both = int((mine[np.minimum(np.searchsorted(mine, s), len(mine) - 1)] == s).sum())
+        return 100 * both >= self.percent * (len(mine) + len(s) - both)
+
+
+def _joining(members: DataFrame, docs: DataFrame, made: list[str], percent: int, size: int) -> DataFrame:
+    """Links (a, b) between components of a cluster, enough to join all that links join. members: (cluster, rep, comp, n).
+
+    Documents outside a cluster's largest component (the few) are held in groups of up to HELD shingles, and slices of
+    the cluster's documents pass by one at a time; whose prefixes share no shingle are no pair. A link whose components
+    were joined before is not given, so there are fewer links than components.
+    """
+    need = _dealt(members, "cluster", F.col("n"), HELD).withColumnRenamed("rep", "id").drop("n")
+    rows = _with_texts(need, docs, made).repartition("cluster", "part", "slice").sortWithinPartitions("cluster", "part", "slice", "side", "id").select("cluster", "part", "slice", "side", "id", "comp", "text")
 
     def run(batches):
         words = Words()
-        now, held, index, root = None, [], None, {}
+        now, few, held, root = None, [], None, {}
 
         def find(x):
             while root.setdefault(x, x) != x:
@@ -245,25 +332,20 @@ def _joining(members: DataFrame, docs: DataFrame, percent: int, size: int) -> Da
 
         for batch in batches:
             found = []
-            for cluster, part, side, i, comp, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (cluster, part) != now:
-                    now, held, index, root = (cluster, part), [], None, {}
+            for cluster, part, slice_, side, i, comp, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (cluster, part, slice_) != now:
+                    now, few, held, root = (cluster, part, slice_), [], None, {}
                 s = hashed_shingles(text, words, size)
                 if not side:
-                    held.append((i, comp, s))
+                    few.append((i, comp, s))
+                    continue
+                if not few:
                     continue
-                if index is None:
-                    owner = np.repeat(np.arange(len(held)), [len(x[2]) for x in held])
-                    values = np.concatenate([x[2] for x in held])
-                    order = np.argsort(values, kind="stable")
-                    index = values[order], owner[order], np.array([len(x[2]) for x in held])
-                low, high = np.searchsorted(index[0], s, "left"), np.searchsorted(index[0], s, "right")
-                hit = high > low
-                both = np.bincount(np.concatenate([index[1][a:b] for a, b in zip(low[hit].tolist(), high[hit].tolist(), strict=True)]) if hit.any() else np.empty(0, np.int64), minlength=len(held))
-                for k in np.flatnonzero((both > 0) & (100 * both >= percent * (index[2] + len(s) - both))).tolist():
-                    if (x := find(held[k][1])) != (y := find(comp)):
+                held = held or Held([x[2] for x in few], percent)
+                for k in held.partners(s):
+                    if (x := find(few[k][1])) != (y := find(comp)) and held.linked(k, s):
                         root[x] = y
-                        found.append((held[k][0], i))
+                        found.append((few[k][0], i))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return rows.mapInArrow(run, "a bigint, b bigint")
@@ -277,48 +359,66 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 2) -> DataFr
        components and its rows grow with the buckets' sizes, not with their squares.
     3. Where a bucket still holds several components, documents whose sketches agree across them form clusters, and in
        each the few outside its largest component are compared with all others on full sets: no link between components
-       is lost, and links inside one would change nothing. Pairs are counted in the tasks, not emitted.
+       is lost, and links inside one would change nothing.
 
     Null or blank texts: an empty set, linked with nothing. A null doc_id: its row is returned with a null component and
-    kept. Rows that share a doc_id are one document. Other columns aren't read. Hot sets and buckets are pre-aggregated;
-    joins on them are split by AQE.
+    kept. Rows that share a doc_id are one document, so that its texts' components are one. Other columns aren't read.
+    Hot classes and buckets are pre-aggregated and joined by hot_join(); empty sets take part in no join. All tables that
+    are written on the way are deleted but the result.
     """
-    feats, _ = written(features(docs, size), "features", 8)
+    spark, made = docs.sparkSession, []
+    feats = _kept(features(docs, size), "features", made, 8)
     known = feats.where("set_key is not null and doc_id is not null")
-    classes = known.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    reps, _ = written(classes, "classes", 8)
+    classes = known.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    reps = _kept(classes, "classes", made, 8)
     banded = reps.select(F.explode("bands").alias("key"), "rep")
-    hubs = banded.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("size")).where("size > 1").drop("size")
-    shared, _ = written(banded.join(hubs, "key"), "buckets", 8)
+    hubs = _kept(banded.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("size")).where("size > 1"), "hubs", made, 2)
+    shared = _kept(hot_join(banded, hubs.drop("size"), "key", hot_keys(hubs, "key", "size")), "buckets", made, 8)
     stars = shared.where("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    ids = known.select("doc_id", "set_key").join(reps.select("set_key", "rep"), "set_key")
-    several = ids.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a != b").select("doc_id", "a")
-    same = ids.join(several, "doc_id").where("rep != a").select("a", F.col("rep").alias("b")).distinct()
-    links, _ = written(verified(_agreeing(stars, reps, percent), docs, percent, size).unionByName(same), "links")
-    first, _ = written(connected_components(links), "components")
-    comp = shared.select("key", "rep").join(first.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
-    several = comp.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("key")
-    mixed = comp.join(several, "key").join(reps.select("rep", "n", "sketch"), "rep")
-    near, _ = written(_clusters(mixed, percent), "near")
+    keys = feats.where("doc_id is not null").select("doc_id", F.xxhash64("set_key").alias("h"))  # a document with an empty text beside others counts
+    repeated = _kept(keys.groupBy("doc_id").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low != high").select("doc_id"), "repeated", made)
+    texts = known.join(repeated, "doc_id", "left_semi").select("doc_id", "set_key").distinct().join(reps.select("set_key", "rep"), "set_key")
+    same = texts.join(texts.groupBy("doc_id").agg(F.min("rep").alias("a")), "doc_id").where("rep != a").select("a", F.col("rep").alias("b")).distinct()
+    agreeing = _agreeing(_kept(stars, "stars", made), reps, percent)
+    links = _kept(verified(agreeing, docs, made, percent, size).unionByName(same), "links", made)
+    first = _kept(connected_components(links), "components", made)
+    comp = _kept(shared.select("key", "rep").join(first.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp")), "placed", made)
+    several = comp.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("rows")).where("low != high").select("key", "rows")
+    mixed = hot_join(comp, several.select("key"), "key", hot_keys(several, "key", "rows")).join(reps.select("rep", "n", "sketch"), "rep")
+    near = _kept(_clusters(_kept(mixed, "mixed", made), percent), "near", made)
     if not near.isEmpty():
         clusters = connected_components(near).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
-        members = clusters.join(first.withColumnRenamed("node", "rep"), "rep", "left").select("cluster", "rep", F.coalesce("component", "rep").alias("comp"))
-        more, _ = written(_joining(members, docs, percent, size), "more")
+        members = clusters.join(first.withColumnRenamed("node", "rep"), "rep", "left").join(reps.select("rep", "n"), "rep").select("cluster", "rep", F.coalesce("component", "rep").alias("comp"), "n")
+        more = _kept(_joining(_kept(members, "members", made), docs, made, percent, size), "more", made)
         if not more.isEmpty():
-            links = links.unionByName(verified(more, docs, percent, size))
-            first, _ = written(connected_components(links), "components")
-    out = feats.select("doc_id", "n_shingles", "set_key").join(reps.select("set_key", "rep"), "set_key", "left").join(first.withColumnRenamed("node", "rep"), "rep", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+            links = links.unionByName(verified(more, docs, made, percent, size))
+            first = _kept(connected_components(links), "components", made)
+    placed = reps.join(first.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
+    named = hot_join(known.select("doc_id", "n_shingles", "set_key"), placed, "set_key", hot_keys(reps, "set_key", "rows")).drop("set_key")
+    other = feats.where("set_key is null or doc_id is null").select("doc_id", "n_shingles")
+    if not repeated.isEmpty():  # a document with an empty text beside others is in their component
+        lowest = named.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+        other = other.join(lowest, "doc_id", "left")
+    else:
+        other = other.withColumn("component_id", F.lit(None).cast("long"))
+    other = other.withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    out, _ = written(named.unionByName(other).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "near-duplicates", 8)
+    for path in made:
+        remove(spark, path)
+    return out
 
 
 def keep_one(docs: DataFrame, percent: int = 80, size: int = 2) -> DataFrame:
-    """The documents of which each component keeps one, with all their columns; rows that repeat a doc_id count once."""
+    """The documents of which each component keeps one, with all their columns, and rows without a doc_id.
+
+    Rows that share a doc_id are one document: all its texts stay, rows that repeat both count once.
+    """
     (name,) = fresh(docs, "_kept_id")
     kept = near_duplicates(docs, percent, size).where("kept and doc_id is not null").select(F.col("doc_id").alias(name)).distinct()
-    named = docs.where("doc_id is not null").join(kept, F.col("doc_id").cast("long") == F.col(name), "left_semi").dropDuplicates(["doc_id"])
+    named = docs.where("doc_id is not null").join(kept, F.col("doc_id").cast("long") == F.col(name), "left_semi").dropDuplicates(["doc_id", "text"])
     return named.unionByName(docs.where("doc_id is null"))
 
 
 def op8_minhash_near_dedup(docs: DataFrame) -> DataFrame:
+    """near_duplicates() of all documents: two-word shingles, similarity 0.8 or more."""
     return near_duplicates(docs)
