@@ -1,9 +1,15 @@
-"""Document fingerprints from closed syncmers (Edgar 2021): anchors that depend on nothing but their own k letters."""
+"""Document fingerprints from closed syncmers (Edgar 2021): anchors that depend on nothing but their own k letters.
+
+Fingerprints hold the anchors' hashes in text order and are matched by position: anchors in common count where they come in
+the same order in both texts. Short texts have finer anchors besides.
+"""
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import math
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +21,10 @@ from .neardup import mix
 
 #: Letters of an anchor and of the inner substring whose minimum must lie at an edge: one position in (K - S + 1) / 2 is one.
 K, S = 23, 8
+#: Finer anchors that shorter texts have besides: below how many code points, k and s. Half a text of that many has a coarser one.
+FINER = ((160, 5, 2), (16, 2, 1))
+#: A run's bytes at most (but for rows that repeat each other), runs for each core at least, sampled rows a run, and runs at most.
+RUN, EACH, KEYS, MOST = 64 << 20, 4, 32, 100_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -81,26 +91,50 @@ def anchors(text: str, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray]:
     return np.zeros(1, np.int64), np.frombuffer(whole, np.uint32)
 
 
-def fingerprint(hashes: np.ndarray) -> str:
-    """Anchors' hashes in text order, as base64 of little-endian 32-bit integers."""
-    return base64.b64encode(hashes.astype("<u4").tobytes()).decode()
+def levels(text: str) -> list[np.ndarray]:
+    """Hashes of a text's anchors in order: the coarse ones, then the finer ones of short texts."""
+    return [anchors(text)[1], *(anchors(text, k, s)[1] for below, k, s in FINER if len(text) < below)]
 
 
-def hashes_of(print_: str) -> np.ndarray:
-    return np.frombuffer(base64.b64decode(print_), "<u4")
+def fingerprint(found: list[np.ndarray]) -> str:
+    """Levels of anchors' hashes as base64 of little-endian 32-bit integers, with dots between."""
+    return ".".join(base64.b64encode(x.astype("<u4").tobytes()).decode() for x in found)
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Share of anchors in common (Dice, with repeats): 1 for equal fingerprints, two empty ones among them, 0 for disjoint."""
-    if len(a) + len(b) == 0:
-        return 1.0
-    if len(a) == len(b) and (a == b).all():
+def levels_of(print_: str) -> list[np.ndarray]:
+    return [np.frombuffer(base64.b64decode(x), "<u4") for x in print_.split(".")]
+
+
+def likeness(a: list[np.ndarray], b: list[np.ndarray]) -> float:
+    """Share of anchors that match in order (twice their number over both texts'), at the finest level that both have.
+
+    The r-th repeat of a hash matches the r-th on the other side; of these pairs the longest chain that ascends in both
+    texts counts. 1 for equal fingerprints, two empty ones among them, 0 for disjoint ones.
+    """
+    if len(a) == len(b) and all(np.array_equal(x, y) for x, y in zip(a, b, strict=True)):
         return 1.0
-    x, y = np.sort(a), np.sort(b)
-    # The r-th repeat of a value matches the r-th repeat on the other side.
-    nth = lambda v: np.arange(len(v)) - np.searchsorted(v, v)
-    pair = lambda v: v.astype(np.uint64) << np.uint64(32) | nth(v).astype(np.uint64)
-    return 2.0 * len(np.intersect1d(pair(x), pair(y), assume_unique=True)) / (len(a) + len(b))
+    level = min(len(a), len(b)) - 1
+    x, y = a[level], b[level]
+    if not len(x) or not len(y):
+        return float(len(x) == len(y))
+
+    def named(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(v, kind="stable")
+        low = v[order]
+        return low.astype(np.uint64) << np.uint64(32) | (np.arange(len(v)) - np.searchsorted(low, low)).astype(np.uint64), order
+
+    (one, at), (two, to) = named(x), named(y)
+    _, i, j = np.intersect1d(one, two, assume_unique=True, return_indices=True)
+    other = to[j][np.argsort(at[i])]  # places in b of the matches, by their places in a
+    if len(other) > 1 and (np.diff(other) < 0).any():
+        chain: list[int] = []  # the least last place of an ascending chain of each length
+        for p in other.tolist():
+            if not chain or p > chain[-1]:
+                chain.append(p)
+            else:
+                chain[bisect_left(chain, p)] = p
+        return 2.0 * len(chain) / (len(x) + len(y))
+    return 2.0 * len(other) / (len(x) + len(y))
 
 
 def aligned(a: str, b: str, k: int = K, s: int = S) -> list[tuple[int, int, int]]:
@@ -140,66 +174,129 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return map_batches(df.select(id_col, text_col), make, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, positions array<bigint>, anchors array<bigint>")
 
 
-def _bucket(x, bounds: list[int], fan: int = 64):
-    """How many of the bounds are <= x, less one; looked up in two levels."""
-    groups = [bounds[i : i + fan] for i in range(0, len(bounds), fan)]
-    up_to = lambda values: F.size(F.filter(values, lambda b: b <= x))
-    coarse = up_to(F.array(*(F.lit(g[0]) for g in groups)))
-    fine = F.element_at(F.array(*(F.array(*(F.lit(b) for b in g)) for g in groups)), coarse)
-    return (coarse - 1) * fan + up_to(fine) - 1
+class Runs:
+    """Ascending (doc_id, hash) keys at which runs start, the first one the least of all."""
+
+    def __init__(self, keys: list[tuple[int, int]]):
+        self.keys = keys
+        self.ids = np.array([i for i, _ in keys], np.int64)
 
+    def of(self, ids: np.ndarray, hashes: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Each row's run, and whether its key starts it."""
+        run = np.searchsorted(self.ids, ids, "right") - 1
+        for k in np.flatnonzero(self.ids[np.maximum(run, 0)] == ids).tolist():  # the id starts one run or more
+            run[k] = bisect_right(self.keys, (int(ids[k]), hashes[k])) - 1
+        start = np.array([self.keys[r] == (i, h) for r, i, h in zip(run.tolist(), ids.tolist(), hashes, strict=True)], bool)
+        return run, start
 
-def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
-    """Documents in runs of ascending doc_id: rows (run, doc_id, text, ahead), sorted and partitioned by run.
+
+def runs_of(ids: DataFrame, run: int | None = None) -> Runs | None:
+    """Runs of about ``run`` bytes of ids' rows (doc_id, hash, text); None without rows.
+
+    Keys are chosen on a sample by a hash, weighted by bytes. The sample's size follows the number of runs, at most MOST;
+    beyond that runs are larger, which costs no memory: they are streamed.
+    """
+    size = F.octet_length("text") + 16
+    found = ids.agg(F.sum(size).alias("bytes"), F.count("*").alias("rows"), F.min(F.struct("doc_id", "hash")).alias("low")).first()
+    if not found.rows:
+        return None
+    cores = ids.sparkSession.sparkContext.defaultParallelism
+    wanted = math.ceil(found.bytes / run) if run else max(math.ceil(found.bytes / RUN), min(EACH * cores, found.bytes >> 20))
+    wanted = max(1, min(wanted, MOST))
+    step = max(1, found.rows // (KEYS * wanted))
+    some = ids.where(F.pmod(F.xxhash64("doc_id", "hash", F.lit(1)), F.lit(step)) == 0).groupBy("doc_id", "hash").agg(F.sum(size).alias("bytes"))
+    rows = sorted((r.doc_id, r.hash, r.bytes) for r in some.collect())
+    ends = np.cumsum([b for *_, b in rows])
+    cuts = np.searchsorted(ends, ends[-1] * np.arange(1, wanted) / wanted) if len(rows) else []
+    return Runs(sorted({(found.low.doc_id, found.low.hash), *((rows[k][0], rows[k][1]) for k in cuts)}))
+
+
+def with_next(docs: DataFrame, run: int | None = None) -> DataFrame:
+    """Documents in runs by ascending doc_id, then a hash of the text: rows (run, doc_id, text, ahead), a run a partition, sorted.
 
     A run's last row (ahead) is the first document of the next run, of the first run for the last: whoever reads a
-    partition in order has each document's successor without a second shuffle and without one task for all.
+    partition in order has each document's successor without a second shuffle and without one task for all. Rows without
+    doc_id are left out. Runs are cut between texts of one doc_id, too; only rows that repeat both stay together.
     """
-    spark = docs.sparkSession
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = ids.agg(F.min("doc_id").alias("low"), F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 50 * parts).alias("cuts")).first()
-    bounds = sorted({found.low, *(found.cuts or [])}) if found.low is not None else [0]
-    run = _bucket(F.col("doc_id"), bounds)
-    start = F.col("doc_id").isin(bounds) if len(bounds) <= 200 else F.array_contains(F.array(*(F.lit(b) for b in bounds)), F.col("doc_id"))
-    back = F.when(start, F.struct(F.pmod(run - 1, F.lit(len(bounds))).alias("run"), F.lit(True).alias("ahead")))
-    both = ids.withColumn("to", F.explode(F.array_compact(F.array(F.struct(run.alias("run"), F.lit(False).alias("ahead")), back))))
-    return both.select(F.col("to.run").alias("run"), "doc_id", "text", F.col("to.ahead").alias("ahead")).repartition(len(bounds), "run").sortWithinPartitions("run", "ahead", "doc_id", "text")
-
-
-def edit_prints(docs: DataFrame, k: int = K, s: int = S) -> DataFrame:
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
+    runs = runs_of(ids, run)
+    n = len(runs.keys) if runs else 1
+
+    def make():
+        def run_(batch: pa.RecordBatch) -> pa.RecordBatch:
+            at, start = runs.of(batch.column(0).to_numpy(), batch.column(1).to_pylist())
+            back = np.flatnonzero(start)
+            rows = batch.take(pa.array(np.concatenate([np.arange(len(at)), back])))
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([at, (at[back] - 1) % n]), pa.int32()), *rows.columns, pa.array(np.arange(len(at) + len(back)) >= len(at))], names=["run", "doc_id", "hash", "text", "ahead"])
+
+        return run_
+
+    dealt = map_batches(ids, make, "run int, doc_id bigint, hash bigint, text string, ahead boolean")
+    return dealt.repartitionById(n, "run").sortWithinPartitions("run", "ahead", "doc_id", "hash", "text").select("run", "doc_id", "text", "ahead")
+
+
+def _row(doc_id, text: str, own: list[np.ndarray], after: str, next_: list[np.ndarray]) -> tuple:
+    half = len(text) // 2
+    edited = text[: len(text) - half] + after[:half]
+    theirs = levels(edited) if half else own
+    return doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), fingerprint(own), fingerprint(theirs), likeness(own, theirs), likeness(own, next_)
+
+
+def edit_prints(docs: DataFrame, run: int | None = None) -> DataFrame:
     """Fingerprints every document, and its text with the last half replaced from the next document.
 
-    Rows as ``op9_``'s. The next of a document is the one that follows by ascending doc_id, then text; the first after
-    the last. A null text is empty, rows without doc_id are left out, rows that share one count each. With one row the
-    next is itself.
+    Rows as ``op9_``'s. The next of a document is the one that follows by ascending doc_id, then a hash of the text; the
+    first after the last. A null text is empty, rows that share a doc_id count each. Rows without doc_id are no
+    document's next; theirs is the first document, or the row itself if there is none. With one row the next is itself.
+    Equal rows don't differ, so their order doesn't matter.
     """
     small_batches(docs.sparkSession)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+    names = ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    schema = pa.schema(list(zip(names, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()), strict=True)))
+    out_schema = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
-    def run(batches):
-        held = None  # the document that waits for its next: run, doc_id, text, hashes
-        took = False  # whether the run's end was seen: rows that share the first id of the next run come several times
+    def in_order(batches):
+        held = None  # the document that waits for its next: run, doc_id, text, levels
+        took = False  # whether the run's end was seen: rows that share the first key of the next run come several times
         for batch in batches:
             out = []
             for part, doc_id, text, ahead in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if held is not None and held[0] != part:
                     held, took = None, False
-                h = None if took else anchors(text, k, s)[1]
+                mine = None if took else levels(text)
                 if held is not None and not took:
-                    _, last, old, mine = held
-                    half = len(old) // 2
-                    edited = old[: len(old) - half] + text[:half]
-                    theirs = anchors(edited, k, s)[1] if half else mine
-                    out.append((last, len(old), hashlib.sha256(edited.encode()).hexdigest(), fingerprint(mine), fingerprint(theirs), likeness(mine, theirs), likeness(mine, h)))
+                    out.append(_row(*held[1:], text, mine))
                 if ahead:
                     held, took = (part, None, None, None), True
                 else:
-                    held = part, doc_id, text, h
-            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, x, strict=True)) for x in out], schema)
+                    held = part, doc_id, text, mine
+            yield batch_of(out)
+
+    rows = with_next(docs, run).mapInArrow(in_order, out_schema)
+    nameless = docs.where("doc_id is null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    if nameless.isEmpty():
+        return rows
+    order = F.struct(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))), F.coalesce("text", F.lit("")))
+    first = docs.where("doc_id is not null").agg(F.min_by(F.coalesce("text", F.lit("")), order)).first()[0]
+
+    def make():
+        after = None if first is None else levels(first)
+
+        def run_(batch: pa.RecordBatch) -> pa.RecordBatch:
+            out = []
+            for text in batch.column(1).to_pylist():
+                own = levels(text)
+                out.append(_row(None, text, own, text if first is None else first, own if after is None else after))
+            return batch_of(out)
+
+        return run_
 
-    return with_next(docs).mapInArrow(run, "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return rows.unionByName(map_batches(nameless, make, out_schema))
 
 
 def op9_document_fingerprints(docs: DataFrame) -> DataFrame:
+    """edit_prints() of all documents."""
     return edit_prints(docs)
