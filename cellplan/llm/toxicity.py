@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_batches, small_batches, table
+from .neardup import Words, hashed_shingles, mix
 
 #: Labelled documents of each class that are fitted to at most, and the longest of them in characters: bounds the driver's memory.
 SAMPLE, SAMPLE_CHARS = 3000, 20_000
@@ -30,6 +31,8 @@ LEAST_DOCS, LEAST_RATIO = 4, 20.0
 STEMS = (4, 5, 6)
 #: How strongly weights are drawn to 1.
 RIDGE = 0.3
+#: Minima of shingles' hashes that tell near copies among the texts that are fitted to, and the share that must agree.
+MINIMA, ALIKE = 32, 0.8
 
 SENTENCE = re.compile(r"[^.!?\n。]+[.!?。]*")
 WORD = re.compile(r"\w+")
@@ -85,14 +88,18 @@ def _ratio(k: float, n: float, all_k: float, all_n: float) -> float:
 def apart(texts: list[str], labels: list[int]) -> list[int]:
     """Numbers of the texts to learn from: of near copies with one label only the first, or their chance words would count.
 
-    Copies are told by the three smallest hashes of their words.
+    Copies share a band of their two-word shingles' minima and agree in at least ALIKE of all minima.
     """
-    seen, out = set(), []
+    known, seen, out = Words(), {}, []
+    steps = np.arange(1, MINIMA + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for k, (t, one) in enumerate(zip(texts, labels, strict=True)):
-        mark = (one, *sorted({zlib.crc32(w.encode()) for w in WORD.findall(t.lower())})[:3])
-        if mark not in seen:
-            seen.add(mark)
+        s = hashed_shingles(t, known)
+        least = np.array([mix(s + step).min() for step in steps]) if len(s) else np.zeros(MINIMA, np.uint64)
+        bands = [(one, b, least[b : b + 4].tobytes()) for b in range(0, MINIMA, 4)]
+        if not any((least == other).mean() >= ALIKE for band in bands for other in seen.get(band, ())):
             out.append(k)
+            for band in bands:
+                seen.setdefault(band, []).append(least)
     return out
 
 
@@ -166,7 +173,8 @@ def held_out(doc_id="doc_id"):
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, each: int, extra: list | None = None, chars: int = SAMPLE_CHARS) -> tuple[DataFrame, dict[int, int]]:
     """Up to ``each`` learnable documents of each class, chosen by a hash of their id, with ``_label``; and the classes' sizes.
 
-    Documents longer than ``chars`` are not chosen. A document labelled twice has the greater label.
+    Documents longer than ``chars`` are not chosen. A document labelled twice has the greater label. Of rows that share an
+    id the one with the least hash of its text counts (then the least columns), so there are at most 2 * each rows.
     """
     once = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max(label).alias("_label")).where(~held_out("_id"))
     sizes = {r["_label"]: r["count"] for r in once.groupBy("_label").count().collect()}
@@ -174,12 +182,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, each: int, e
     ids = F.broadcast(chosen[0].unionByName(chosen[1]))  # at most 2 * each rows of 12 bytes
     used = extra or ["text"]
     rows = docs.where(F.coalesce(F.length("text"), F.lit(0)) <= chars).select(*used, F.col("doc_id").cast("long").alias("_id"))  # no other column, so no name can clash
-    return rows.join(ids, "_id").select(*[c for c in rows.columns if c != "_id"], "_id", "_label"), sizes
+    names = [c for c in rows.columns if c != "_id"]
+    one = rows.join(ids, "_id").groupBy("_id", "_label").agg(F.min(F.struct(F.xxhash64("text").alias("_hash"), *names)).alias("_one"))
+    return one.select(*(F.col("_one")[c].alias(c) for c in names), "_id", "_label"), sizes
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> Model:
+    """Fits to a bounded sample of labelled documents outside the held-out fifth; without any, or with one class, to its share."""
     rows, sizes = labelled_sample(docs, labels, label, sample)
-    rows = sorted(rows.collect(), key=lambda r: (r["_id"], r["text"] or ""))[: 4 * sample]  # in one order, whatever the partitions
+    rows = sorted(rows.collect(), key=lambda r: r["_id"])  # in one order, whatever the partitions
     total = sum(sizes.values())
     return fit([r["text"] or "" for r in rows], [r["_label"] for r in rows], sizes.get(1, 0) / total if total else None)
 
@@ -187,7 +198,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", offending: float = 0.5) -> DataFrame:
     """Rows (id_col, score, spans): spans are the sentences of at least ``offending``, as start, end, probability.
 
-    Null and empty texts have the leak as their score and no spans. Each row gives a row, whatever its id.
+    Null and empty texts have the leak as their score and no spans. Each row gives a row, whatever its id, and equal texts
+    have equal scores. A text of any length is scored whole, a sentence at a time.
     """
     small_batches(docs.sparkSession)
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("probability", pa.float64())]))
@@ -215,6 +227,7 @@ def keep_clean(docs: DataFrame, model: Model, offending: float = 0.5) -> DataFra
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a model of the labels outside the held-out fifth, and how many sentences offend."""
     docs = table(spark, sf_dir, "documents")
     model = train(docs, table(spark, sf_dir, "labels"))
     return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("spans").cast("long").alias("n_offending"))

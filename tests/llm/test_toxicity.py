@@ -44,6 +44,38 @@ def test_noisy_or_by_definition():
     assert np.allclose([x for *_, x in found], p) and np.isclose(score, 1 - 0.9 * (1 - p[0]) * (1 - p[1]))
 
 
+def test_scores_by_definition(spark):
+    """All documents of a small table, sentence by sentence and word by word."""
+    docs = [x.text or "" for x in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    names = sorted({w for t in docs[:40] for w in tx.WORD.findall(t.lower())})
+    model = tx.Model(0.07, -2.0, {**{w: 0.5 for w in names[::17]}, **{w[:4] + "*": 1.5 for w in names[::23] if len(w) > 4}})
+    for text in docs:
+        none = 1 - model.leak
+        for sentence in tx.SENTENCE.findall(text):
+            found = tx.traits(set(tx.WORD.findall(sentence.lower()))) & model.weights.keys()
+            if found:
+                none *= 1 - 1 / (1 + np.exp(-(model.bias + sum(model.weights[w] for w in found))))
+        assert np.isclose(model.score(text)[0], 1 - none)
+
+
+def test_apart():
+    """Of near copies one is learnt from; long texts over one vocabulary are no copies for their common words."""
+    r = random.Random(3)
+    words = [f"w{k}" for k in range(60)]
+    long = [" ".join(r.choices(words, k=600)) for _ in range(60)]
+    assert tx.apart(long, [0] * 60) == list(range(60))
+    copies = [long[0], long[0].replace("w7 ", "x "), long[0], "", ""]
+    assert tx.apart(copies, [0, 0, 1, 0, 0]) == [0, 2, 3]
+
+
+def test_sample_is_bounded(spark):
+    """Ids that very many rows share give one row each, the same in every run."""
+    docs = spark.range(4000).selectExpr("id % 4 + 1 AS doc_id", "concat('text ', id) AS text", "id AS _hash")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 5)], "doc_id bigint, toxic int")
+    one = [sorted(map(tuple, tx.labelled_sample(docs.repartition(n), labels, "toxic", 3)[0].collect())) for n in (2, 7)]
+    assert one[0] == one[1] and len(one[0]) == len({x[1] for x in one[0]}) <= 4
+
+
 def test_degenerate():
     assert tx.fit([], []).score("x")[0] == 0.0
     assert tx.fit(["a", "b"], [1, 1]).score("x")[0] == 1.0
