@@ -25,7 +25,7 @@ def test_cotraining_helps_and_scores():
     r = random.Random(1)
     texts, sources, y = pages(r, 120)
     free = pages(r, 600)
-    model = q.cotrain(both(texts, sources), y, both(*free[:2]))
+    model = q.cotrain(both(texts, sources), y, q.Pool(*both(*free[:2])))
     held, where, want = pages(r, 500)
     s = model.scores(*both(held, where))
     assert ((s[:, 2] >= 0.5) == (want == 1)).mean() > 0.97 and ((s[:, 0] >= 0.5) == (want == 1)).mean() > 0.95
@@ -34,11 +34,85 @@ def test_cotraining_helps_and_scores():
     assert np.allclose(model.views[0].logit(x), model.views[0].indicators(x) @ model.views[0].weights)
 
 
+def test_rounds_help():
+    """Two views that know different things, few labels: what the views tell each other makes both of them better."""
+    r = np.random.default_rng(3)
+
+    def draw(n):
+        y = (r.random(n) < 0.6).astype(float)
+        a, b = r.standard_normal((n, len(q.CONTENT))), np.zeros((n, 3))
+        a[:, :6] += 1.1 * (2 * y[:, None] - 1)
+        b[:, 0] = np.where(r.random(n) < 0.9, r.integers(1, 16, n) + 15 * (y == 1), r.integers(1, 31, n))
+        b[:, 2] = r.standard_normal(n) + y
+        return (a, b), y
+
+    gain = []
+    for _ in range(8):
+        few, y = draw(60)
+        pool, _ = draw(4000)
+        held, want = draw(3000)
+        models = [q.cotrain(few, y, q.Pool(*pool), rounds, 100) for rounds in (0, 6)]
+        scores = [m.scores(*held) for m in models]
+        gain.append([((s >= 0.5) == (want[:, None] == 1)).mean(axis=0) for s in scores])
+    before, after = np.mean(gain, axis=0)
+    assert (after > before + 0.01).all(), (before, after)
+
+
+def test_newton_and_scores_by_definition():
+    r = np.random.default_rng(5)
+    x, y = np.hstack([np.ones((300, 1)), r.standard_normal((300, 4))]), (r.random(300) < 0.4).astype(float)
+    shrink = np.array([1e-6, 2, 2, 2, 2])
+    loss = lambda w: np.logaddexp(0, x @ w).sum() - y @ (x @ w) + (shrink * w * w).sum() / 2
+    w = q.newton(x, y, 2.0)
+    assert all(loss(w) <= loss(w + 1e-3 * d) for d in (*np.eye(5), *-np.eye(5), *r.standard_normal((20, 5))))
+    few = pages(random.Random(2), 200)
+    model = q.cotrain(both(*few[:2]), few[2], q.Pool(*both(*pages(random.Random(3), 300)[:2])))
+    held = both(*pages(random.Random(4), 50)[:2])
+    for row, a, b in zip(model.scores(*held), *held, strict=True):
+        z = []
+        for view, (constant, slope), numbers in zip(model.views, model.calibration, (a, b), strict=True):
+            logit, at = view.weights[0], 1
+            for cuts, n in zip(view.cuts, numbers, strict=True):
+                logit += view.weights[at + sum(c <= n for c in cuts)]
+                at += len(cuts) + 1
+            z.append(constant + slope * logit)
+        z.append(model.combination @ [1, *z])
+        assert np.allclose(row, [1 / (1 + np.exp(-v)) for v in z])
+
+
+def test_table_of_guesses(spark):
+    """All unlabelled rows are looked at: the guesses are those of the whole pool in memory, copies counted once."""
+    r = random.Random(6)
+    texts, sources, y = pages(r, 150)
+    x = both(texts, sources)
+    views = [q.Additive.over(x[0]).fit(x[0], y), q.Additive.over(x[1], ((0, q.SOURCES), (1, q.LANGUAGES))).fit(x[1], y)]
+    pool = both(*pages(r, 900)[:2])
+    keys = [k // 3 if k < 300 else k for k in range(900)]
+    a, b = (np.array([m[keys.index(k)] for k in keys]) for m in pool)
+    rows = spark.createDataFrame([(k, u, v) for k, u, v in zip(keys, a.tolist(), b.tolist(), strict=True)], "key bigint, content array<double>, metadata array<double>").repartition(5)
+    for used in (set(), set(range(50, 400))):
+        got = q.Table(rows).guesses(views, 0.5, (20, 30), used)
+        want = q.Pool(a, b, keys).guesses(views, 0.5, (10**6, 10**6), used)
+        for v in (0, 1):
+            for one, n in ((0, 20), (1, 30)):
+                sure = {k: abs(float(views[v].logit((m, o)[v][None])[0]) - 0.5) for w, c, k, m, o in want if (w, c) == (v, one)}
+                assert [k for w, c, k, *_ in got if (w, c) == (v, one)] == sorted(sure, key=lambda k: (-sure[k], k))[:n]
+
+
+def test_lexicon():
+    words = [q.word_buckets(t) for t in ("Good words, here.", "good text", "bad text", "bad BAD here!")]
+    weights = q.lexicon(words, np.array([1, 1, 0, 0]))
+    one = lambda w: float(weights[q.word_buckets(w)[0]])
+    assert one("good") > 0 > one("bad") and one("text") == one("here") == one("unseen") == 0 and np.isclose(one("good"), np.log(4 / 6) - np.log(2 / 6))
+    assert q.content("good", weights)[-1] == one("good") and q.content("...", weights)[-1] == q.content(None, weights)[-1] == 0.0
+
+
 def test_degenerate():
     a, b = both([], []), both(["x"], ["s"])
     none = np.empty((0, len(q.CONTENT))), np.empty((0, 3))
-    assert q.cotrain(none, np.array([]), none).scores(*b).tolist() == [[1.0] * 3]
-    assert q.cotrain(b, np.array([0.0]), none).scores(*b)[0, 2] == 0.0
+    pool = q.Pool(*none)
+    assert q.cotrain(none, np.array([]), pool).scores(*b).tolist() == [[1.0] * 3]
+    assert q.cotrain(b, np.array([0.0]), pool).scores(*b)[0, 2] == 0.0
     assert len(a[0]) == 0 and q.content(None) == q.content("") and len(q.content("\n  \n")) == len(q.CONTENT)
 
 
@@ -58,5 +132,7 @@ def test_odd_rows(spark):
     labels = spark.createDataFrame([(1, 1), (2, 0), (3, None), (None, 1)], "doc_id bigint, quality int")
     model = q.train(df, labels)
     assert q.score(df, model).count() == 4
+    long = df.withColumn("text", q.F.repeat(q.F.lit("A long text, of many words.\n"), 40_000))
+    assert len({tuple(x[1:]) for x in q.score(long.where("doc_id = 2"), model).collect()}) == 1  # equal rows, equal scores
     assert q.keep_good(df, model, 0.0).collect() == df.collect() and q.keep_good(df, model, 1.1).count() == 0
     assert q.score(df, q.train(df.limit(0), labels.limit(0))).select("score").distinct().collect()[0][0] == 1.0
