@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cellplan.llm import neardup, packing, quality, toxicity
-from cellplan.llm.common import table, written
+from cellplan.llm.common import remove, table, written
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,16 +18,17 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def poor_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that are poor with three chances in four: what is unclear, as very short texts are, stays."""
-    return quality.keep_good(docs, quality.train(docs, table(spark, sf_dir, "labels")), 0.25)
+    """Drops documents that the model rejects; it learns from the labelled and the surest unlabelled ones among those it is given."""
+    return quality.keep_good(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
 def copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one of each group of five-word shingle similarity 0.8 or more."""
+    """Keeps one of each group of five-word shingle similarity 0.8 or more; rows that repeat doc_id and text count once."""
     return neardup.keep_one(docs, size=5)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs what is left into sequences of 1024 tokens: a row for each piece of a document and its place."""
     return packing.pack_documents(docs)
 
 
@@ -38,9 +39,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; a stage's table is deleted when the next one's is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs, _ = written(docs, name)
+            docs, path = written(docs, name)
+            if before:
+                remove(spark, before)
+            before = path
     return docs
