@@ -306,8 +306,8 @@ def _gathered(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, list[list[int]],
     return np.array([r.content for r in found]).reshape(len(found), len(CONTENT)), np.array([r.metadata for r in found]).reshape(len(found), 3), [r.words for r in found], np.array([r.label for r in found], float)
 
 
-def fitted(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, rounds: int = ROUNDS, given: int = GIVEN) -> tuple[Model, DataFrame]:
-    """A model, and the features() of all docs that its guesses were chosen from (a written table).
+def fitted(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, rounds: int = ROUNDS, given: int = GIVEN) -> tuple[Model, DataFrame, str]:
+    """A model, the features() of all docs that its guesses were chosen from, and the folder that holds them.
 
     Fitted are a bounded sample of labelled documents outside the held-out fifth, and guesses on unlabelled ones outside
     it, texts that repeat being one. Long texts take part by their numbers. Of equally sure guesses the least key counts.
@@ -321,7 +321,7 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: i
         # A document's own words must not speak for it: each half is weighed by the other half's lexicon.
         halves = [lexicon(words[k::2], y[k::2]) for k in (0, 1)]
         a[:, CONTENT.index("lexical")] = [lexical(w, halves[1 - k % 2]) for k, w in enumerate(words)]
-    feats, _ = written(features(docs, weights), "quality", 4)
+    feats, kept = written(features(docs, weights), "quality", 4)
     named = feats.where(F.col("doc_id").isNotNull() & ~held_out())
     marked = labels.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("_id")).distinct()
     free, path = written(named.join(marked, F.col("doc_id").cast("long") == F.col("_id"), "left_anti").select("key", "content", "metadata"), "pool", 4)
@@ -336,12 +336,14 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: i
         for c in model.calibration:
             c[0] += shift
         model.combination[0] -= shift * model.combination[1:].sum()
-    return model, feats
+    return model, feats, kept
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, rounds: int = ROUNDS, given: int = GIVEN) -> Model:
-    """fitted()'s model alone."""
-    return fitted(docs, labels, label, sample, rounds, given)[0]
+    """fitted()'s model alone; nothing stays written."""
+    model, _, path = fitted(docs, labels, label, sample, rounds, given)
+    remove(docs.sparkSession, path)
+    return model
 
 
 def scored(feats: DataFrame, model: Model) -> DataFrame:
@@ -383,5 +385,5 @@ def keep_good(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents by both views and by their combination; a document is predicted good from 0.5 on."""
-    model, feats = fitted(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    model, feats, _ = fitted(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored(feats, model).select("doc_id", held_out().alias("held_out"), "content_score", "metadata_score", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
