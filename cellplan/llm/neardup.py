@@ -8,6 +8,7 @@ about t log t throws in all, and the share of equal coordinates is concentrated
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ HELD = 2_000_000
 HOT = 0.001
 
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
-_S30, _S27, _S31, _S32, _LOW = (np.uint64(x) for x in (30, 27, 31, 32, 0xFFFFFFFF))
+_S30, _S27, _S31, _S32, _LOW, _EMPTY = (np.uint64(x) for x in (30, 27, 31, 32, 0xFFFFFFFF, 0xFFFFFFFFFFFFFFFF))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -78,18 +79,24 @@ def hashed_shingles(text: str | None, known: Words, size: int = 2) -> np.ndarray
 
 
 def sketch(elements: np.ndarray, bins: int = BINS) -> np.ndarray:
-    """The fast similarity sketch of a nonempty set of 64-bit hashes."""
-    out = np.full(bins, np.uint64(0xFFFFFFFFFFFFFFFF))
-    for i in range(2 * bins):
-        h = mix(elements + np.uint64((i + 1) * int(_STEP) & (2**64 - 1)))
-        value = np.uint64(i) << _S32 | h & _LOW
-        if i < bins:
-            np.minimum.at(out, (h >> _S32) % np.uint64(bins), value)
-        else:
-            out[i - bins] = min(out[i - bins], value.min())
-        if (out >> _S32 != _LOW).all():
-            break
-    return out
+    """The fast similarity sketch of a nonempty set of 64-bit hashes.
+
+    As many rounds are thrown at a time as should fill the bins; rounds that turn out not to be needed change nothing,
+    for their values are greater.
+    """
+    out = np.full(bins, _EMPTY)
+    steps = np.arange(1, 2 * bins + 1, dtype=np.uint64) * _STEP
+    i, throws = 0, 1.25 * bins * math.log(bins)
+    while i < bins:
+        rounds = min(bins - i, math.ceil(throws / len(elements)))
+        h = mix(elements + steps[i : i + rounds, None])
+        value = (np.arange(i, i + rounds, dtype=np.uint64) << _S32)[:, None] | h & _LOW
+        np.minimum.at(out, ((h >> _S32) % np.uint64(bins)).ravel(), value.ravel())
+        i, throws = i + rounds, bins
+        if (out != _EMPTY).all():
+            return out
+    low = (mix(elements + steps[bins:, None]) & _LOW).min(axis=1)  # a few elements only: round bins + k throws all into bin k
+    return np.minimum(out, np.arange(bins, 2 * bins, dtype=np.uint64) << _S32 | low)
 
 
 def features(docs: DataFrame, size: int = 2) -> DataFrame:
