@@ -8,6 +8,8 @@ from itertools import combinations_with_replacement
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .levels import level
+
 
 def unpivot_groups(wide: DataFrame, batch: str, names: dict[str, str] | None = None) -> DataFrame:
     """Rows (Batch, Experimental_Group, Image_ID) of a table with a column of image ids for each group; nulls go, ids are trimmed."""
@@ -146,7 +148,7 @@ def density_histogram(df: DataFrame, metric: str, group: str, width: float = 1.0
 
     The last bin holds its upper edge too; values outside don't count; densities of a group integrate to 1.
     """
-    top = df.agg(F.greatest(F.lit(least_top), F.ceil(F.percentile(metric, 0.99)).cast("double")).alias("_top"))
+    top = level(df, metric, 99).select(F.greatest(F.lit(least_top), F.ceil("level").cast("double")).alias("_top"))
     bins = F.ceil(F.col("_top") / width)
     within = df.dropna(subset=[metric, group]).join(F.broadcast(top)).where((F.col(metric) >= 0) & (F.col(metric) <= F.col("_top")))  # one row
     counts = within.groupBy(group, F.least(bins - 1, F.floor(F.col(metric) / width)).alias("bin")).agg(F.count("*").alias("n"))
@@ -163,15 +165,41 @@ def final_table(results: DataFrame, columns: list[str], numeric: tuple[str, ...]
     return results.select(*((F.col(c).try_cast("double") if c in numeric else F.col(c)).alias(c) for c in columns if c in results.columns))
 
 
+def _parts(name: Column, sizes: list[int]) -> Column:
+    """All substrings of a name that have one of the lengths."""
+    one = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(name) - n + 1)), lambda k: F.substring(name, k, F.lit(n)))
+    return F.array_distinct(F.filter(F.flatten(F.array(*(F.when(F.length(name) >= n, one(n)).otherwise(F.array().cast("array<string>")) for n in sizes))), lambda x: F.length(x) > 0))
+
+
+def containing(inner: DataFrame, outer: DataFrame, a: str, b: str, gram: int = 8) -> DataFrame:
+    """Rows (a, b): distinct names a of inner that names b of outer contain, without comparing all pairs.
+
+    A name meets only the names that hold its last ``gram`` letters (the whole of a shorter one): an equi-join on
+    substrings. The empty name is in every name.
+    """
+    end = F.when(F.length(a) > gram, F.substring(F.col(a), -gram, gram)).otherwise(F.col(a))
+    ends = inner.where(F.length(a) > 0).select(a, end.alias("_part"))
+    sizes = sorted(r[0] for r in ends.select(F.length("_part")).distinct().collect())  # at most ``gram`` of them
+    if not sizes:
+        met = inner.where("false").join(outer)
+    else:
+        met = ends.join(outer.select(b, F.explode(_parts(F.col(b), sizes)).alias("_part")), "_part").where(F.contains(F.col(b), F.col(a))).select(a, b)
+    first = outer.agg(F.min(b).alias(b)).where(F.col(b).isNotNull())  # of the empty name only the first container is of use
+    return met.unionByName(inner.where(F.length(a) == 0).join(F.broadcast(first)))  # one row
+
+
 def fuzzy_match(wanted: DataFrame, files: DataFrame, name: Column, file: Column, w: str = "wanted", f: str = "file") -> DataFrame:
     """Rows (w, f): each wanted name's file: the equal one, else the first by name that contains it or that it contains.
 
-    The exact part is an equi-join; only names left over are compared by containment, against distinct file names.
+    The exact part is an equi-join; names left over meet the distinct file names by shared substrings. Null names take
+    no part.
     """
-    a = wanted.select(name.alias(w)).distinct()
-    b = files.select(file.alias(f)).distinct()
+    a = wanted.select(name.alias(w)).where(F.col(w).isNotNull()).distinct()
+    b = files.select(file.alias(f)).where(F.col(f).isNotNull()).distinct()
     exact = a.join(b, F.col(w) == F.col(f))
-    rest = a.join(b, F.col(w) == F.col(f), "left_anti").join(b, F.contains(F.col(w), F.col(f)) | F.contains(F.col(f), F.col(w))).groupBy(w).agg(F.min(f).alias(f))
+    left = a.join(b, F.col(w) == F.col(f), "left_anti")
+    inside = containing(b.where(F.length(f) > 0), left, f, w).select(w, f).unionByName(left.join(F.broadcast(b.where(F.length(f) == 0))))  # one row
+    rest = containing(left, b, w, f).unionByName(inside).groupBy(w).agg(F.min(f).alias(f))
     return exact.unionByName(rest)
 
 

@@ -28,10 +28,10 @@ def _rep(s, d):
     return cohort.two_level_mean(cells(s, d), METRICS, "image", "batch", "grp")
 
 
-def _cohort_load(s, d, some="c_nationkey < 15"):
-    """Orders as cells, customers as the external assignment: groups for the first fifteen nations' images only."""
+def _cohort_load(s, d):
+    """Orders as cells, customers as the external assignment."""
     images = _t(s, d, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("Image_ID"), F.col("o_orderpriority").alias("Experimental_Group"))
-    groups = _t(s, d, "customer").where(some).select(F.col("c_custkey").cast("string").alias("Image_ID"), F.col("c_mktsegment").alias("Experimental_Group"), F.col("c_nationkey").alias("Batch"))
+    groups = _t(s, d, "customer").select(F.col("c_custkey").cast("string").alias("Image_ID"), F.col("c_mktsegment").alias("Experimental_Group"), F.col("c_nationkey").alias("Batch"))
     return cohort.attach_groups(images, groups).select("o_orderkey", "Experimental_Group", "Batch")
 
 
@@ -82,16 +82,13 @@ def _stars(s, d):
     return _t(s, d, "part").select("p_size", p).distinct().select("p_size", fx.significance(F.col("p")).alias("stars"), fx.p_text(F.col("p")).alias("text"))
 
 
-def _fuzzy(s, d, some="p_partkey % 3 = 0"):
+def _fuzzy(s, d):
     wanted = _t(s, d, "supplier").select(F.concat(F.lit("Image_"), F.col("s_suppkey").cast("string"), F.when(F.col("s_suppkey") % 2 == 0, ".TIF").otherwise("")).alias("w"))
-    files = _t(s, d, "part").where(some).select(F.concat(F.lit("image_"), F.col("p_partkey").cast("string"), F.when(F.col("p_partkey") % 2 == 0, ".tif").otherwise("_ch1.tiff")).alias("f"))
+    files = _t(s, d, "part").select(F.concat(F.lit("image_"), F.col("p_partkey").cast("string"), F.when(F.col("p_partkey") % 2 == 0, ".tif").otherwise("_ch1.tiff")).alias("f"))
     return cohort.fuzzy_match(wanted, files, fx.clean_name(F.col("w")), fx.clean_name(F.col("f")))
 
 
-FUZZY = """WITH w AS (SELECT DISTINCT 'image_' || s_suppkey AS wanted FROM supplier), f AS (SELECT DISTINCT 'image_' || p_partkey || CASE WHEN p_partkey % 2 = 0 THEN '' ELSE '_ch1' END AS file FROM part WHERE p_partkey % 3 = 0),
-x AS (SELECT wanted, file FROM w JOIN f ON wanted = file) SELECT * FROM x UNION ALL SELECT wanted, min(file) AS file FROM w JOIN f ON contains(wanted, file) OR contains(file, wanted) WHERE wanted NOT IN (SELECT wanted FROM x) GROUP BY wanted"""
-
-FUZZY_ALL = """WITH w AS (SELECT DISTINCT 'image_' || s_suppkey AS wanted FROM supplier), f AS (SELECT DISTINCT 'image_' || p_partkey || CASE WHEN p_partkey % 2 = 0 THEN '' ELSE '_ch1' END AS file FROM part),
+FUZZY = """WITH w AS (SELECT DISTINCT 'image_' || s_suppkey AS wanted FROM supplier), f AS (SELECT DISTINCT 'image_' || p_partkey || CASE WHEN p_partkey % 2 = 0 THEN '' ELSE '_ch1' END AS file FROM part),
 x AS (SELECT wanted, file FROM w JOIN f ON wanted = file) SELECT * FROM x UNION ALL SELECT wanted, min(file) AS file FROM w JOIN f ON contains(wanted, file) OR contains(file, wanted) WHERE wanted NOT IN (SELECT wanted FROM x) GROUP BY wanted"""
 
 
@@ -110,13 +107,35 @@ RESUME = """WITH c AS (SELECT l_orderkey AS image_id, l_linenumber AS step, min(
 x AS (SELECT g.image_id, min(g.step) AS gap FROM g LEFT JOIN c USING (image_id, step) WHERE coalesce(ok, 0) = 0 GROUP BY 1) SELECT i.image_id, CAST(coalesce(gap, 7) - 1 AS INTEGER) AS last_completed FROM (SELECT DISTINCT image_id FROM c) i LEFT JOIN x USING (image_id)"""
 
 
+def _shown(results):
+    """Test records with their p-values to six decimals."""
+    return results.withColumns({c: F.round(c, 6) for c in ("P_Value", "P_Value_Corrected")})
+
+
 def _tests(s, d):
-    return cohort.bonferroni(cohort.run_tests(_rep(s, d), METRICS, "grp", "3D"))
+    return _shown(cohort.bonferroni(cohort.run_tests(_rep(s, d), METRICS, "grp", "3D")))
 
 
 def _pair_tests(s, d):
     two = _rep(s, d).where("grp in ('BUILDING', 'MACHINERY')")
-    return cohort.uncorrected(cohort.run_tests(two, [*METRICS, "true_num_endpoints"], "grp", "3D"))
+    return _shown(cohort.uncorrected(cohort.run_tests(two, [*METRICS, "true_num_endpoints"], "grp", "3D")))
+
+
+def _beta_sql(x: str, a: str, b: str, steps: int = 20_000) -> str:
+    """The regularized incomplete beta function as an integral over the angle with sine sqrt(x), by Simpson's rule."""
+    return f"""(SELECT 2 * exp(lgamma({a} + {b}) - lgamma({a}) - lgamma({b})) * sum(CASE WHEN i IN (0, {steps}) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * pow(sin(asin(sqrt({x})) * i / {steps}), 2 * {a} - 1) * pow(cos(asin(sqrt({x})) * i / {steps}), 2 * {b} - 1)) * asin(sqrt({x})) / {steps} / 3 FROM range({steps} + 1) r(i))"""
+
+
+_LONG = "l AS (UNPIVOT (SELECT grp, l_quantity, l_extendedprice, l_discount FROM rep{}) ON l_quantity, l_extendedprice, l_discount INTO NAME metric VALUE v), m AS (SELECT metric, grp, count(*) AS n, avg(v) AS m, var_samp(v) AS q FROM l GROUP BY 1, 2)"
+_RECORD = "'3D' AS \"Dataset\", array_to_string(list_transform(string_split(metric, '_'), lambda w: upper(w[1:1]) || lower(w[2:])), ' ') AS \"Metric\", metric AS \"Raw_Metric\""
+TESTS = f"""WITH {REPLICATES}, {_LONG.format('')}, g AS (SELECT metric, avg(v) AS g FROM l GROUP BY 1),
+t AS (SELECT metric, count(*)::DOUBLE AS k, sum(n)::DOUBLE AS n, sum(n * (m - g) * (m - g)) AS sb, sum((n - 1) * q) AS sw, string_agg(grp, ' vs ' ORDER BY grp) AS names FROM m JOIN g USING (metric) GROUP BY 1),
+f AS (SELECT *, (sb / (k - 1)) / (sw / (n - k)) AS f, (n - k) / 2 AS a, (k - 1) / 2 AS b FROM t), p AS (SELECT *, 2 * a / (2 * a + 2 * b * f) AS x FROM f), r AS (SELECT *, {_beta_sql('x', 'a', 'b')} AS p FROM p)
+SELECT {_RECORD}, names AS "Comparison", 'One-way ANOVA' AS "Test", round(f, 3) AS "Statistic", round(p, 6) AS "P_Value", round(least(1.0::DOUBLE, p * count(*) OVER ()), 6) AS "P_Value_Corrected", p * count(*) OVER () < 0.05 AS "Significant_After_Correction" FROM r"""
+PAIR_TESTS = f"""WITH {REPLICATES}, {_LONG.format(" WHERE grp IN ('BUILDING', 'MACHINERY')")},
+t AS (SELECT a.metric, a.grp || ' vs ' || b.grp AS names, (a.m - b.m) / sqrt(a.q / a.n + b.q / b.n) AS t, pow(a.q / a.n + b.q / b.n, 2) / (pow(a.q / a.n, 2) / (a.n - 1) + pow(b.q / b.n, 2) / (b.n - 1)) AS df FROM m a JOIN m b ON a.metric = b.metric AND a.grp < b.grp),
+p AS (SELECT *, df / (df + t * t) AS x, df / 2 AS a, 0.5::DOUBLE AS b FROM t), r AS (SELECT *, {_beta_sql('x', 'a', 'b')} AS p FROM p)
+SELECT {_RECORD}, names AS "Comparison", 'Welch t-test' AS "Test", round(t, 3) AS "Statistic", round(p, 6) AS "P_Value", round(p, 6) AS "P_Value_Corrected", p < 0.05 AS "Significant_After_Correction" FROM r"""
 
 
 def _tiff(s, d):
@@ -147,10 +166,6 @@ FOLDERS = """WITH p AS (SELECT '/data/' || p_brand || '/' || p_size AS folder, p
 _REGISTERED = {
     "cohort_load_group_join": (
         _cohort_load,
-        "SELECT o_orderkey, coalesce(c_mktsegment, o_orderpriority) AS Experimental_Group, coalesce(CAST(c_nationkey AS VARCHAR), CAST(o_custkey AS VARCHAR)) AS Batch FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_nationkey < 15) ON o_custkey = c_custkey",
-    ),
-    "cohort_load_group_join_all": (
-        lambda s, d: _cohort_load(s, d, "true"),
         "SELECT o_orderkey, coalesce(c_mktsegment, o_orderpriority) AS Experimental_Group, coalesce(CAST(c_nationkey AS VARCHAR), CAST(o_custkey AS VARCHAR)) AS Batch FROM orders LEFT JOIN customer ON o_custkey = c_custkey",
     ),
     "group_unpivot": (
@@ -169,8 +184,8 @@ _REGISTERED = {
     ),
     "welch_t": (_welch, WELCH),
     "anova_f": (_anova, ANOVA),
-    "group_tests": (_tests, None),
-    "pair_tests": (_pair_tests, None),
+    "group_tests": (_tests, TESTS),
+    "pair_tests": (_pair_tests, PAIR_TESTS),
     "bonferroni": (
         _bonferroni,
         "WITH p AS (SELECT DISTINCT p_brand, p_size, CASE WHEN p_size % 7 <> 0 THEN p_size / 2000.0::DOUBLE END AS p FROM part), q AS (SELECT *, CASE WHEN p IS NOT NULL THEN least(1.0::DOUBLE, p * count(p) OVER (PARTITION BY p_brand)) END AS c FROM p) SELECT p_brand, p_size, round(p, 6) AS p, round(c, 6) AS P_Value_Corrected, coalesce(c < 0.05, false) AS Significant_After_Correction FROM q",
@@ -206,7 +221,6 @@ _REGISTERED = {
         "WITH q AS (SELECT DISTINCT p_size, p_size / 600.0::DOUBLE AS p FROM part) SELECT p_size, CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE 'n.s.' END AS stars, CASE WHEN p < 0.001 THEN 'p<0.001' ELSE printf('p=%.3f', p) END AS text FROM q",
     ),
     "fuzzy_file_match": (_fuzzy, FUZZY),
-    "fuzzy_file_match_all": (lambda s, d: _fuzzy(s, d, "true"), FUZZY_ALL),
     "fcs_clean": (_fcs, "SELECT l_returnflag, round(sum(CASE WHEN l_linenumber IN (1, 2, 3) THEN 0 ELSE l_quantity END), 6) AS total, count(*) AS n FROM lineitem GROUP BY 1"),
     "resume_point": (_resume, RESUME),
     "tiff_physical_scale": (

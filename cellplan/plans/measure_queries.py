@@ -43,29 +43,24 @@ p AS (SELECT label, sum(CASE WHEN code IN (1, 2, 4, 8, 7, 11, 13, 14) THEN 0.5 *
 a AS (SELECT label, count(*)::DOUBLE AS a FROM blk GROUP BY 1) SELECT label, round(a, 6) AS area_um2, round(p, 6) AS perimeter_um, round(least(1.0, 4 * pi() * a / (p * p)), 6) AS circularity FROM a JOIN p USING (label)"""
 
 
-def _big(s, d):
-    return raster.size_filter(lab(s, d), 5)
-
-
-BIG = f"{LAB}, big AS (SELECT * FROM lab QUALIFY count(*) OVER (PARTITION BY label) >= 5), {SURFACE.format(t='big')}"
 PAIRS = "pr AS (SELECT a.label AS a, b.label AS b, a.y AS ay, a.x AS ax, b.y AS yb, b.x AS xb, CAST(sqrt(((a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x))::DOUBLE) AS FLOAT) AS d FROM srf a JOIN srf b ON a.label <> b.label)"
 
 
-#: All labelled objects, the smallest too.
+#: Surface pixels of all labelled objects.
 ALL = f"{LAB}, {SURFACE.format(t='lab')}"
 
 
-def _nearest(s, d, objects=_big):
-    return measure.nearest_objects(objects(s, d), dims=2).select("label", "closest_neighbor_label", F.round(F.col("shortest_distance_um").cast("double"), 4).alias("shortest_distance_um"))
+def _nearest(s, d):
+    return measure.nearest_objects(lab(s, d), dims=2).select("label", "closest_neighbor_label", F.round(F.col("shortest_distance_um").cast("double"), 4).alias("shortest_distance_um"))
 
 
-def _contacts(s, d, objects=_big):
-    t = measure.contact_points(measure.nearest_objects(objects(s, d), dims=2))
+def _contacts(s, d):
+    t = measure.contact_points(measure.nearest_objects(lab(s, d), dims=2))
     return t.select("mask1", "mask2", "mask1_y", "mask1_x", "mask2_y", "mask2_x")
 
 
-def _matrix(s, d, objects=_big, reach=12.0):
-    t = measure.distance_matrix(objects(s, d), dims=2, reach=reach)
+def _matrix(s, d):
+    t = measure.distance_matrix(lab(s, d), dims=2)
     return t.select("label_a", "label_b", F.round(F.col("distance_um").cast("double"), 4).alias("distance_um"))
 
 
@@ -230,6 +225,18 @@ def _merge_left(s, d):
 MERGE_LEFT = f"""WITH {PX}, {FG}, {BLOCKS} SELECT label, mean_intensity, integrated_density, max_intensity, std_intensity FROM (SELECT label, round(avg(v), 6) AS mean_intensity, round(sum(v), 6) AS integrated_density FROM blk GROUP BY 1) LEFT JOIN (SELECT label, round(max(v), 6) AS max_intensity, round(stddev_pop(v), 6) AS std_intensity FROM blk WHERE v > 3 GROUP BY 1) USING (label)"""
 
 
+#: The hull's area from its edges: pairs of pixel corners with all others on one side, or between them.
+HULLS = f"""WITH {PX}, {FG}, {BLOCKS}, pts AS (SELECT DISTINCT label, y + dy AS y, x + dx AS x FROM blk, (VALUES (-0.5::DOUBLE, -0.5::DOUBLE), (-0.5, 0.5), (0.5, -0.5), (0.5, 0.5)) k(dy, dx)),
+edge AS (SELECT p.label, p.y AS py, p.x AS px_, q.y AS qy, q.x AS qx FROM pts p JOIN pts q USING (label) JOIN pts r USING (label) WHERE p.y <> q.y OR p.x <> q.x GROUP BY ALL
+HAVING bool_and((q.x - p.x) * (r.y - p.y) - (q.y - p.y) * (r.x - p.x) > 0 OR ((q.x - p.x) * (r.y - p.y) - (q.y - p.y) * (r.x - p.x) = 0 AND (q.x - p.x) * (r.x - p.x) + (q.y - p.y) * (r.y - p.y) BETWEEN 0 AND (q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y)))),
+hull AS (SELECT label, abs(sum(px_ * qy - qx * py)) / 2 AS area FROM edge GROUP BY label),
+c AS (SELECT label, y + dy AS cy, x + dx AS cx, sum(w) AS code FROM blk, (VALUES (0, 0, 1), (0, -1, 2), (-1, 0, 4), (-1, -1, 8)) k(dy, dx, w) GROUP BY 1, 2, 3),
+p AS (SELECT label, sum(CASE WHEN code IN (1, 2, 4, 8, 7, 11, 13, 14) THEN sqrt(2.0::DOUBLE) / 2 WHEN code IN (6, 9) THEN sqrt(2.0::DOUBLE) WHEN code IN (3, 12, 5, 10) THEN 1.0::DOUBLE ELSE 0 END) AS p FROM c GROUP BY 1), a AS (SELECT label, count(*) AS n FROM blk GROUP BY 1)
+SELECT label, n AS pixel_count, round(least(1.0::DOUBLE, n / area), 6) AS solidity, round(least(1.0::DOUBLE, 4 * pi() * n / (p * p)), 6) AS circularity FROM a JOIN hull USING (label) JOIN p USING (label)"""
+GIVEN_SKELETON = f"""WITH {PX}, {FG}, {BLOCKS}, {N8}, g AS (SELECT a.label, a.y, a.x, count(*) - 1 AS n FROM blk a, n8 JOIN blk b ON b.label = a.label AND b.y = a.y + dy AND b.x = a.x + dx GROUP BY 1, 2, 3),
+c AS (SELECT label, count(*) FILTER (n = 1) AS e, count(*) FILTER (n >= 3) AS j, count(*) AS v FROM g GROUP BY 1) SELECT label, e AS true_num_endpoints, j AS true_num_junctions, v AS skan_num_skeleton_voxels, greatest(0, e - 1 + j) AS true_num_branches FROM c"""
+
+
 def _watershed(s, d):
     cells = blocks(s, d).withColumn("seed", F.when(F.col("event_type") == "purchase", F.col("id") + 1))
     return kernels.split_cells(cells, "v", 0.5).groupBy("label", "segment").agg(F.count("*").alias("n"))
@@ -262,25 +269,16 @@ _REGISTERED = {
         lambda s, d: measure.eccentricity(blocks(s, d)).select("label", F.round("eccentricity", 5).alias("eccentricity")),
         f"WITH {PX}, {FG}, {BLOCKS}, m AS (SELECT label, var_pop(y) + 1.0::DOUBLE / 12 AS a, var_pop(x) + 1.0::DOUBLE / 12 AS b, covar_pop(y, x) AS c FROM blk GROUP BY label), r AS (SELECT label, (a + b) / 2 AS h, sqrt(pow((a - b) / 2, 2) + c * c) AS q FROM m) SELECT label, round(sqrt(greatest(0.0::DOUBLE, 1 - (h - q) / (h + q))), 5) AS eccentricity FROM r",
     ),
-    "solidity_hull": (lambda s, d: measure.shape_2d(blocks(s, d)).select("label", "pixel_count", *r6("solidity", "circularity")), None),
+    "solidity_hull": (lambda s, d: measure.shape_2d(blocks(s, d)).select("label", "pixel_count", *r6("solidity", "circularity")), HULLS),
     "nearest_neighbor": (
         _nearest,
-        f"WITH RECURSIVE {BIG}, {PAIRS} SELECT a AS label, b AS closest_neighbor_label, round(d::DOUBLE, 4) AS shortest_distance_um FROM pr QUALIFY row_number() OVER (PARTITION BY a ORDER BY d, b) = 1",
+        f"WITH RECURSIVE {ALL}, {PAIRS} SELECT a AS label, b AS closest_neighbor_label, round(d::DOUBLE, 4) AS shortest_distance_um FROM pr QUALIFY row_number() OVER (PARTITION BY a ORDER BY d, b) = 1",
     ),
     "contact_points": (
         _contacts,
-        f"WITH RECURSIVE {BIG}, {PAIRS} SELECT a AS mask1, b AS mask2, ay::DOUBLE AS mask1_y, ax::DOUBLE AS mask1_x, yb::DOUBLE AS mask2_y, xb::DOUBLE AS mask2_x FROM pr QUALIFY row_number() OVER (PARTITION BY a ORDER BY d, b, ay, ax, yb, xb) = 1",
-    ),
-    "pairwise_distance_matrix": (_matrix, f"WITH RECURSIVE {BIG}, {PAIRS} SELECT a AS label_a, b AS label_b, round(min(d)::DOUBLE, 4) AS distance_um FROM pr WHERE a < b GROUP BY 1, 2 HAVING min(d) <= 12"),
-    "nearest_neighbor_all": (
-        lambda s, d: _nearest(s, d, lab),
-        f"WITH RECURSIVE {ALL}, {PAIRS} SELECT a AS label, b AS closest_neighbor_label, round(d::DOUBLE, 4) AS shortest_distance_um FROM pr QUALIFY row_number() OVER (PARTITION BY a ORDER BY d, b) = 1",
-    ),
-    "contact_points_all": (
-        lambda s, d: _contacts(s, d, lab),
         f"WITH RECURSIVE {ALL}, {PAIRS} SELECT a AS mask1, b AS mask2, ay::DOUBLE AS mask1_y, ax::DOUBLE AS mask1_x, yb::DOUBLE AS mask2_y, xb::DOUBLE AS mask2_x FROM pr QUALIFY row_number() OVER (PARTITION BY a ORDER BY d, b, ay, ax, yb, xb) = 1",
     ),
-    "pairwise_distance_matrix_all": (lambda s, d: _matrix(s, d, lab, None), f"WITH RECURSIVE {ALL}, {PAIRS} SELECT a AS label_a, b AS label_b, round(min(d)::DOUBLE, 4) AS distance_um FROM pr WHERE a < b GROUP BY 1, 2"),
+    "pairwise_distance_matrix": (_matrix, f"WITH RECURSIVE {ALL}, {PAIRS} SELECT a AS label_a, b AS label_b, round(min(d)::DOUBLE, 4) AS distance_um FROM pr WHERE a < b GROUP BY 1, 2"),
     "centroid_nearest_label": (
         _embedding_nn,
         "WITH e AS (SELECT label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS k FROM embeddings), m AS (SELECT label, k, avg(v) AS v FROM e GROUP BY 1, 2), p AS (SELECT a.label, b.label AS other, round(sqrt(sum((a.v - b.v) * (a.v - b.v))), 6) AS distance FROM m a JOIN m b USING (k) WHERE a.label <> b.label GROUP BY 1, 2) SELECT label, distance, other AS nearest FROM p QUALIFY row_number() OVER (PARTITION BY label ORDER BY distance, other) = 1",
@@ -303,6 +301,7 @@ _REGISTERED = {
         lambda s, d: measure.skeleton_degrees(blocks(s, d)).select("label", "y", "x", "degree"),
         f"WITH {PX}, {FG}, {BLOCKS}, {N8} SELECT a.label, a.y, a.x, count(*) - 1 AS degree FROM blk a, n8 JOIN blk b ON b.label = a.label AND b.y = a.y + dy AND b.x = a.x + dx GROUP BY 1, 2, 3",
     ),
+    "skeleton_counts_given": (lambda s, d: measure.skeleton_counts(blocks(s, d)), GIVEN_SKELETON),
     "skeleton_stats": (_skeletons, None),
     "marker_watershed": (_watershed, None),
     "seed_placement": (_regular_seeds, None),
