@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .graph import staged
 from .measure import _near_pairs, _points, distance
-from .raster import AXES, ball, box, components, shifted
+from .raster import AXES, ball, box, components, cross, hole_voxels, shifted
 
 Spacing = tuple[float, float, float]
 
@@ -75,7 +75,7 @@ def distance_to_reference(primary: DataFrame, reference: DataFrame, name: str, s
     touching = overlay(primary, reference, by).groupBy(*key).agg(F.min(F.struct(*AXES, "ref_label")).alias("t")).select(*by, F.col("label").alias("alabel"), F.lit(0.0).cast("float").alias("d"), F.col("t.ref_label").alias("id"))
     found, todo = touching, own.join(touching.select(*by, "alabel"), [*by, "alabel"], "left_anti")
     while not todo.isEmpty():
-        met = staged(_near_pairs(todo, ref, by, spacing, reach).groupBy(*by, "alabel").agg(best.alias("m")).where(F.col("m.d") <= reach).select(*by, "alabel", F.col("m.d").alias("d"), F.col("m.blabel").alias("id")))
+        met = staged(_near_pairs(todo, ref, by, spacing, reach, dims).groupBy(*by, "alabel").agg(best.alias("m")).where(F.col("m.d") <= reach).select(*by, "alabel", F.col("m.d").alias("d"), F.col("m.blabel").alias("id")))
         found = found.unionByName(met)
         if reach > limit:
             break
@@ -176,3 +176,37 @@ def orphan_targets(fragments: DataFrame, segments: DataFrame, by: tuple[str, ...
     met = rim.join(segments.select(*by, *AXES, F.col("label").alias("target")), [*by, *AXES]).groupBy(*by, "fragment", "target").agg(F.count("*").alias("n"))
     w = Window.partitionBy(*by, "fragment").orderBy(F.desc("n"), "target")
     return met.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(*by, "fragment", "target")
+
+
+def settle_orphans(segments: DataFrame, least: int = 0, by: tuple[str, ...] = ("cell",), dims: int = 2) -> DataFrame:
+    """segments (by, id, z, y, x, label, seed) with labels so changed that every part of a label holds a seed.
+
+    Parts are rank-1 connected. One without a seed, of a label that has several parts, goes to the other label of its
+    cell that its box dilation meets most; with none it stays, or is deleted if it has fewer than ``least`` voxels. A
+    label in one part stays as it is. All are decided at once. seed is null where no seed lies, id is unique.
+    """
+    named = segments.withColumnRenamed("label", "_segment")
+    parts = staged(components(named, "id", dims=dims, by=(*by, "_segment")).withColumnRenamed("label", "fragment"))
+    sizes = parts.groupBy(*by, "_segment", "fragment").agg(F.count("*").alias("_n"), F.max(F.col("seed").isNotNull()).alias("_seeded"))
+    several = sizes.groupBy(*by, "_segment").agg(F.count("*").alias("_parts")).where("_parts > 1").drop("_parts")
+    orphans = staged(sizes.join(several, [*by, "_segment"]).where("not _seeded").select(*by, "_segment", "fragment", "_n"))
+    moves = [o for o in box(1, dims) if any(o)]
+    rim = shifted(parts.join(orphans, [*by, "_segment", "fragment"]).select(*by, "_segment", "fragment", *AXES), moves).drop("_o").distinct()
+    met = rim.join(parts.select(*by, *AXES, F.col("_segment").alias("target")), [*by, *AXES]).where("target != _segment").groupBy(*by, "_segment", "fragment", "target").agg(F.count("*").alias("n"))
+    w = Window.partitionBy(*by, "_segment", "fragment").orderBy(F.desc("n"), "target")
+    best = met.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(*by, "_segment", "fragment", "target")
+    fate = orphans.join(best, [*by, "_segment", "fragment"], "left")
+    out = parts.join(fate, [*by, "_segment", "fragment"], "left").where(F.col("target").isNotNull() | F.col("_n").isNull() | (F.col("_n") >= least))
+    return out.withColumn("label", F.coalesce("target", "_segment")).select(*segments.columns)
+
+
+def fill_voids(labels: DataFrame, domain: DataFrame, dims: int = 3) -> DataFrame:
+    """labels (z, y, x, label) and the voids that one object alone encloses: background parts that don't reach the border.
+
+    domain: (id, z, y, x) covers the whole raster. A void that borders several objects stays empty.
+    """
+    voids = staged(hole_voxels(labels, domain, dims=dims))
+    parts = staged(components(voids, dims=dims).withColumnRenamed("label", "_void"))
+    rim = shifted(parts.select("_void", *AXES), [o for o in cross(1, dims) if any(o)]).drop("_o")
+    owner = rim.join(labels, list(AXES)).groupBy("_void").agg(F.min("label").alias("label"), F.max("label").alias("_other")).where("label = _other").drop("_other")
+    return labels.select(*AXES, "label").unionByName(parts.join(owner, "_void").select(*AXES, "label"))

@@ -7,29 +7,80 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import staged
+
+#: Tables that the optimiser bounds by so many bytes have their percentiles from one task.
+MOST_BYTES = 256 << 20
+
 
 def percentile(value: str | Column, p: float) -> Column:
     """The exact percentile (p in 0..100) with linear interpolation."""
     return F.percentile(value, p / 100)
 
 
+def level(df: DataFrame, value: str, p: float, to: str = "level", most: int = MOST_BYTES) -> DataFrame:
+    """One row: the exact percentile p of all rows, null without any.
+
+    percentile() holds all distinct values in one task; so it is used only where the optimiser bounds df by ``most``
+    bytes. Beyond that narrowed() finds the same number.
+    """
+    one = df.select(F.col(value).cast("double").alias("v"))
+    size = int(str(one._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size <= most:
+        return one.agg(percentile("v", p).alias(to))
+    return df.sparkSession.createDataFrame([(narrowed(one, p),)], f"{to} double")
+
+
+def narrowed(values: DataFrame, p: float, bins: int = 1024, few: int = 100_000) -> float | None:
+    """percentile() of the one column v by histograms, each over one bin of the last, until a bin's rows are few.
+
+    NaN counts as greater than all numbers, infinities by their sign. No task holds more than ``bins`` rows until then.
+    """
+    values = staged(values.where("v is not null"))
+    n = values.count()
+    if not n:
+        return None
+    rank = p / 100 * (n - 1)
+
+    def at(i: int) -> float:
+        part, before = values, 0
+        while True:
+            finite = part.where((F.abs("v") != math.inf) & ~F.isnan("v"))
+            low, high = finite.agg(F.min("v"), F.max("v")).first()
+            width = None if low is None or high == low else (high / bins - low / bins) or None
+            place = F.least(F.lit(bins - 1.0), F.floor((F.col("v") - (low or 0.0)) / F.lit(width or 1.0))) if width else F.lit(0.0)
+            bin_ = F.when(F.isnan("v"), bins + 1.0).when(F.col("v") == math.inf, float(bins)).when(F.col("v") == -math.inf, -1.0).otherwise(place)
+            for _, m, a, b in sorted(part.groupBy(bin_.alias("bin")).agg(F.count("*"), F.min("v"), F.max("v")).collect()):
+                if i < before + m:
+                    break
+                before += m
+            if a == b or math.isnan(a):
+                return a
+            part = part.where((F.col("v") >= a) & (F.col("v") <= b))
+            if m <= few:
+                return sorted(r.v for r in part.collect())[i - before]
+
+    below = at(math.floor(rank))
+    return below if rank == math.floor(rank) else below + (rank - math.floor(rank)) * (at(math.floor(rank) + 1) - below)
+
+
 def foreground_threshold(df: DataFrame, value: str, low: float, least_samples: int = 1000, floor: float = 1e-5) -> DataFrame:
     """One row (threshold, samples): the percentile of positive values; without enough of them so high that nothing passes."""
     positive = df.where(F.col(value) > 0)
-    t = F.when(F.count("*") > least_samples, F.greatest(percentile(value, low), F.lit(floor))).otherwise(F.lit(1e9))
-    return positive.agg(t.alias("threshold"), F.count("*").alias("samples"))
+    found = positive.agg(F.count("*").alias("samples")).join(F.broadcast(level(positive, value, low)))  # one row each
+    return found.select(F.when(F.col("samples") > least_samples, F.greatest("level", F.lit(floor))).otherwise(F.lit(1e9)).alias("threshold"), "samples")
 
 
 def above(df: DataFrame, value: str, p: float) -> DataFrame:
     """Rows whose value exceeds the percentile p of all rows."""
-    return df.join(F.broadcast(df.agg(percentile(value, p).alias("_t")))).where(F.col(value) > F.col("_t")).drop("_t")  # one row
+    return df.join(F.broadcast(level(df, value, p, "_t"))).where(F.col(value) > F.col("_t")).drop("_t")  # one row
 
 
 def global_normalize(df: DataFrame, value: str, p: float, stride: int = 8, to: str = "normalized") -> DataFrame:
     """value over the percentile of a strided sample's positives, which is 1e-9 at least."""
     sample = df.where((F.col("y") % stride == 0) & (F.col("x") % stride == 0) & (F.col(value) > 0))
-    level = sample.agg(F.greatest(percentile(value, p), F.lit(1e-9)).alias("_level"))
-    return df.join(F.broadcast(level)).withColumn(to, F.col(value) / F.col("_level")).drop("_level")  # one row
+    scale = level(sample, value, p).select(F.greatest("level", F.lit(1e-9)).alias("_level"))
+    return df.join(F.broadcast(scale)).withColumn(to, F.col(value) / F.col("_level")).drop("_level")  # one row
 
 
 def z_profile(df: DataFrame, value: str, p: float) -> DataFrame:

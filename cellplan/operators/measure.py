@@ -111,6 +111,15 @@ def boxes(labels: DataFrame, by: tuple[str, ...] = LABEL) -> DataFrame:
     return labels.groupBy(*by).agg(*(f(a).alias(f"{a}_{n}") for a in AXES for n, f in (("min", F.min), ("max", F.max))), *(F.avg(a).alias(f"{a}_mean") for a in AXES))
 
 
+def summary(labels: DataFrame, value: str = "intensity", spacing: Spacing = (1.0, 1.0, 1.0), by: tuple[str, ...] = LABEL, dims: int = 3, least: int = 1) -> DataFrame:
+    """size(), intensity() and boxes() of the objects with ``least`` voxels or more, by one aggregation."""
+    unit, v = math.prod(spacing[3 - dims :]), F.col(value)
+    count, extent = ("voxel_count", "volume_um3") if dims == 3 else ("pixel_count", "area_um2")
+    spread = [f(a).alias(f"{a}_{n}") for a in AXES for n, f in (("min", F.min), ("max", F.max), ("mean", F.avg))]
+    all_ = labels.groupBy(*by).agg(F.count("*").alias(count), (F.count("*") * F.lit(unit)).alias(extent), F.avg(v).alias("mean_intensity"), F.median(v).alias("median_intensity"), F.stddev_pop(v).alias("std_intensity"), F.sum(v).alias("integrated_density"), F.max(v).alias("max_intensity"), *spread)
+    return all_.where(F.col(count) >= least)
+
+
 def distance(a: str, b: str, spacing: Spacing) -> Column:
     """Between two points' columns (prefixes a and b), rounded to 32 bits as distances are compared."""
     return F.sqrt(sum(((F.col(f"{a}{c}") - F.col(f"{b}{c}")) * F.lit(s)) * ((F.col(f"{a}{c}") - F.col(f"{b}{c}")) * F.lit(s)) for c, s in zip(AXES, spacing, strict=True))).cast("float")
@@ -130,18 +139,23 @@ def distance_matrix(labels: DataFrame, spacing: Spacing = (1.0, 1.0, 1.0), by: t
     if reach is None:
         pairs = pa.join(pb, list(by)).where("alabel < blabel") if by else pa.join(pb, F.col("alabel") < F.col("blabel"))
     else:
-        pairs = _near_pairs(pa, pb, by, spacing, reach).where("alabel < blabel")
+        pairs = _near_pairs(pa, pb, by, spacing, reach, dims).where("alabel < blabel")
     d = distance("a", "b", spacing)
     out = pairs.groupBy(*by, F.col("alabel").alias("label_a"), F.col("blabel").alias("label_b")).agg(F.min(d).alias("distance_um"))
     return out.where(F.col("distance_um") <= reach) if reach is not None else out
 
 
-def _near_pairs(pa: DataFrame, pb: DataFrame, by: tuple[str, ...], spacing: Spacing, reach: float) -> DataFrame:
-    cells = lambda p: [F.floor(F.col(f"{p}{a}") * F.lit(s) / reach).alias(f"_{a}") for a, s in zip(AXES, spacing, strict=True)]
-    right = pb.select("*", *cells("b"))
-    for a in AXES:
-        right = right.withColumn(f"_{a}", F.explode(F.array(*(F.col(f"_{a}") + d for d in (-1, 0, 1)))))
-    return pa.select("*", *cells("a")).join(right, [*by, "_z", "_y", "_x"])
+def _near_pairs(pa: DataFrame, pb: DataFrame, by: tuple[str, ...], spacing: Spacing, reach: float, dims: int = 3) -> DataFrame:
+    """Points of pa with all points of pb up to ``reach`` away, and some beyond: cells of that size meet their neighbours.
+
+    The points of pa are repeated for the neighbouring cells, so pa should be the smaller table.
+    """
+    axes = list(zip(AXES, spacing, strict=True))[3 - dims :]
+    cells = lambda p: [F.floor(F.col(f"{p}{a}") * F.lit(s) / reach).alias(f"_{a}") for a, s in axes]
+    left = pa.select("*", *cells("a"))
+    for a, _ in axes:
+        left = left.withColumn(f"_{a}", F.explode(F.array(*(F.col(f"_{a}") + d for d in (-1, 0, 1)))))
+    return left.join(pb.select("*", *cells("b")), [*by, *(f"_{a}" for a, _ in axes)])
 
 
 def nearest_objects(labels: DataFrame, spacing: Spacing = (1.0, 1.0, 1.0), by: tuple[str, ...] = (), dims: int = 3, label: str = "label", reach: float = 4.0) -> DataFrame:
@@ -159,7 +173,7 @@ def nearest_objects(labels: DataFrame, spacing: Spacing = (1.0, 1.0, 1.0), by: t
     best = F.min(F.struct(distance("a", "b", spacing).alias("d"), F.col("blabel").alias("label"), *(F.col(f"a{a}").alias(f"a{a}") for a in AXES), *(F.col(f"b{a}").alias(f"b{a}") for a in AXES)))
     found = None
     while True:
-        met = staged(_near_pairs(todo, pb, by, spacing, reach).where("alabel != blabel").groupBy(*by, "alabel").agg(best.alias("m")).where(F.col("m.d") <= reach))
+        met = staged(_near_pairs(todo, pb, by, spacing, reach, dims).where("alabel != blabel").groupBy(*by, "alabel").agg(best.alias("m")).where(F.col("m.d") <= reach))
         found = met if found is None else found.unionByName(met)
         if reach > limit:
             break

@@ -159,6 +159,16 @@ def components(mask: DataFrame, id_col: str = "id", full: bool = False, dims: in
     return mask.join(label, mask[id_col].cast("long") == label["_id"]).drop("_id")
 
 
+def numbered(voxels: DataFrame, to: str = "id") -> DataFrame:
+    """voxels with a unique number by position, ascending in z, y, x; coordinates from 0 on. A raster too large for it fails."""
+    top = voxels.agg(*(F.max(a).alias(a) for a in AXES)).first()  # one row
+    nz, ny, nx = ((top[a] or 0) + 1 for a in AXES)
+    if nz * ny * nx >= 1 << 63:
+        raise ValueError(f"a raster of {nz} x {ny} x {nx} has no 64-bit numbers")
+    z, y, x = (F.col(a).cast("long") for a in AXES)
+    return voxels.withColumn(to, (z * ny + y) * nx + x)
+
+
 def size_filter(labels: DataFrame, least: int, label: str = "label", by: tuple[str, ...] = ()) -> DataFrame:
     """Drops objects of fewer than ``least`` voxels: globally, not chunk by chunk."""
     big = labels.groupBy(*by, label).agg(F.count("*").alias("_n")).where(F.col("_n") >= least).drop("_n")
@@ -181,6 +191,7 @@ def relabel(labels: DataFrame, label: str = "label", to: str = "new_label", by:
     if by:
         return names.withColumn(to, F.row_number().over(Window.partitionBy(*by).orderBy(label)).cast("long"))
     sorted_ = names.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), label).sortWithinPartitions(label).withColumn("_p", F.spark_partition_id())
+    sorted_ = staged(sorted_)  # read twice: sampled again, the ranges could differ
     counted = sorted_.groupBy("_p").agg(F.count("*").alias("_n"))
     base = counted.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
     ranked = sorted_.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(label)))
@@ -235,27 +246,30 @@ def _pass(pdf: pd.DataFrame, axis: str, step: float) -> pd.DataFrame:
         near = np.array(hull)[np.maximum(k, 0)]
         out[a:b] = (at[a:b] - at[near]) ** 2 + d2[near]
         source[a:b] = near
-    return pdf.assign(d2=out)
+    return pdf.assign(d2=out, near=pdf["near"].to_numpy()[source])
 
 
 def _along(axis: str, step: float):
-    return lambda pdf: _pass(pdf, axis, step)[[*AXES, "d2"]]
+    return lambda pdf: _pass(pdf, axis, step)[[*AXES, "d2", "near"]]
 
 
-def distance_transform(domain: DataFrame, features: DataFrame, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0), dims: int = 2, lines: int = 64) -> DataFrame:
+def distance_transform(domain: DataFrame, features: DataFrame, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0), dims: int = 2, lines: int = 64, nearest: str | None = None) -> DataFrame:
     """domain's coordinates with ``distance``: exact, to the nearest feature voxel; null if there is none.
 
+    ``nearest`` names an integer column of features that is carried along: whose feature it is (of equally near ones any).
     Separable: one grouped map for each axis, each group some whole lines along it, so no halo is needed.
     """
-    marked = domain.select(*AXES).join(features.select(*AXES).distinct().withColumn("_f", F.lit(True)), list(AXES), "left")
-    rows = marked.select(*(F.col(a).cast("long").alias(a) for a in AXES), F.when(F.col("_f"), 0.0).otherwise(math.inf).alias("d2"))
+    named = features.select(*AXES, (F.col(nearest) if nearest else F.lit(0)).cast("long").alias("near")).groupBy(*AXES).agg(F.min("near").alias("near"), F.lit(True).alias("_f"))
+    marked = domain.select(*AXES).join(named, list(AXES), "left")
+    rows = marked.select(*(F.col(a).cast("long").alias(a) for a in AXES), F.when(F.col("_f"), 0.0).otherwise(math.inf).alias("d2"), F.coalesce("near", F.lit(0)).alias("near"))
     for axis, step in reversed(list(zip(AXES, spacing, strict=True))):
         if axis == "z" and dims == 2:
             continue
         rest = [a for a in AXES if a != axis]
         block = [F.floor(F.col(a) / (lines if a == rest[-1] else 1)).alias(f"_{a}") for a in rest]
-        rows = rows.groupBy(*block).applyInPandas(_along(axis, step), "z long, y long, x long, d2 double")
-    return rows.select(*AXES, F.when(F.col("d2") < math.inf, F.sqrt("d2")).alias("distance"))
+        rows = rows.groupBy(*block).applyInPandas(_along(axis, step), "z long, y long, x long, d2 double, near long")
+    known = F.col("d2") < math.inf
+    return rows.select(*AXES, F.when(known, F.sqrt("d2")).alias("distance"), *([F.when(known, F.col("near")).alias(nearest)] if nearest else []))
 
 
 def within(voxels: DataFrame, features: DataFrame, radius: float, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0), dims: int = 2) -> DataFrame:

@@ -19,16 +19,15 @@ def hull(intensity: DataFrame, cells: DataFrame, value: str = "intensity", closi
     bright = intensity.join(F.broadcast(level)).where(F.col(value) > F.col("threshold"))  # one row
     coarse = raster.downsample(raster.mask_or(bright, cells), factor, dims)
     domain = raster.downsample(intensity.select(*AXES), factor, dims)
-    key = lambda m: m.withColumn("id", (F.col("z") * (1 << 40) + F.col("y") * (1 << 20) + F.col("x")).cast("long"))
-    per_slice = raster.components(key(coarse))
+    per_slice = raster.components(raster.numbered(coarse))
     kept = raster.size_filter(per_slice, least, by=("z",)).select(*AXES)
     closed = raster.close_gaps(raster.dilate(kept, raster.ball(3)), raster.ball(closing_radius)).join(domain, list(AXES), "left_semi")
 
     def largest(mask):
-        return raster.largest_component(raster.components(key(mask), dims=dims)).select(*AXES)
+        return raster.largest_component(raster.components(raster.numbered(mask), dims=dims)).select(*AXES)
 
     def filled(mask):
-        return raster.mask_or(mask, raster.hole_voxels(mask, key(domain)))
+        return raster.mask_or(mask, raster.hole_voxels(mask, raster.numbered(domain)))
 
     out = filled(largest(closed)) if dims == 2 else largest(filled(closed))
     return raster.upsample(out, factor).join(intensity.select(*AXES), list(AXES), "left_semi")

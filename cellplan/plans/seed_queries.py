@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import kernels, levels, raster, seeds, trim
 from ..operators.raster import AXES
-from .views import BLOCKS, FG, N4, PX, blocks, fg, lab, labels_sql, px, r6
+from .views import BLOCKS, FG, N4, PX, ball_sql, blocks, fg, lab, labels_sql, otsu_sql, px, r6
 
 DISTANCES = f"{PX}, {FG}, {BLOCKS}, bgd AS (SELECT y AS by_, x AS bx_ FROM px WHERE id NOT IN (SELECT id FROM fg)), dt AS (SELECT id, label, sqrt(min((y - by_) * (y - by_) + (x - bx_) * (x - bx_))::DOUBLE) AS d FROM blk, bgd GROUP BY 1, 2)"
 
@@ -45,6 +45,32 @@ def _hull(s, d):
     return trim.hull(px(s, d), fg(s, d), "v", 2, 2, 4)
 
 
+def _grown(source: str, offsets: str) -> str:
+    return f"SELECT DISTINCT y + dy AS y, x + dx AS x FROM {source}, {offsets}"
+
+
+def hull_sql(cells: str, factor: int, least: int) -> str:
+    """CTEs of the tissue's mask (hull) as trim.hull() finds it in 2D with a closing radius of 2, for the mask ``cells``."""
+    coarse = f"SELECT DISTINCT y // {factor} AS y, x // {factor} AS x, (y // {factor}) * 1000 + x // {factor} AS id FROM {{}} WHERE y % {factor} = 0 AND x % {factor} = 0"
+    return f"""q AS (SELECT ln(1 + v) AS u FROM px WHERE v > 0), {otsu_sql('q')}, {ball_sql('b2', 2)}, {ball_sql('b3', 3)},
+bright AS (SELECT y, x FROM px, t WHERE v > exp(threshold * 0.8::DOUBLE) - 1 UNION SELECT y, x FROM {cells}), crs AS ({coarse.format('bright')}), dom AS ({coarse.format('px')}), {labels_sql('crs', 'n4', 'lc')},
+kept AS (SELECT y, x FROM lc QUALIFY count(*) OVER (PARTITION BY label) >= {least}), g3 AS ({_grown('kept', 'b3')}), g2 AS ({_grown('g3', 'b2')}),
+cls AS (SELECT d.* FROM dom d JOIN (SELECT y + dy AS y, x + dx AS x FROM g2, b2 GROUP BY 1, 2 HAVING count(*) = (SELECT count(*) FROM b2)) USING (y, x)), {labels_sql('cls', 'n4', 'lb')},
+part AS (SELECT id, y, x FROM lb WHERE label = (SELECT label FROM lb GROUP BY label ORDER BY count(*) DESC, label LIMIT 1)), emp AS (SELECT * FROM dom ANTI JOIN part USING (id)), {labels_sql('emp', 'n4', 'le')},
+rim AS (SELECT DISTINCT label FROM le, (SELECT min(y) a, max(y) b, min(x) c, max(x) d FROM dom) WHERE y IN (a, b) OR x IN (c, d)),
+whole AS (SELECT y, x FROM part UNION SELECT y, x FROM le ANTI JOIN rim USING (label)),
+hull AS (SELECT p.y, p.x FROM px p JOIN (SELECT y * {factor} + i AS y, x * {factor} + j AS x FROM whole, range({factor}) r(i), range({factor}) s(j)) USING (y, x))"""
+
+
+HULL = f"WITH RECURSIVE {PX}, {FG}, {N4}, {hull_sql('fg', 2, 4)} SELECT y, x FROM hull"
+BOUNDARY = f"WITH RECURSIVE {PX}, {FG}, {N4}, {hull_sql('fg', 2, 4)} SELECT y, x FROM hull WHERE (y, x) NOT IN (SELECT (y + dy, x + dx) FROM hull, n4 GROUP BY y + dy, x + dx HAVING count(*) = 5)"
+#: The threshold of 3 is above 2, so the brightness cutoff is 1.5 times itself; the core grows 6 steps, edges reach 1.5 pixels.
+TRIM = f"""WITH RECURSIVE {PX}, {FG}, {N4}, near(dy, dx) AS (SELECT a.d, b.d FROM range(-1, 2) a(d), range(-1, 2) b(d)), core(dy, dx) AS (SELECT a.d, b.d FROM range(-6, 7) a(d), range(-6, 7) b(d) WHERE abs(a.d) + abs(b.d) <= 6),
+{labels_sql('fg', 'n4', 'lab')}, zero AS (SELECT y, x FROM px WHERE v < 1e-4), cut AS (SELECT id, y, x, label FROM lab ANTI JOIN ({_grown('zero', 'near')}) USING (y, x)), {hull_sql('cut', 4, 100)},
+outside AS (SELECT y, x FROM px ANTI JOIN hull USING (y, x)), shine AS (SELECT y, x FROM px WHERE v > 4.5), doomed AS (SELECT y, x FROM ({_grown('outside', 'near')}) ANTI JOIN ({_grown('shine', 'core')}) USING (y, x))
+SELECT label, count(*) AS n FROM cut ANTI JOIN doomed USING (y, x) GROUP BY label HAVING count(*) >= 3"""
+
+
 def _boundary(s, d):
     return trim.boundary(_hull(s, d)).select("y", "x")
 
@@ -89,9 +115,9 @@ _REGISTERED = {
     ),
     "distance_peaks": (_peaks, PEAKS),
     "seed_candidates": (_candidates, None),
-    "hull_mask": (lambda s, d: _hull(s, d).select("y", "x"), None),
-    "hull_boundary": (_boundary, None),
-    "trim_orchestration": (_trim, None),
+    "hull_mask": (lambda s, d: _hull(s, d).select("y", "x"), HULL),
+    "hull_boundary": (_boundary, BOUNDARY),
+    "trim_orchestration": (_trim, TRIM),
     "skeleton_branches": (_branches, None),
     "minimum_threshold_guard": (
         lambda s, d: levels.foreground_threshold(px(s, d).where("event_type = 'none'"), "v", 60).select("threshold", "samples"),

@@ -40,8 +40,7 @@ def raw_segmentation(voxels: DataFrame, config: Config, spacing) -> tuple[DataFr
         half = [max(0, -(-gap / 2 // s)) for s in spacing]
         box = [(int(z), int(y), int(x)) for z in range(-int(half[0]) if dims == 3 else 0, (int(half[0]) if dims == 3 else 0) + 1) for y in range(-int(half[1]), int(half[1]) + 1) for x in range(-int(half[2]), int(half[2]) + 1)]
         mask = raster.mask_or(mask, raster.close_gaps(mask, box)).join(voxels.select(*AXES), list(AXES), "left_semi")
-    named = mask.withColumn("id", (F.col("z") * (1 << 40) + F.col("y") * (1 << 20) + F.col("x")).cast("long"))
-    found = raster.size_filter(raster.components(named, dims=dims), get("min_size"))
+    found = raster.size_filter(raster.components(raster.numbered(mask), dims=dims), get("min_size"))
     return raster.apply_lut(found, raster.relabel(found)).select(*AXES, "label"), float(threshold)
 
 
@@ -57,7 +56,11 @@ def extract_seeds(labels: DataFrame, voxels: DataFrame, config: Config, spacing)
 
 
 def separate_cells(labels: DataFrame, seeds_: DataFrame, voxels: DataFrame, config: Config, spacing) -> DataFrame:
-    """Labels after splitting: cells of several seeds are flooded, segments whose border is bright or without contrast join again."""
+    """Labels after splitting: cells of several seeds are flooded, segments whose border is bright or without contrast join again.
+
+    Parts of a segment that hold no seed go to the segment that they border most, or are deleted below min_size (3D);
+    then voids that one object encloses are filled (3D). One grouped map a cell floods it whole, so nothing is stitched.
+    """
     get = lambda name: config.value("separate_cells", name)
     dims = 3 if config.mode == "3d" else 2
     cells = labels.join(voxels.select(*AXES, "intensity"), list(AXES)).join(seeds_.select(*AXES, "seed"), list(AXES), "left")
@@ -67,10 +70,17 @@ def separate_cells(labels: DataFrame, seeds_: DataFrame, voxels: DataFrame, conf
     metrics = interaction.interface_metrics(parts, means, get("min_path_intensity_ratio"), "intensity", dims=dims)
     contrast = interaction.local_contrast(parts, get("local_analysis_radius"), get("min_local_intensity_difference"), "intensity", dims=dims)
     joined = interaction.merge_decisions(metrics, contrast).where("should_merge")
+    top = parts.agg(F.max("cell"), F.max("label")).first()
+    if max(x or 0 for x in top) >= 1 << 31:
+        raise ValueError("cells and seeds must be numbered below 2^31")
     node = lambda c: (F.col("cell") * (1 << 31) + F.col(c)).alias(c)
     roots = connected_components(joined.select(node("a"), node("b")))
-    final = parts.withColumn("_n", F.col("cell") * (1 << 31) + F.col("label")).join(roots.withColumnRenamed("node", "_n"), "_n", "left").select(*AXES, F.coalesce("component", "_n").alias("label"))
-    return raster.apply_lut(final, raster.relabel(final)).select(*AXES, "label")
+    final = parts.withColumn("_n", F.col("cell") * (1 << 31) + F.col("label")).join(roots.withColumnRenamed("node", "_n"), "_n", "left").select("cell", *AXES, F.coalesce("component", "_n").alias("label"))
+    marked = raster.numbered(final.join(seeds_.select(*AXES, "seed"), list(AXES), "left"))
+    settled = interaction.settle_orphans(marked, get("min_size") if dims == 3 else 0, dims=dims).select(*AXES, "label")
+    if dims == 3:
+        settled = interaction.fill_voids(settled, raster.numbered(voxels.select(*AXES)), dims)
+    return raster.apply_lut(settled, raster.relabel(settled)).select(*AXES, "label")
 
 
 def calculate_features(labels: DataFrame, voxels: DataFrame, config: Config, spacing) -> DataFrame:
@@ -178,10 +188,17 @@ class Run:
             self._keep(per_object, step)
 
 
-def run_all(images: dict[str, tuple[Run, DataFrame]], restart: bool = False) -> dict[str, str]:
-    """Runs every image; by image success, or the status of the step that failed."""
-    out = {}
-    for name, (run, voxels) in images.items():
+def run_all(images: dict[str, tuple[Run, DataFrame]], restart: bool = False, at_once: int = 4) -> dict[str, str]:
+    """Runs every image; by image success, or the status of the step that failed.
+
+    ``at_once`` images are submitted together, so that the cluster's scheduler fills its cores from several.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
+    def one(item) -> tuple[str, str]:
+        name, (run, voxels) = item
         steps = run.execute(voxels, restart=restart)
-        out[name] = next((s for _, s in steps if s.startswith("failed")), "success")
-    return out
+        return name, next((s for _, s in steps if s.startswith("failed")), "success")
+
+    with ThreadPoolExecutor(max(1, at_once)) as pool:
+        return dict(pool.map(one, images.items()))

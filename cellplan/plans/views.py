@@ -19,14 +19,30 @@ N6 = "n6(dz, dy, dx) AS (VALUES (0, 0, 0), (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0,
 
 
 def labels_sql(source: str = "fg", offsets: str = "n4", out: str = "lab") -> str:
-    """CTEs that label the components of a mask by their smallest id."""
+    """CTEs that label the components of a mask by their smallest id. Floods start where no neighbour has a smaller one."""
     return (
         f"e_{out} AS (SELECT p.id AS a, q.id AS b FROM {source} p CROSS JOIN {offsets} o JOIN {source} q ON q.y = p.y + o.dy AND q.x = p.x + o.dx WHERE p.id <> q.id), "
-        f"r_{out}(root, node) AS (SELECT id, id FROM {source} UNION SELECT r.root, e.b FROM r_{out} r JOIN e_{out} e ON r.node = e.a WHERE r.root < e.b), "
+        f"r_{out}(root, node) AS (SELECT id, id FROM {source} WHERE id NOT IN (SELECT a FROM e_{out} WHERE b < a) UNION SELECT r.root, e.b FROM r_{out} r JOIN e_{out} e ON r.node = e.a WHERE r.root < e.b), "
         f"{out} AS (SELECT f.*, m.label FROM {source} f JOIN (SELECT node, min(root) AS label FROM r_{out} GROUP BY node) m ON f.id = m.node)"
     )
 
 
+def otsu_sql(source: str) -> str:
+    """CTEs that find Otsu's threshold (t.threshold) of the column u in 256 bins."""
+    return f"""
+b AS (SELECT min(u) lo, max(u) hi FROM {source}),
+h AS (SELECT least(255, CAST(floor((u - lo) * 256 / (hi - lo)) AS INT)) AS bin, lo, hi, count(*) AS n FROM {source}, b GROUP BY ALL),
+c AS (SELECT bin, n, lo + (bin + 0.5::DOUBLE) * (hi - lo) / 256 AS c FROM h),
+w AS (SELECT bin, c, sum(n) OVER (ORDER BY bin) n0, sum(n * c) OVER (ORDER BY bin) s0, sum(n) OVER () n, sum(n * c) OVER () s FROM c),
+v AS (SELECT bin, c, CASE WHEN n = n0 THEN 0 ELSE n0 * (n - n0) * pow(s0 / n0 - (s - s0) / (n - n0), 2) END AS v FROM w),
+t AS (SELECT c AS threshold FROM v ORDER BY round(v, 6) DESC, bin LIMIT 1)"""
+
+
+def ball_sql(name: str, radius: int) -> str:
+    """A CTE of the offsets (dy, dx) of a disk."""
+    return f"{name}(dy, dx) AS (SELECT a.d, b.d FROM range(-{radius}, {radius + 1}) a(d), range(-{radius}, {radius + 1}) b(d) WHERE a.d * a.d + b.d * b.d <= {radius * radius})"
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 

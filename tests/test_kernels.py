@@ -34,6 +34,26 @@ def test_thinning_keeps_topology():
     assert thin.sum() < 25 and kernels.label_components(thin, True)[1] == 1
 
 
+def test_cycles_in_3d():
+    """Loops are opened at their thinnest place, and what remains is a forest of as many parts."""
+    ring = np.zeros((9, 30, 52), bool)
+    for x in (15, 36):
+        ring[3:6] |= (disc((30, 52), (15, x), 13) & ~disc((30, 52), (15, x), 8))[None]
+    ring[4, 2:6, 14:17] = False  # leaves the first ring thin there
+    skel = kernels.skeleton(ring)
+    assert kernels.cycle_basis(skel)
+    opened = kernels.open_cycles(skel, (1.0, 1.0, 1.0), kernels.edt(ring))
+    assert not kernels.cycle_basis(opened) and opened.sum() > 0.5 * skel.sum() and not (opened & ~skel).any()
+    line = np.zeros((3, 3, 9), bool)
+    line[1, 1] = True
+    assert kernels.cycle_basis(line) == [] and (kernels.open_cycles(line, (1.0, 1.0, 1.0), kernels.edt(line)) == line).all()
+    square = np.zeros((1, 5, 5), bool)
+    square[0, 1:4, 1:4] = True
+    square[0, 2, 2] = False
+    n, e = int(square.sum()), int(kernels.degrees(square).sum()) // 2
+    assert len(kernels.cycle_basis(square)) == e - n + 1
+
+
 def test_spurs_and_branches():
     line = np.zeros((1, 21, 41), bool)
     line[0, 10, 2:39] = True
@@ -134,3 +154,38 @@ def test_stream(spark, tmp_path):
     q = folders.measured(folders.voxel_stream(spark, f"{tmp_path}/in"), 1.5).writeStream.format("memory").queryName("m").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("m").first().voxels == 12
+
+
+def test_orphans_and_voids(spark):
+    from cellplan.operators import interaction, raster
+
+    # One cell: label 1 with its seed, a part of label 1 without one beside label 2, a far part without neighbours.
+    rows = [(1, 0, 0, x, 1, 7 if x == 1 else None) for x in range(4)] + [(1, 0, 0, x, 2, 8 if x == 6 else None) for x in range(4, 8)]
+    rows += [(1, 0, 1, x, 1, None) for x in (6, 7)] + [(1, 0, 5, x, 1, None) for x in (0, 1)] + [(2, 0, 9, 9, 3, None)]
+    df = raster.numbered(spark.createDataFrame(rows, "cell int, z int, y int, x int, label long, seed int"))
+    got = {(r.y, r.x): r.label for r in interaction.settle_orphans(df).collect()}
+    assert got == {(y, x): 2 if (y, x) in ((1, 6), (1, 7)) else n for _, _, y, x, n, _ in rows}
+    assert (5, 0) not in {(r.y, r.x) for r in interaction.settle_orphans(df, 3).collect()} and (9, 9) in {(r.y, r.x) for r in interaction.settle_orphans(df, 3).collect()}
+    # A shell of label 1 around a void, a void between two labels, an open one.
+    cube = np.zeros((5, 5, 16), int)
+    cube[:, :, :5], cube[:, :, 6:9], cube[:, :, 9:11] = 1, 2, 3
+    cube[2, 2, 2] = cube[2, 2, 8] = cube[2, 2, 9] = cube[0, 1, 1] = 0
+    at = [(int(z), int(y), int(x), int(v)) for (z, y, x), v in np.ndenumerate(cube)]
+    labels = spark.createDataFrame([r for r in at if r[3]], "z int, y int, x int, label long")
+    domain = raster.numbered(spark.createDataFrame([r[:3] for r in at], "z int, y int, x int"))
+    filled = {(r.z, r.y, r.x): r.label for r in interaction.fill_voids(labels, domain).collect()}
+    assert filled == {r[:3]: r[3] for r in at if r[3]} | {(2, 2, 2): 1}
+
+
+def test_narrowed_percentiles(spark):
+    from cellplan.operators import levels
+
+    r = np.random.default_rng(6)
+    for values in (r.standard_normal(3000), r.integers(0, 7, 3000).astype(float), np.r_[r.random(500) * 1e-12, 1e9, -1e9], np.full(50, 3.25), np.array([5.0])):
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double").repartition(3)
+        for p in (0, 37.5, 60, 99.9, 100):
+            assert np.isclose(levels.narrowed(df, p, bins=16, few=20), np.percentile(values, p), rtol=1e-12, atol=0)
+            assert np.isclose(levels.level(df, "v", p, most=0).first()[0], levels.level(df, "v", p).first()[0], rtol=1e-12, atol=0)
+    odd = spark.createDataFrame([(float(v),) for v in [1, 2, float("inf"), float("-inf"), float("nan")]], "v double")
+    assert levels.narrowed(odd, 50) == 2.0 and levels.narrowed(odd, 0) == float("-inf") and levels.narrowed(odd, 75) == float("inf") and np.isnan(levels.narrowed(odd, 100))
+    assert levels.level(odd.where("v > 5 and v < 6"), "v", 50, most=0).first()[0] is None
