@@ -58,6 +58,18 @@ def ome_channels(xml: Column) -> Column:
     return F.regexp_extract(xml, r'SizeC="(\d+)"', 1).try_cast("int")
 
 
+def channel_count(description: Column, shape: Column) -> Column:
+    """Channels of an image: by its ImageJ description, else by its OME one, else by its shape (an array of sizes).
+
+    An ImageJ description without a count has one channel. Of three sizes the first counts if it is below 10 and below the
+    second, of four the lesser of the first two; all else is one channel.
+    """
+    named = F.regexp_extract(description, r"(?m)^channels=(\d+)", 1).try_cast("int")
+    first, second = F.get(shape, 0), F.get(shape, 1)
+    by_shape = F.when((F.size(shape) == 3) & (first < 10) & (first < second), first).when(F.size(shape) == 4, F.least(first, second)).otherwise(1)
+    return F.coalesce(F.when(description.startswith("ImageJ="), F.coalesce(named, F.lit(1))), F.when(F.size(shape) >= 0, F.coalesce(ome_channels(description), by_shape)), F.lit(1)).cast("int")
+
+
 def ome_size(xml: Column, axis: str) -> Column:
     return F.regexp_extract(xml, rf'PhysicalSize{axis}="([0-9.eE+-]+)"', 1).try_cast("double")
 

@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from cellplan.functions import columns
 from cellplan.functions.columns import ordinal_group
-from cellplan.sources import cohort, project
+from cellplan.sources import cohort, project, sinks
 
 
 def test_load_dataset(spark, tmp_path):
@@ -35,3 +36,48 @@ def test_project(spark, tmp_path):
     assert got == [(0, "p.tif", 1.25, 6.0), (0, "q.tif", 2.0, 1.0), (1, "q.tif", 2.0, 1.0)]
     refs = spark.createDataFrame([("i", "final_segmentation_b", "/r/b"), ("i", "final_segmentation_a", "/r/a"), ("i", "metrics", "/r/0")], "image_id string, artifact string, path string")
     assert {r.image_id: r.reference_path for r in project.interaction_reference(spark.createDataFrame([("i",), ("j",)], "image_id string"), refs).collect()} == {"i": "/r/a", "j": None}
+
+
+def test_number_format(spark):
+    import random
+
+    r = random.Random(3)
+    values = [0.0, -0.0, 1.0, 100000.0, 99999.6, 0.0001, 0.00001234567, 123456.0, -2.5e-7, 1e22, 3.0e-300, float("inf"), float("-inf"), 0.1, 12.5, *(r.choice([-1, 1]) * r.random() * 10 ** r.randrange(-9, 12) for _ in range(400))]
+    df = spark.createDataFrame([(float(v),) for v in values], "v double")
+    for digits in (3, 5):
+        got = [r[0] for r in df.select(sinks.general_format(F.col("v"), digits)).collect()]
+        want = [f"{v:.{digits}g}".replace("-0", "0") if v == 0 else f"{v:.{digits}g}" for v in values]
+        assert got == want, [(g, w) for g, w in zip(got, want, strict=True) if g != w][:5]
+    assert spark.sql("SELECT CAST(NULL AS DOUBLE) AS v").select(sinks.general_format(F.col("v"), 5)).first()[0] == ""
+
+
+def test_csv_and_fcs(spark, tmp_path):
+    df = spark.createDataFrame([("i", 2, 1.23456789, None, "t"), ("i", 1, float("inf"), 7, "u"), ("j", 5, 2.0, 3, "v")], "image_id string, label int, area double, n int, name string")
+    sinks.write_csv(df, f"{tmp_path}/csv", 5)
+    got = sorted(map(tuple, spark.read.option("header", True).csv(f"{tmp_path}/csv").collect()))
+    assert got == [("i", "1", "inf", "7", "u"), ("i", "2", "1.2346", None, "t"), ("j", "5", "2", "3", "v")]
+    files = sinks.fcs_files(df).withColumn("path", F.concat(F.lit(f"{tmp_path}/fcs/"), "image_id", F.lit(".fcs")))
+    assert sinks.write_files(files) == 2
+    names, rows = sinks.decode_fcs((tmp_path / "fcs" / "i.fcs").read_bytes())
+    assert names == ["label", "area", "n"] and rows[:, 0].tolist() == [1.0, 2.0] and rows[0, 1] == 0.0 and abs(rows[1, 1] - 1.23456789) < 1e-6 and rows[:, 2].tolist() == [7.0, 0.0]
+
+
+def test_project_on_disk(spark, tmp_path):
+    for f in ("x.tif", "y.tif"):
+        (tmp_path / f).write_text("t")
+    plan = spark.createDataFrame([(f"{tmp_path}/x.tif", f"{tmp_path}/x"), (f"{tmp_path}/gone.tif", f"{tmp_path}/gone")], "path string, folder string")
+    assert len(sinks.move_files(plan)) == 1 and (tmp_path / "x" / "x.tif").read_text() == "t" and sinks.move_files(plan) == []
+    sinks.write_image_config(spark, f"{tmp_path}/x/x.yaml", "2d", {"x": 12.5, "y": 8.0})
+    sinks.write_interaction_metadata(spark, f"{tmp_path}/i.yaml", "p", "r", "m", "c")
+    assert [r.folder.rsplit("/", 1)[1] for r in project.valid_folders(project.listing(spark, f"{tmp_path}/x")).collect()] == ["x"]
+    assert [r.title for r in sinks.presets(project.listing(spark, str(tmp_path))).collect()] == ["I", "X"]
+    import yaml
+
+    assert yaml.safe_load((tmp_path / "x" / "x.yaml").read_text()) == {"mode": "2d", "pixel_dimensions": {"x": 12.5, "y": 8.0}}
+    assert list(yaml.safe_load((tmp_path / "i.yaml").read_text()).values()) == ["p", "r", "m", "c"]
+
+
+def test_channel_count(spark):
+    rows = [("ImageJ=1.53\nimages=6\nchannels=3\nslices=2", [6, 9, 9], 3), ("ImageJ=1.53\nimages=6", [3, 9, 9], 1), ('<OME><Pixels SizeC="4"/></OME>', [2, 9, 9], 4), ("x", [2, 9, 9], 2), (None, [12, 9, 9], 1), (None, [3, 2, 9, 9], 2), ("", [9, 9], 1), (None, None, 1)]
+    df = spark.createDataFrame(rows, "d string, s array<int>, n int")
+    assert [(r.n, r.got) for r in df.select("n", columns.channel_count(F.col("d"), F.col("s")).alias("got")).collect()] == [(n, n) for *_, n in rows]
