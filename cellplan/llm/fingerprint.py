@@ -23,7 +23,7 @@ from .neardup import mix
 K, S = 23, 8
 #: Finer anchors that shorter texts have besides: below how many code points, k and s. Half a text of that many has a coarser one.
 FINER = ((160, 5, 2), (16, 2, 1))
-#: A run's bytes at most (but for rows that repeat each other), runs for each core at least, sampled rows a run, and runs at most.
+#: A run's bytes (but for rows that repeat each other), runs for each core at least, sampled keys a run, and runs at most.
 RUN, EACH, KEYS, MOST = 64 << 20, 4, 32, 100_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -193,8 +193,8 @@ class Runs:
 def runs_of(ids: DataFrame, run: int | None = None) -> Runs | None:
     """Runs of about ``run`` bytes of ids' rows (doc_id, hash, text); None without rows.
 
-    Keys are chosen on a sample by a hash, weighted by bytes. The sample's size follows the number of runs, at most MOST;
-    beyond that runs are larger, which costs no memory: they are streamed.
+    Fine buckets start at keys sampled by a hash; their bytes are summed over all rows, and neighbours joined to runs. The
+    number of buckets follows that of the runs, at most MOST; beyond that runs are larger, but they are streamed.
     """
     size = F.octet_length("text") + 16
     found = ids.agg(F.sum(size).alias("bytes"), F.count("*").alias("rows"), F.min(F.struct("doc_id", "hash")).alias("low")).first()
@@ -204,11 +204,28 @@ def runs_of(ids: DataFrame, run: int | None = None) -> Runs | None:
     wanted = math.ceil(found.bytes / run) if run else max(math.ceil(found.bytes / RUN), min(EACH * cores, found.bytes >> 20))
     wanted = max(1, min(wanted, MOST))
     step = max(1, found.rows // (KEYS * wanted))
-    some = ids.where(F.pmod(F.xxhash64("doc_id", "hash", F.lit(1)), F.lit(step)) == 0).groupBy("doc_id", "hash").agg(F.sum(size).alias("bytes"))
-    rows = sorted((r.doc_id, r.hash, r.bytes) for r in some.collect())
-    ends = np.cumsum([b for *_, b in rows])
-    cuts = np.searchsorted(ends, ends[-1] * np.arange(1, wanted) / wanted) if len(rows) else []
-    return Runs(sorted({(found.low.doc_id, found.low.hash), *((rows[k][0], rows[k][1]) for k in cuts)}))
+    some = ids.where(F.pmod(F.xxhash64("doc_id", "hash", F.lit(1)), F.lit(step)) == 0).select("doc_id", "hash").distinct()
+    fine = Runs(sorted({(found.low.doc_id, found.low.hash), *((r.doc_id, r.hash) for r in some.collect())}))
+
+    def make():
+        def run_(batch: pa.RecordBatch) -> pa.RecordBatch:
+            at, _ = fine.of(batch.column(0).to_numpy(), batch.column(1).to_pylist())
+            bucket, back = np.unique(at, return_inverse=True)
+            return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(np.bincount(back, batch.column(2).to_numpy()).astype(np.int64))], names=["bucket", "bytes"])
+
+        return run_
+
+    weighed = map_batches(ids.select("doc_id", "hash", size.cast("long").alias("bytes")), make, "bucket bigint, bytes bigint").groupBy("bucket").agg(F.sum("bytes").alias("bytes"))
+    held = np.zeros(len(fine.keys))
+    for r in weighed.collect():
+        held[r.bucket] = r.bytes
+    keys, most, now = [fine.keys[0]], held.sum() / wanted, 0.0
+    for key, n in zip(fine.keys, held.tolist(), strict=True):
+        if now and now + n / 2 > most:
+            keys.append(key)
+            now = 0.0
+        now += n
+    return Runs(keys)
 
 
 def with_next(docs: DataFrame, run: int | None = None) -> DataFrame:
