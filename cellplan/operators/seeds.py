@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
-from .raster import AXES
+from .graph import connected_components, staged
+from .raster import AXES, relabel
 
 #: Levels by default: shares of the largest distance, and intensity percentiles.
 RATIOS = (0.3, 0.4, 0.5, 0.6)
@@ -86,8 +87,9 @@ def extract_seeds(cells: DataFrame, value: str = "intensity", spacing=(1.0, 1.0,
 
     Candidates come from one grouped map an object. They are placed best first (score, then size): one is rejected if
     its centroid is nearer than ``separation_um`` to a seed of another object placed before, or if any of its voxels is
-    taken. Seeds of one object are kept apart from each other only with ``apart_within``. Placement is by order, so the
-    candidates of an image (few, small) meet in one grouped map; images are independent.
+    taken. Seeds of one object are kept apart from each other only with ``apart_within``. Placement goes by order, but
+    only candidates that are near each other matter to each other: objects with such candidates are joined to groups,
+    and each group is placed by itself. Seeds are numbered from 1 in the order of placement, image by image.
     """
     by = ["image_id"] if "image_id" in cells.columns else []
     schema = "".join(f"`{c}` {cells.schema[c].dataType.simpleString()}, " for c in by)
@@ -96,7 +98,8 @@ def extract_seeds(cells: DataFrame, value: str = "intensity", spacing=(1.0, 1.0,
     def find(pdf: pd.DataFrame) -> pd.DataFrame:
         low, _, (grid, val) = kernels.dense(pdf.assign(_m=1.0), ["_m", value])
         found = candidates(grid > 0, val, spacing, ratios, percentiles, least_fragment, least_thickness, most_thickness, most_aspect, 0, peak_um)
-        return pd.DataFrame([{**{c: pdf[c].iloc[0] for c in by}, "label": pdf["label"].iloc[0], "score": s, "size": n, "at": (at + low).ravel().tolist()} for s, n, at in found], columns=[*by, "label", "score", "size", "at"])
+        rows = [{**{c: pdf[c].iloc[0] for c in by}, "label": pdf["label"].iloc[0], "score": s, "size": n, "at": (at + low).ravel().tolist(), **dict(zip(("cz", "cy", "cx"), ((at + low).mean(axis=0) * np.array(spacing)).tolist(), strict=True))} for s, n, at in found]
+        return pd.DataFrame(rows, columns=[*by, "label", "score", "size", "at", "cz", "cy", "cx"])
 
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
         used, centres, out = set(), [], []
@@ -111,12 +114,27 @@ def extract_seeds(cells: DataFrame, value: str = "intensity", spacing=(1.0, 1.0,
                 continue
             used |= voxels
             centres.append((r["label"], centre))
-            out += [{**{c: r[c] for c in by}, "label": r["label"], "seed": len(centres), "z": z, "y": y, "x": x} for z, y, x in sorted(voxels)]
-        return pd.DataFrame(out, columns=[*by, "label", "seed", *AXES])
-
-    found = cells.select(*by, "label", *(F.col(a).cast("long").alias(a) for a in AXES), value).groupBy(*by, "label").applyInPandas(find, schema + f"label {lab}, score double, size long, at array<long>")
-    placed = found.groupBy(*by) if by else found.groupBy(F.lit(0).alias("_image"))
-    return placed.applyInPandas(place, schema + f"label {lab}, seed long, z long, y long, x long")
+            out.append({**{c: r[c] for c in by}, "label": r["label"], "score": r["score"], "size": r["size"], "at": r["at"]})
+        return pd.DataFrame(out, columns=[*by, "label", "score", "size", "at"])
+
+    found = staged(cells.select(*by, "label", *(F.col(a).cast("long").alias(a) for a in AXES), value).groupBy(*by, "label").applyInPandas(find, f"{schema}label {lab}, score double, size long, at array<long>, cz double, cy double, cx double"))
+    grouped = found.withColumn("_group", F.col("label").cast("long"))
+    if separation_um > 0:
+        centres = ("cz", "cy", "cx")
+        a = found.select(*by, F.col("label").alias("a"), *(F.col(c).alias(f"a{c}") for c in centres), *(F.floor(F.col(c) / separation_um).alias(f"_{c}") for c in centres))
+        b = found.select(*by, F.col("label").alias("b"), *centres, *(F.floor(F.col(c) / separation_um).alias(f"_{c}") for c in centres))
+        for c in centres:
+            a = a.withColumn(f"_{c}", F.explode(F.array(*(F.col(f"_{c}") + d for d in (-1, 0, 1)))))
+        apart = sum(((F.col(f"a{c}") - F.col(c)) * (F.col(f"a{c}") - F.col(c)) for c in centres), F.lit(0.0))
+        near = a.join(b, [*by, *(f"_{c}" for c in centres)]).where(F.col("a") < F.col("b")).where(apart <= separation_um**2 * (1 + 1e-9))
+        groups = connected_components(near.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).distinct()).select(F.col("node").alias("_group"), "component")
+        grouped = grouped.join(groups, "_group", "left").withColumn("_group", F.coalesce("component", "_group")).drop("component")
+    placed = staged(grouped.groupBy(*by, "_group").applyInPandas(place, f"{schema}label {lab}, score double, size long, at array<long>"))
+    key = F.struct((-F.col("score")).alias("s"), (-F.col("size")).alias("n"), "label", "at")
+    numbers = relabel(placed.select(*by, key.alias("_key")), "_key", "seed", tuple(by))
+    voxel = F.transform(F.sequence(F.lit(0), F.floor(F.size("at") / 3) - 1), lambda k: F.struct(*(F.element_at("at", (k * 3 + d + 1).cast("int")).alias(a) for d, a in enumerate(AXES))))
+    named = placed.withColumn("_key", key).join(numbers, [*by, "_key"])
+    return named.select(*by, "label", "seed", F.explode(voxel).alias("_v")).select(*by, "label", "seed", *(F.col(f"_v.{a}").alias(a) for a in AXES))
 
 
 def distance_core(cells: DataFrame, ratio: float, distance: str = "distance", by: tuple[str, ...] = ("label",)) -> DataFrame:

@@ -82,6 +82,44 @@ def test_seed_order():
     assert found and all(n >= 10 for _, n, _ in found)
 
 
+def test_placement_by_groups(spark):
+    """Seeds are those that one greedy pass over all candidates of an image would place, numbered in its order."""
+    r = np.random.default_rng(2)
+    pixels = {}
+    for label in range(1, 40):
+        y, x = r.integers(5, 120, 2)
+        for p in zip(*np.nonzero(disc((130, 130), (y, x), int(r.integers(3, 7)))), strict=True):
+            pixels.setdefault(tuple(map(int, p)), label)
+    rows = [(label, 0, y, x, float(r.random())) for (y, x), label in pixels.items()]
+    cells = spark.createDataFrame(rows, "label int, z int, y int, x int, intensity double")
+    options = {"least_fragment": 3, "least_thickness": 0.5, "ratios": (0.5, 0.7), "percentiles": (60,)}
+    for separation, within in ((9.0, False), (9.0, True), (0.0, False)):
+        wanted, centres = [], []
+        every = []
+        for label in sorted(set(pixels.values())):
+            at = np.array([p for p, q in pixels.items() if q == label])
+            low = at.min(axis=0)
+            grid, val = np.zeros((1, *(at.max(axis=0) - low + 1))), np.zeros((1, *(at.max(axis=0) - low + 1)))
+            for (one, _, y, x, v) in rows:
+                if one == label:
+                    grid[0, y - low[0], x - low[1]], val[0, y - low[0], x - low[1]] = 1, v
+            found = seeds.candidates(grid > 0, val, (1.0, 1.0, 1.0), (0.5, 0.7), (60,), 3, 0.5, 10.0, 10.0, 0, 0.0)
+            every += [(-s, -n, label, (at_ + [0, *low]).ravel().tolist()) for s, n, at_ in found]
+        used = set()
+        for _, _, label, at_ in sorted(every):
+            voxels = set(map(tuple, np.array(at_).reshape(-1, 3).tolist()))
+            centre = np.mean(sorted(voxels), axis=0)
+            if used & voxels or any((within or one != label) and np.linalg.norm(centre - c) < separation for one, c in centres):
+                continue
+            used |= voxels
+            centres.append((label, centre))
+            wanted += [(label, len(centres), *v) for v in voxels]
+        got = seeds.extract_seeds(cells, separation_um=separation, apart_within=within, **options)
+        assert sorted(map(tuple, got.collect())) == sorted(wanted) and wanted
+        two = cells.withColumn("image_id", seeds.F.explode(seeds.F.array(seeds.F.lit("a"), seeds.F.lit("b"))))
+        assert sorted(tuple(x)[1:] for x in seeds.extract_seeds(two, separation_um=separation, apart_within=within, **options).where("image_id = 'b'").collect()) == sorted(wanted)
+
+
 def image():
     r = np.random.default_rng(0)
     a = 1 + 0.2 * r.random((96, 128))
