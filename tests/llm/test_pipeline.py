@@ -85,6 +85,27 @@ def test_without_rows(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def test_odd_rows(spark, folder, tmp_path):
+    """Repeated rows, empty, null and very long texts, rows without id, and extra columns with names of our own."""
+    path, _, _ = folder
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    extra = [(6001, "", "en", "s1", 0), (6002, " \n ", None, "s1", None), (6003, "A very long text. " * 20_000, "en", "s2", 360_000), (None, "Nobody knows this text.", "en", "s1", 5), (6004, None, None, None, None)]
+    odd = docs.unionByName(spark.createDataFrame(extra * 3, DOCUMENTS))
+    names = ["_id", "_label", "label", "score", "key", "rep", "n", "hash", "length", "sequence_id", "kept", "_kept_id"]
+    odd = odd.select("*", *(neardup.F.lit(k).alias(c) for k, c in enumerate(names)))
+    odd.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{path}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    now = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        now = stage(spark, now, str(tmp_path))
+        assert now.dtypes == odd.dtypes
+        now = now.cache()
+    ids = [r.doc_id for r in now.select("doc_id").collect()]
+    assert all(ids.count(k) == 1 for k in ids if k is not None) and ids.count(None) <= 3
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in rows} == set(ids)
+
+
 def test_registered():
     assert {name.split("_")[0] for name in QUERIES} == {f"op{n}" for n in range(1, 11)}
     assert zlib.crc32(b"0") == 4108050209
