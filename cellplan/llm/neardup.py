@@ -28,8 +28,8 @@ BROADCAST_IDS = 500_000
 HUB_GROUP, BLOCK, SLICE = 256, 4096, 16_384
 #: Shingles that a group of a cluster holds at most (8 bytes each), but for a document that has more by itself.
 HELD = 2_000_000
-#: Keys that hold more than this share of all rows are joined by broadcast; there are at most as many as its inverse.
-HOT = 0.001
+#: Keys that hold more than this share of all rows, and more rows than a block, are joined by broadcast: at most 1,000 keys.
+HOT, HOT_ROWS = 0.001, 4096
 
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _S30, _S27, _S31, _S32, _LOW, _EMPTY = (np.uint64(x) for x in (30, 27, 31, 32, 0xFFFFFFFF, 0xFFFFFFFFFFFFFFFF))
@@ -136,9 +136,10 @@ def _kept(df: DataFrame, label: str, made: list[str], each: int = 1) -> DataFram
 
 
 def hot_keys(sizes: DataFrame, key: str, size: str) -> list:
-    """The keys with more than HOT of all rows; sizes has a row a key and in ``size`` how many rows have it."""
-    total = sizes.agg(F.sum(size)).first()[0] or 0
-    return [r[0] for r in sizes.where(F.col(size) > HOT * total).select(key).collect()]  # at most 1 / HOT of them
+    """The keys with more than HOT of all rows and more than HOT_ROWS; sizes has a row a key and in ``size`` how many rows have it."""
+    total, top = sizes.agg(F.sum(size), F.max(size)).first()
+    least = max(HOT_ROWS, HOT * (total or 0))
+    return [r[0] for r in sizes.where(F.col(size) > least).select(key).collect()] if (top or 0) > least else []  # at most 1 / HOT
 
 
 def hot_join(rows: DataFrame, table: DataFrame, key: str, hot: list) -> DataFrame:
@@ -155,11 +156,9 @@ def hot_join(rows: DataFrame, table: DataFrame, key: str, hot: list) -> DataFram
 def _agreeing(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Of the pairs (a, b) those whose sizes and sketches allow the similarity."""
 
-    def beside(df: DataFrame, x: str) -> DataFrame:
-        named = reps.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
-        return hot_join(df, named, x, hot_keys(pairs.groupBy(x).agg(F.count("*").alias("size")), x, "size"))
-
-    both = beside(beside(pairs, "a"), "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b", "sa", "sb")
+    side = lambda x: reps.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    hot = hot_keys(pairs.groupBy("a").agg(F.count("*").alias("size")), "a", "size")  # b is in a pair a band at most, a may be in many
+    both = hot_join(pairs, side("a"), "a", hot).join(side("b"), "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b", "sa", "sb")
 
     def make():
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -377,10 +376,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 2) -> DataFr
     feats = _kept(features(docs, size), "features", made, 8)
     known = feats.where("set_key is not null and doc_id is not null")
     classes = known.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    reps = _kept(classes, "classes", made, 8)
+    reps = _kept(classes, "classes", made, 4)
     banded = reps.select(F.explode("bands").alias("key"), "rep")
-    hubs = _kept(banded.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("size")).where("size > 1"), "hubs", made, 2)
-    shared = _kept(hot_join(banded, hubs.drop("size"), "key", hot_keys(hubs, "key", "size")), "buckets", made, 8)
+    hubs = _kept(banded.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("size")).where("size > 1"), "hubs", made)
+    shared = _kept(hot_join(banded, hubs.drop("size"), "key", hot_keys(hubs, "key", "size")), "buckets", made, 4)
     stars = shared.where("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     keys = feats.where("doc_id is not null").select("doc_id", F.xxhash64("set_key").alias("h"))  # a document with an empty text beside others counts
     repeated = _kept(keys.groupBy("doc_id").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low != high").select("doc_id"), "repeated", made)
@@ -409,7 +408,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 2) -> DataFr
     else:
         other = other.withColumn("component_id", F.lit(None).cast("long"))
     other = other.withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    out, _ = written(named.unionByName(other).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "near-duplicates", 8)
+    out, _ = written(named.unionByName(other).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "near-duplicates", 2)
     for path in made:
         remove(spark, path)
     return out

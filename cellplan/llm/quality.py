@@ -38,15 +38,15 @@ def word_buckets(text: str | None) -> list[int]:
     return sorted({zlib.crc32(w) % BUCKETS for x in (text or "").lower().encode().split() if (w := x.strip(b".,;:?!'\"()-"))})
 
 
-def lexicon(words: list[list[int]], y: np.ndarray) -> np.ndarray:
+def lexicon(words: list, y: np.ndarray) -> np.ndarray:
     """For each bucket the log odds of quality 1, less those of all documents, by how many of either class have a word in it."""
     count = [np.bincount(np.concatenate([w for w, one in zip(words, y, strict=True) if one == k] or [[]]).astype(np.int64), minlength=BUCKETS) for k in (0, 1)]
     n = [float((y == k).sum()) for k in (0, 1)]
     return (np.log((count[1] + PRIOR) / (n[1] + 2 * PRIOR)) - np.log((count[0] + PRIOR) / (n[0] + 2 * PRIOR))).astype(np.float32)
 
 
-def lexical(words: list[int], weights: np.ndarray | None) -> float:
-    return float(weights[words].mean()) if weights is not None and words else 0.0
+def lexical(words, weights: np.ndarray | None) -> float:
+    return float(weights[words].mean()) if weights is not None and len(words) else 0.0
 
 
 def content(text: str | None, weights: np.ndarray | None = None) -> list[float]:
@@ -292,18 +292,20 @@ def features(docs: DataFrame, weights: np.ndarray | None) -> DataFrame:
     return map_batches(docs.select("doc_id", F.xxhash64("text").alias("key"), *_typed(docs)), make, f"doc_id {kind}, key bigint, content array<double>, metadata array<double>")
 
 
-def _gathered(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, list[list[int]], np.ndarray]:
+def _gathered(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
     """Both views, words and labels of the labelled sample (columns: the four, _id, _label), sorted by id."""
 
     def make():
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             a, b = numbers(batch)
-            return pa.RecordBatch.from_arrays([batch.column(4), batch.column(5), _lists(a), _lists(b), pa.array([word_buckets(x) for x in batch.column(0).to_pylist()], pa.list_(pa.int32()))], names=["id", "label", "content", "metadata", "words"])
+            words = [np.array(word_buckets(x), np.int32).tobytes() for x in batch.column(0).to_pylist()]
+            return pa.RecordBatch.from_arrays([batch.column(4), batch.column(5), pa.array([x.tobytes() for x in a], pa.binary()), pa.array([x.tobytes() for x in b], pa.binary()), pa.array(words, pa.binary())], names=["id", "label", "content", "metadata", "words"])
 
         return run
 
-    found = sorted(map_batches(rows, make, "id bigint, label int, content array<double>, metadata array<double>, words array<int>").collect(), key=lambda r: r.id)
-    return np.array([r.content for r in found]).reshape(len(found), len(CONTENT)), np.array([r.metadata for r in found]).reshape(len(found), 3), [r.words for r in found], np.array([r.label for r in found], float)
+    found = sorted(map_batches(rows, make, "id bigint, label int, content binary, metadata binary, words binary").collect(), key=lambda r: r.id)
+    read = lambda name, kind=np.float64: [np.frombuffer(r[name], kind) for r in found]
+    return np.array(read("content")).reshape(len(found), len(CONTENT)), np.array(read("metadata")).reshape(len(found), 3), read("words", np.int32), np.array([r.label for r in found], float)
 
 
 def fitted(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, rounds: int = ROUNDS, given: int = GIVEN) -> tuple[Model, DataFrame, str]:

@@ -105,7 +105,7 @@ def apart(texts: list[str], labels: list[int]) -> list[int]:
 
 def evidence(texts: list[str], y: np.ndarray, bits: int = 22) -> list[str]:
     """Traits that the labels speak for, sorted. Counted by hash first, so that only likely ones are counted by name."""
-    docs, toxic = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
+    docs, toxic = np.zeros(1 << bits, np.int32), np.zeros(1 << bits, np.int32)
     at = lambda t: zlib.crc32(t.encode()) >> (32 - bits)
     for text, one in zip(texts, y, strict=True):
         places = list({at(t) for t in traits(set(WORD.findall(text.lower())))})
@@ -113,9 +113,9 @@ def evidence(texts: list[str], y: np.ndarray, bits: int = 22) -> list[str]:
         if one:
             toxic[places] += 1
     total, share = len(y), float(y.sum())
-    some = np.flatnonzero((toxic >= LEAST_DOCS) & (toxic * total > docs * share))
     likely = np.zeros(1 << bits, bool)
-    likely[some] = True
+    some = np.flatnonzero(toxic >= LEAST_DOCS)
+    likely[some[toxic[some].astype(float) * total > docs[some] * share]] = True
     n, k = Counter(), Counter()
     for text, one in zip(texts, y, strict=True):
         found = [t for t in traits(set(WORD.findall(text.lower()))) if likely[at(t)]]

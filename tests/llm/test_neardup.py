@@ -128,12 +128,12 @@ def test_rows_that_move(spark):
 
 
 def test_hot_keys(spark):
-    rows = spark.range(5000).selectExpr("id", "CASE WHEN id < 3000 THEN -1 ELSE id DIV 2 END AS key")
+    rows = spark.range(20_000).selectExpr("id", "CASE WHEN id < 12000 THEN -1 ELSE id DIV 2 END AS key")
     sizes = rows.groupBy("key").count()
     hot = nd.hot_keys(sizes, "key", "count")
     assert hot == [-1]
     table = sizes.selectExpr("key", "key * 2 AS twice")
-    assert sorted(map(tuple, nd.hot_join(rows, table, "key", hot).select("id", "twice").collect())) == [(k, -2 if k < 3000 else k // 2 * 2) for k in range(5000)]
+    assert sorted(map(tuple, nd.hot_join(rows, table, "key", hot).select("id", "twice").collect())) == [(k, -2 if k < 12_000 else k // 2 * 2) for k in range(20_000)]
 
 
 def test_held():
