@@ -346,4 +346,5 @@ def op2_bpe_codec(docs: DataFrame) -> DataFrame:
 
 
 def op6_token_counts(docs: DataFrame, limit: int = 1024) -> DataFrame:
+    """Bytes and tokens of every whole text, and whether it has more tokens than the limit."""
     return token_counts(docs).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
