@@ -116,9 +116,14 @@ def strided(df: DataFrame, **steps: int) -> DataFrame:
 
 
 def every_kth(df: DataFrame, order: str, k: int, by: tuple[str, ...] = ()) -> DataFrame:
-    """Rows 1, k + 1, 2k + 1 ... in order (of each group)."""
-    w = Window.partitionBy(*by).orderBy(order) if by else Window.orderBy(order)
-    return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") % k == (1 if k > 1 else 0)).drop("_r")
+    """Rows 1, k + 1, 2k + 1 ... in order (of each group). Without groups ``order`` must be unique: ranks then come from a range sort."""
+    from .raster import relabel
+
+    if by:
+        ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(order)))
+    else:
+        ranked = df.join(relabel(df, order, "_r"), order)
+    return ranked.where(F.col("_r") % k == (1 if k > 1 else 0)).select(*df.columns)
 
 
 def histogram(df: DataFrame, value: str, bins: int = 256) -> DataFrame:

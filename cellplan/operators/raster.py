@@ -277,10 +277,6 @@ def within(voxels: DataFrame, features: DataFrame, radius: float, spacing: tuple
     return voxels.join(dilate(features, ball(radius, spacing, dims)), list(AXES), "left_semi")
 
 
-def beyond(voxels: DataFrame, features: DataFrame, radius: float, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0), dims: int = 2) -> DataFrame:
-    return voxels.join(dilate(features, ball(radius, spacing, dims)), list(AXES), "left_anti")
-
-
 def zero_edge_trim(labels: DataFrame, intensity: DataFrame, distance: float, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0), floor: float = 1e-4, value: str = "intensity", dims: int = 2) -> DataFrame:
     """Deletes labels nearer than ``distance`` to intensities below ``floor``; if that is less than a mean voxel, up to 1.5 of those too."""
     used = spacing[3 - dims :]
@@ -326,10 +322,17 @@ def mask_xor(a: DataFrame, b: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------------------------------- tiles
 
 
-def tile_plan(shape: tuple[int, int, int], size: tuple[int, int, int], overlap: int = 0) -> list[tuple[tuple[tuple[int, int], ...], tuple[tuple[int, int], ...]]]:
-    """Tiles of a raster: (what to read, with a clamped halo; what to write) as (start, end) by axis."""
-    spans = [[(a, min(a + s, n)) for a in range(0, n, s)] for n, s in zip(shape, size, strict=True)]
-    return [(tuple((max(0, a - overlap), min(n, b + overlap)) for (a, b), n in zip(w, shape, strict=True)), w) for w in product(*spans)]
+def object_tiles(labels: DataFrame, size: tuple[int, int, int] = (128, 512, 512), pad: int = 20, by: tuple[str, ...] = ("label",)) -> DataFrame:
+    """Rows (by, t0z, t1z, p0z, p1z, ...) that cut each object's box into tiles from its lower corner on.
+
+    t0 to t1 (excluded) is what a tile is answerable for, p0 to p1 what it looks at: ``pad`` more on all sides, within the box.
+    """
+    out = labels.groupBy(*by).agg(*(e for a in AXES for e in (F.min(a).cast("long").alias(f"_lo{a}"), (F.max(a) + 1).cast("long").alias(f"_hi{a}"))))
+    for a, s in zip(AXES, size, strict=True):
+        low, high, start = F.col(f"_lo{a}"), F.col(f"_hi{a}"), F.col(f"t0{a}")
+        out = out.withColumn(f"t0{a}", F.explode(F.sequence(low, high - 1, F.lit(s).cast("long")))).withColumn(f"t1{a}", F.least(start + s, high))
+        out = out.withColumn(f"p0{a}", F.greatest(low, start - pad)).withColumn(f"p1{a}", F.least(high, F.col(f"t1{a}") + pad))
+    return out.select(*by, *(f"{k}{a}" for a in AXES for k in ("t0", "t1", "p0", "p1")))
 
 
 def in_tiles(df: DataFrame, size: tuple[int, int, int], halo: tuple[int, int, int] = (0, 0, 0)) -> DataFrame:

@@ -138,6 +138,26 @@ p AS (SELECT *, df / (df + t * t) AS x, df / 2 AS a, 0.5::DOUBLE AS b FROM t), r
 SELECT {_RECORD}, names AS "Comparison", 'Welch t-test' AS "Test", round(t, 3) AS "Statistic", round(p, 6) AS "P_Value", round(p, 6) AS "P_Value_Corrected", p < 0.05 AS "Significant_After_Correction" FROM r"""
 
 
+WANTED = [("3D", "l_quantity"), ("3D", "l_tax"), ("2D", "l_quantity"), ("3D", "l_discount")]
+
+
+def _lookup(s, d):
+    """What a figure's brackets show: the p-values of wanted metrics, null where nothing was tested."""
+    return cohort.significance_lookup(_tests(s, d), s.createDataFrame(WANTED, "Dataset string, Raw_Metric string"))
+
+
+LOOKUP = f"""WITH wanted("Dataset", "Raw_Metric") AS (VALUES {', '.join(map(str, WANTED))}), tests AS ({TESTS}) SELECT w.*, "P_Value", "P_Value_Corrected" FROM wanted w LEFT JOIN tests USING ("Dataset", "Raw_Metric")"""
+
+
+def _final(s, d):
+    """The table that is published: numbers that are none become null, columns that are absent are left out."""
+    shown = _tests(s, d).withColumn("Statistic", F.when(F.col("Raw_Metric") == "l_discount", "n.a.").otherwise(F.col("Statistic").cast("string")))
+    return cohort.final_table(shown, ["Dataset", "Metric", "Comparison", "Absent", "Statistic", "P_Value"])
+
+
+FINAL = f"""WITH tests AS ({TESTS}) SELECT "Dataset", "Metric", "Comparison", CASE WHEN "Raw_Metric" <> 'l_discount' THEN "Statistic" END AS "Statistic", "P_Value" FROM tests"""
+
+
 def _tiff(s, d):
     p = _t(s, d, "part").select("p_partkey", (F.col("p_size") % 4).cast("int").alias("u"), F.when(F.col("p_size") % 5 == 0, "micron").otherwise("").alias("t"), (F.col("p_retailprice") / F.when(F.col("p_size") % 2 == 0, 1e5).otherwise(100.0)).alias("q"))
     return p.select("p_partkey", F.round(fx.pixel_size(F.col("u"), F.col("t"), F.col("q")), 9).alias("um"))
@@ -186,6 +206,8 @@ _REGISTERED = {
     "anova_f": (_anova, ANOVA),
     "group_tests": (_tests, TESTS),
     "pair_tests": (_pair_tests, PAIR_TESTS),
+    "significance_lookup": (_lookup, LOOKUP),
+    "final_table": (_final, FINAL),
     "bonferroni": (
         _bonferroni,
         "WITH p AS (SELECT DISTINCT p_brand, p_size, CASE WHEN p_size % 7 <> 0 THEN p_size / 2000.0::DOUBLE END AS p FROM part), q AS (SELECT *, CASE WHEN p IS NOT NULL THEN least(1.0::DOUBLE, p * count(p) OVER (PARTITION BY p_brand)) END AS c FROM p) SELECT p_brand, p_size, round(p, 6) AS p, round(c, 6) AS P_Value_Corrected, coalesce(c < 0.05, false) AS Significant_After_Correction FROM q",

@@ -20,6 +20,13 @@ def _solid(s, d):
 SOLID = f"{PX3}, {FG}, sol AS (SELECT *, (y // 5) * 10 + x // 5 + 1 AS label FROM fg)"
 
 
+def _tiles_sql(axis: str, size: int) -> str:
+    return f"{axis}t AS (SELECT label, t0{axis}, least(t0{axis} + {size}, hi) AS t1{axis}, greatest(lo, t0{axis} - 1) AS p0{axis}, least(hi, least(t0{axis} + {size}, hi) + 1) AS p1{axis} FROM (SELECT label, lo, hi, unnest(range(lo, hi, {size})) AS t0{axis} FROM (SELECT label, min({axis}) AS lo, max({axis}) + 1 AS hi FROM sol GROUP BY 1)))"
+
+
+OBJECT_TILES = f"WITH {SOLID}, {_tiles_sql('z', 2)}, {_tiles_sql('y', 2)}, {_tiles_sql('x', 3)} SELECT * FROM zt JOIN yt USING (label) JOIN xt USING (label)"
+
+
 def _faces(s, d):
     t = measure.shape_3d(_solid(s, d), (2.0, 1.0, 1.0))
     return t.select("label", "voxel_count", *r6("volume_um3", "surface_area_um2", "sphericity"))
@@ -263,6 +270,7 @@ _REGISTERED = {
         lambda s, d: measure.boxes(lab(s, d)).select("label", "y_min", "y_max", "x_min", "x_max", *r6("y_mean", "x_mean")),
         f"WITH RECURSIVE {LAB} SELECT label, min(y) AS y_min, max(y) AS y_max, min(x) AS x_min, max(x) AS x_max, round(avg(y), 6) AS y_mean, round(avg(x), 6) AS x_mean FROM lab GROUP BY label",
     ),
+    "object_tile_plan": (lambda s, d: raster.object_tiles(_solid(s, d), (2, 2, 3), 1), OBJECT_TILES),
     "exposed_faces_area": (_faces, _faces_sql()),
     "perimeter_circularity": (_perimeter, PERIMETER),
     "eccentricity_moments": (
