@@ -79,7 +79,7 @@ class LibraryUnits:
 
     def values(self, texts: list[str]) -> list[bytes]:
         for cache in (self.whole, self.spaced):
-            if len(cache) > CACHE:
+            if len(cache) > CACHE // 2:
                 cache.clear()
         special = self.special
         return [b"".join(special[p] if p in special else self.one(p) for p in self.split(t) if p) for t in texts]

@@ -132,6 +132,10 @@ def test_hot_keys(spark):
     sizes = rows.groupBy("key").count()
     hot = nd.hot_keys(sizes, "key", "count")
     assert hot == [-1]
+    binary = sizes.selectExpr("unhex(hex(key)) AS key", "count")
+    marked = rows.selectExpr("id", "unhex(hex(key)) AS key")
+    joined = nd.hot_join(marked, binary, "key", nd.hot_keys(binary, "key", "count"))
+    assert joined.count() == 20_000 and joined.where("count = 12000").count() == 12_000
     table = sizes.selectExpr("key", "key * 2 AS twice")
     assert sorted(map(tuple, nd.hot_join(rows, table, "key", hot).select("id", "twice").collect())) == [(k, -2 if k < 12_000 else k // 2 * 2) for k in range(20_000)]
 
