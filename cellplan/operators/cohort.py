@@ -8,6 +8,7 @@ from itertools import combinations_with_replacement
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import staged
 from .levels import level
 
 
@@ -195,9 +196,9 @@ def fuzzy_match(wanted: DataFrame, files: DataFrame, name: Column, file: Column,
     no part.
     """
     a = wanted.select(name.alias(w)).where(F.col(w).isNotNull()).distinct()
-    b = files.select(file.alias(f)).where(F.col(f).isNotNull()).distinct()
-    exact = a.join(b, F.col(w) == F.col(f))
-    left = a.join(b, F.col(w) == F.col(f), "left_anti")
+    b = staged(files.select(file.alias(f)).where(F.col(f).isNotNull()).distinct())
+    both = staged(a.join(b, F.col(w) == F.col(f), "left"))
+    exact, left = both.where(F.col(f).isNotNull()), both.where(F.col(f).isNull()).select(w)
     inside = containing(b.where(F.length(f) > 0), left, f, w).select(w, f).unionByName(left.join(F.broadcast(b.where(F.length(f) == 0))))  # one row
     rest = containing(left, b, w, f).unionByName(inside).groupBy(w).agg(F.min(f).alias(f))
     return exact.unionByName(rest)
