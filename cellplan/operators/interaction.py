@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import staged
-from .measure import _near_pairs, _points, distance
-from .raster import AXES, ball, box, components, cross, hole_voxels, shifted
+from .measure import _near_pairs, distance
+from .pairs import all_distances
+from .raster import AXES, ball, box, components, cross, hole_voxels, shifted, surface
 
 Spacing = tuple[float, float, float]
 
@@ -88,11 +89,11 @@ def distance_to_reference(primary: DataFrame, reference: DataFrame, name: str, s
 def cross_distances(primary: DataFrame, reference: DataFrame, spacing: Spacing = (1.0, 1.0, 1.0), by: tuple[str, ...] = (), dims: int = 2) -> DataFrame:
     """Rows (channel_a_label, channel_b_label, distance_um) for every pair of a primary and a reference object of an image.
 
-    All pairs are the result here; use distance_to_reference() for the nearest alone.
+    All pairs are the result here (see pairs.all_distances()); use distance_to_reference() for the nearest alone.
     """
-    pa, pb = _points(primary, by, dims, "label", "a"), _points(reference, by, dims, "label", "b")
-    pairs = pa.join(pb, list(by)) if by else pa.crossJoin(pb)
-    return pairs.groupBy(*by, F.col("alabel").alias("channel_a_label"), F.col("blabel").alias("channel_b_label")).agg(F.min(distance("a", "b", spacing)).alias("distance_um"))
+    pa, pb = (surface(t, (*by, "label"), dims) for t in (primary, reference))
+    out = all_distances(pa, pb, by, spacing, dims)
+    return out.select(*by, F.col("alabel").alias("channel_a_label"), F.col("blabel").alias("channel_b_label"), F.col("d").alias("distance_um"))
 
 
 def overlap_regions(primary: DataFrame, reference: DataFrame, id_col: str = "id", dims: int = 2) -> DataFrame:

@@ -2,11 +2,12 @@
 
 import math
 import re
+import threading
 
 import numpy as np
 import pytest
 
-from cellplan.operators import measure, pairs
+from cellplan.operators import interaction, measure, pairs
 
 SPACING = (2.0, 0.7, 0.3)
 
@@ -46,3 +47,16 @@ def test_matrix_moves_no_pairs(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert not re.search(r"(Aggregate|Window|Sort) \[[^\]]*label", plan)
     assert out.count() == 400 * 399 // 2
+
+
+def test_cross_distances_of_long_objects(spark):
+    """Two channels of long parallel objects, 200,000 surface points each: their points don't all meet."""
+    line = lambda n, at: spark.range(n).selectExpr("CAST(1 AS BIGINT) AS label", "CAST(0 AS BIGINT) AS z", "id AS y", f"CAST({at} AS BIGINT) AS x")
+    far = line(200_000, 50).unionByName(spark.sql("SELECT CAST(2 AS BIGINT) AS label, CAST(0 AS BIGINT) AS z, CAST(200010 AS BIGINT) AS y, CAST(7 AS BIGINT) AS x"))
+    late = threading.Timer(120, spark.sparkContext.cancelAllJobs)
+    late.start()
+    try:
+        got = interaction.cross_distances(line(200_000, 7), far).collect()
+    finally:
+        late.cancel()
+    assert {(r.channel_a_label, r.channel_b_label): r.distance_um for r in got} == {(1, 1): 43.0, (1, 2): 11.0}
