@@ -145,18 +145,19 @@ def edt(mask: np.ndarray, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0))
     """Distance of each set voxel to the nearest unset one (outside the array counts as unset), exact, by separable passes."""
     d = np.where(np.pad(mask, 1), np.inf, 0.0)
     if mask.shape[0] == 1:  # a 2D piece: slices above and below are no background
-        d[0], d[-1] = np.inf, np.inf
+        d = d[1:2]
     for axis in range(3):
         n, s = d.shape[axis], spacing[axis]
-        if mask.shape[0] == 1 and axis == 0:
-            continue
         moved = np.moveaxis(d, axis, 0)
-        out = np.full_like(moved, np.inf)
-        for k in range(n):  # all lines at once
-            cost = (np.arange(n) - k) ** 2 * s * s
-            np.minimum(out, moved[k] + cost.reshape(-1, *[1] * (moved.ndim - 1)), out=out)
+        out = moved.copy()
+        for k in range(1, n):  # all lines at once, by steps that can still shorten a distance
+            cost = k**2 * s * s
+            if cost >= out.max():
+                break
+            np.minimum(out[k:], moved[:-k] + cost, out=out[k:])
+            np.minimum(out[:-k], moved[k:] + cost, out=out[:-k])
         d = np.moveaxis(out, 0, axis)
-    return np.sqrt(d[1:-1, 1:-1, 1:-1])
+    return np.sqrt(d[:, 1:-1, 1:-1] if mask.shape[0] == 1 else d[1:-1, 1:-1, 1:-1])
 
 
 def neighbours(full: bool, flat: bool) -> list[tuple[int, int, int]]:
@@ -303,7 +304,8 @@ def degrees(skel: np.ndarray) -> np.ndarray:
 def prune_spurs(skel: np.ndarray, spacing: tuple[float, float, float], longest: float, border: np.ndarray | None = None, passes: int = 10) -> np.ndarray:
     """Takes off branches up to ``longest`` that run from an end point to a junction, the shortest first.
 
-    The junction stays; ends on the image's border (a mask) and isolated segments are kept.
+    The junction stays; ends on the image's border (a mask) and isolated segments are kept. All that a branch touches are
+    its junction and itself, so the number of components stays without a look.
     """
     out = skel.copy()
     moves = neighbours(True, skel.shape[0] == 1)
@@ -313,31 +315,33 @@ def prune_spurs(skel: np.ndarray, spacing: tuple[float, float, float], longest:
         for p in zip(*np.nonzero(out & (deg == 1)), strict=True):
             if border is not None and border[p]:
                 continue
-            path, length, now = [p], 0.0, p
+            path, length, before, now = [p], 0.0, None, p
             while True:
-                ways = [q for q in around(now, moves, out.shape) if out[q] and q not in path]
+                ways = [q for q in around(now, moves, out.shape) if out[q] and q != before]
                 if not ways:
                     path = []
                     break
                 q = next((w for w in ways if deg[w] >= 3), ways[0])
                 length += math.sqrt(sum(((a - b) * s) ** 2 for a, b, s in zip(now, q, spacing, strict=True)))
-                if deg[q] >= 3:
+                if deg[q] >= 3 or length > longest:
                     break
                 path.append(q)
-                now = q
+                before, now = now, q
             if path and length <= longest:
                 spurs.append((length, path))
         if not spurs:
             break
-        for _, path in sorted(spurs, key=lambda s: (s[0], s[1])):
-            trial = out.copy()
+        for _, path in spurs:
             for q in path:
-                trial[q] = False
-            if trial.any() and label_components(trial, True)[1] == label_components(out, True)[1]:
-                out = trial
+                out[q] = False
     return out
 
 
+@lru_cache(1 << 20)
+def _whole(bits: bytes) -> bool:
+    return label_components(np.frombuffer(bits, bool).reshape(3, 3, 3), True)[1] == 1
+
+
 def prune_elbows(skel: np.ndarray, passes: int = 3) -> np.ndarray:
     """Takes away voxels with two or more neighbours that hold together without them, in raster order."""
     out = np.pad(skel, 1)
@@ -346,7 +350,7 @@ def prune_elbows(skel: np.ndarray, passes: int = 3) -> np.ndarray:
         for z, y, x in zip(*np.nonzero(out), strict=True):
             block = out[z - 1 : z + 2, y - 1 : y + 2, x - 1 : x + 2].copy()
             block[1, 1, 1] = False
-            if block.sum() >= 2 and label_components(block, True)[1] == 1:
+            if block.sum() >= 2 and _whole(block.tobytes()):
                 out[z, y, x] = False
                 gone += 1
         if not gone:
@@ -355,24 +359,71 @@ def prune_elbows(skel: np.ndarray, passes: int = 3) -> np.ndarray:
 
 
 def break_cycles(skel: np.ndarray, thickness: np.ndarray, passes: int = 15) -> np.ndarray:
-    """Opens loops: peels ends to find them, then takes the thinnest voxel whose loss keeps the number of components."""
+    """Opens loops: peels ends to find them, then takes the thinnest voxel whose loss keeps the number of components.
+
+    Such voxels are those of the peeled core that are no cut vertices; a depth-first search finds these for all at once.
+    """
     out = skel.copy()
+    moves = neighbours(True, skel.shape[0] == 1)
+    at = [tuple(map(int, p)) for p in zip(*np.nonzero(skel), strict=True)]
+    number = {p: k for k, p in enumerate(at)}
+    near = [[number[q] for q in around(p, moves, skel.shape) if q in number] for p in at]
+    rank = sorted(range(len(at)), key=lambda k: (thickness[at[k]], at[k]))
     for _ in range(passes):
-        core = out.copy()
-        while (tips := core & (degrees(core) <= 1)).any():
-            core &= ~tips
-        n = label_components(out, True)[1]
-        for p in sorted(zip(*np.nonzero(core), strict=True), key=lambda p: (thickness[p], p)):
-            trial = out.copy()
-            trial[p] = False
-            if label_components(trial, True)[1] == n:
-                out = trial
-                break
-        else:
+        degree = list(map(len, near))
+        core = [out[p] for p in at]
+        tips = [k for k, d in enumerate(degree) if core[k] and d <= 1]
+        while tips:
+            k = tips.pop()
+            core[k] = False
+            for q in near[k]:
+                degree[q] -= 1
+                if core[q] and degree[q] == 1:
+                    tips.append(q)
+        if not any(core):
             break
+        cut = cut_vertices(near)
+        k = next((k for k in rank if core[k] and not cut[k]), None)
+        if k is None:
+            break
+        out[at[k]] = False
+        for q in near[k]:
+            near[q].remove(k)
+        near[k] = []
     return out
 
 
+def cut_vertices(near: list[list[int]]) -> list[bool]:
+    """Whether each vertex of a graph (its neighbours' numbers) parts its component when it goes (Hopcroft and Tarjan 1973)."""
+    seen, low, cut, turn = [0] * len(near), [0] * len(near), [False] * len(near), 0
+    for root in range(len(near)):
+        if seen[root]:
+            continue
+        turn += 1
+        seen[root] = low[root] = turn
+        stack, children = [(root, -1, iter(near[root]))], 0
+        while stack:
+            p, up, ways = stack[-1]
+            for q in ways:
+                if not seen[q]:
+                    turn += 1
+                    seen[q] = low[q] = turn
+                    stack.append((q, p, iter(near[q])))
+                    break
+                if q != up:
+                    low[p] = min(low[p], seen[q])
+            else:
+                stack.pop()
+                if up == root:
+                    children += 1
+                elif up >= 0:
+                    cut[up] = cut[up] or low[p] >= seen[up]
+                if up >= 0:
+                    low[up] = min(low[up], low[p])
+        cut[root] = children > 1
+    return cut
+
+
 def branches(skel: np.ndarray, spacing: tuple[float, float, float], thickness: np.ndarray | None = None) -> list[dict]:
     """Paths between end points and junction voxels: both ends, length, mean thickness."""
     deg = degrees(skel)

@@ -1,5 +1,7 @@
 """Kernels by their properties, and the pipeline from voxels to measurements."""
 
+import time
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -227,3 +229,33 @@ def test_narrowed_percentiles(spark):
     odd = spark.createDataFrame([(float(v),) for v in [1, 2, float("inf"), float("-inf"), float("nan")]], "v double")
     assert levels.narrowed(odd, 50) == 2.0 and levels.narrowed(odd, 0) == float("-inf") and levels.narrowed(odd, 75) == float("inf") and np.isnan(levels.narrowed(odd, 100))
     assert levels.level(odd.where("v > 5 and v < 6"), "v", 50, most=0).first()[0] is None
+
+
+def test_cut_vertices():
+    """Voxels whose loss parts their component, against counting the components without each."""
+    rng = np.random.default_rng(5)
+    for _ in range(10):
+        mask = rng.random((1, 9, 9)) < 0.4
+        at = [tuple(map(int, p)) for p in np.argwhere(mask)]
+        near = [[k for k, q in enumerate(at) if q != p and max(abs(a - b) for a, b in zip(p, q, strict=True)) == 1] for p in at]
+        whole = kernels.label_components(mask, True)[1]
+        for p, cut in zip(at, kernels.cut_vertices(near), strict=True):
+            rest = mask.copy()
+            rest[p] = False
+            assert cut == (kernels.label_components(rest, True)[1] > whole)
+
+
+def test_large_skeletons_take_time_in_proportion():
+    """A spine with 998 teeth: each went with two counts of all components."""
+    comb = np.zeros((1, 7, 4003), bool)
+    comb[0, 5, 1:4002] = True
+    comb[0, 4, 8:4000:4] = True  # junctions, which stay
+    spine = comb.copy()
+    comb[0, 3, 8:4000:4] = True
+    began = time.process_time()
+    out = kernels.prune_spurs(comb, (1.0, 1.0, 1.0), 2.5)
+    assert (out == spine).all() and time.process_time() - began < 30
+    ring = np.zeros((1, 402, 402), bool)
+    ring[0, 1::8, 1:394] = ring[0, 1:394, 1::8] = True
+    opened = kernels.break_cycles(ring, np.ones(ring.shape))
+    assert ring.sum() - opened.sum() == 15 and time.process_time() - began < 60
