@@ -6,7 +6,7 @@ import heapq
 import math
 from collections.abc import Callable
 from functools import lru_cache
-from itertools import product
+from itertools import count, product
 
 import numpy as np
 import pandas as pd
@@ -301,15 +301,15 @@ def degrees(skel: np.ndarray) -> np.ndarray:
     return np.where(skel, n, 0)
 
 
-def prune_spurs(skel: np.ndarray, spacing: tuple[float, float, float], longest: float, border: np.ndarray | None = None, passes: int = 10) -> np.ndarray:
+def prune_spurs(skel: np.ndarray, spacing: tuple[float, float, float], longest: float, border: np.ndarray | None = None, passes: int | None = 10) -> np.ndarray:
     """Takes off branches up to ``longest`` that run from an end point to a junction, the shortest first.
 
     The junction stays; ends on the image's border (a mask) and isolated segments are kept. All that a branch touches are
-    its junction and itself, so the number of components stays without a look.
+    its junction and itself, so the number of components stays without a look. passes None: until no such branch is left.
     """
     out = skel.copy()
     moves = neighbours(True, skel.shape[0] == 1)
-    for _ in range(passes):
+    for _ in count() if passes is None else range(passes):
         deg = degrees(out)
         spurs = []
         for p in zip(*np.nonzero(out & (deg == 1)), strict=True):
@@ -342,10 +342,10 @@ def _whole(bits: bytes) -> bool:
     return label_components(np.frombuffer(bits, bool).reshape(3, 3, 3), True)[1] == 1
 
 
-def prune_elbows(skel: np.ndarray, passes: int = 3) -> np.ndarray:
-    """Takes away voxels with two or more neighbours that hold together without them, in raster order."""
+def prune_elbows(skel: np.ndarray, passes: int | None = 3) -> np.ndarray:
+    """Takes away voxels with two or more neighbours that hold together without them, in raster order (passes None: all)."""
     out = np.pad(skel, 1)
-    for _ in range(passes):
+    for _ in count() if passes is None else range(passes):
         gone = 0
         for z, y, x in zip(*np.nonzero(out), strict=True):
             block = out[z - 1 : z + 2, y - 1 : y + 2, x - 1 : x + 2].copy()
@@ -358,18 +358,79 @@ def prune_elbows(skel: np.ndarray, passes: int = 3) -> np.ndarray:
     return out[1:-1, 1:-1, 1:-1]
 
 
-def break_cycles(skel: np.ndarray, thickness: np.ndarray, passes: int = 15) -> np.ndarray:
-    """Opens loops: peels ends to find them, then takes the thinnest voxel whose loss keeps the number of components.
+#: Around a voxel of a slice, clockwise from above; even ones touch its sides.
+_RING = ((-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1))
+
+
+@lru_cache(256)
+def _gaps(code: int) -> list[int]:
+    """A side of each stretch of background around a voxel that touches it; code: which places of the ring are set."""
+    unset = [not code >> k & 1 for k in range(8)]
+    return [k for k in range(0, 8, 2) if unset[k] and not (unset[k + 1] and unset[(k + 2) % 8])]
+
+
+def _regions(background: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """A number for each place of a 2D background's row-wise runs, and the union-find forest of its regions over sides."""
+    starts = background.copy()
+    starts[:, 1:] &= ~background[:, :-1]
+    run = (np.cumsum(starts) - 1).reshape(background.shape)
+    root = list(range(int(starts.sum())))
+    both = background[1:] & background[:-1]
+    for a, b in np.unique(np.stack([run[:-1][both], run[1:][both]], 1), axis=0).tolist():
+        root[_find(root, a)] = _find(root, b)
+    return run, root
+
+
+def _find(root: list[int], k: int) -> int:
+    while root[k] != k:
+        root[k] = k = root[root[k]]
+    return k
 
-    Such voxels are those of the peeled core that are no cut vertices; a depth-first search finds these for all at once.
+
+def break_cycles(skel: np.ndarray, thickness: np.ndarray, passes: int | None = 15) -> np.ndarray:
+    """Opens loops: takes the thinnest voxel of a loop whose loss keeps the number of components, ``passes`` times (None: until none is left).
+
+    A voxel that parts its component or lies in no loop still does when others have gone, so one look at each, the
+    thinnest first, finds them all. In a slice the background tells: a loss joins the regions that meet at the voxel, and
+    parts nothing if they are different ones. So the time is that of the voxels and of the box.
     """
+    if skel.shape[0] > 1:
+        return _break_by_search(skel, thickness, passes)
+    wide = np.pad(skel[0], 1)
+    run, root = _regions(~wide)
+    width = wide.shape[1]
+    steps = [dy * width + dx for dy, dx in _RING]
+    place = np.flatnonzero(wide)
+    order = place[np.argsort(thickness[skel], kind="stable")].tolist()
+    fg, region, left = bytearray(wide.tobytes()), run.ravel(), len(order) if passes is None else passes
+    for p in order:
+        if left <= 0:
+            break
+        code = sum(fg[p + s] << k for k, s in enumerate(steps))
+        if code.bit_count() < 2:
+            continue
+        gaps = _gaps(code)
+        met = {_find(root, region[p + steps[k]]) for k in gaps}
+        if len(gaps) > 1 and len(met) < len(gaps):
+            continue
+        fg[p] = 0
+        region[p] = len(root)
+        root.append(len(root))
+        for r in met:
+            root[r] = region[p]
+        left -= 1
+    return np.frombuffer(fg, bool).reshape(wide.shape)[None, 1:-1, 1:-1].copy()
+
+
+def _break_by_search(skel: np.ndarray, thickness: np.ndarray, passes: int | None) -> np.ndarray:
+    """break_cycles() of any skeleton: peels ends to find its loops, and a depth-first search before each loss finds the cut vertices."""
     out = skel.copy()
     moves = neighbours(True, skel.shape[0] == 1)
     at = [tuple(map(int, p)) for p in zip(*np.nonzero(skel), strict=True)]
     number = {p: k for k, p in enumerate(at)}
     near = [[number[q] for q in around(p, moves, skel.shape) if q in number] for p in at]
     rank = sorted(range(len(at)), key=lambda k: (thickness[at[k]], at[k]))
-    for _ in range(passes):
+    for _ in count() if passes is None else range(passes):
         degree = list(map(len, near))
         core = [out[p] for p in at]
         tips = [k for k, d in enumerate(degree) if core[k] and d <= 1]
@@ -526,7 +587,7 @@ def open_cycles(skel: np.ndarray, spacing: tuple[float, float, float], thickness
 
 
 def skeletonize(labels: DataFrame, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0), prune_um: float = 0.0, by: tuple[str, ...] = ("label",), id_extent: tuple[int, int, int] | None = None) -> DataFrame:
-    """Skeleton voxels (by, z, y, x, branch_length): thinned, loops opened, spurs pruned; one grouped map an object.
+    """Skeleton voxels (by, z, y, x, branch_length): thinned, all loops opened, all spurs pruned; one grouped map an object.
 
     branch_length repeats the object's total on every row, and null where there is no branch.
     """
@@ -537,14 +598,14 @@ def skeletonize(labels: DataFrame, spacing: tuple[float, float, float] = (1.0, 1
         mask = grid > 0
         thick = edt(mask, spacing)
         skel = skeleton(mask)
-        skel = prune_elbows(break_cycles(skel, thick)) if mask.shape[0] == 1 else open_cycles(skel, spacing, thick)
+        skel = prune_elbows(break_cycles(skel, thick, None), None) if mask.shape[0] == 1 else open_cycles(skel, spacing, thick)
         if prune_um > 0:
             border = np.zeros_like(skel)
             if id_extent:
                 at = np.stack(np.meshgrid(*(np.arange(n) + o for n, o in zip(skel.shape, low, strict=True)), indexing="ij"))
                 for k in (1, 2) if skel.shape[0] == 1 else (0, 1, 2):
                     border |= (at[k] <= 0) | (at[k] >= id_extent[k] - 1)
-            skel = prune_spurs(skel, spacing, prune_um, border)
+            skel = prune_spurs(skel, spacing, prune_um, border, None)
         paths = branches(skel, spacing, thick)
         at = np.argwhere(skel) + low
         first = {c: pdf[c].iloc[0] for c in by}
