@@ -60,3 +60,21 @@ def test_cross_distances_of_long_objects(spark):
     finally:
         late.cancel()
     assert {(r.channel_a_label, r.channel_b_label): r.distance_um for r in got} == {(1, 1): 43.0, (1, 2): 11.0}
+
+
+def test_blocks_are_written_once(spark, monkeypatch):
+    """Many blocks, of one image, of several and of two channels: all pairs are right, and no exchange has more rows than there are blocks."""
+    monkeypatch.setattr(pairs, "BLOCK", 16)
+    rows = [(k % 40 if k % 3 else 41, k, k % 3, k * 7 % 90, k * 11 % 60) for k in range(300)]
+    table = lambda rows, by: spark.createDataFrame(rows, "image int, label bigint, z bigint, y bigint, x bigint").drop(*({"image"} - set(by)))
+    for by, own in (((), True), (("image",), True), (("image",), False)):
+        a, b = rows, rows if own else rows[::4]
+        out = pairs.all_distances(table(a, by), None if own else table(b, by), by, SPACING, 3)
+        got = out.collect()
+        want = brute([r if by else (0, *r[1:]) for r in a], [r if by else (0, *r[1:]) for r in b], own)
+        assert len(got) == len(want) and {(r.image if by else 0, r.alabel, r.blabel) for r in got} == want.keys()
+        assert all(abs(r.d - want[r.image if by else 0, r.alabel, r.blabel]) < 1e-4 for r in got)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" in plan
+        made = re.findall(r"\n[^\n]*Generate ", plan)
+        assert not made  # nothing is repeated for those that it meets
